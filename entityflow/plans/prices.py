@@ -101,7 +101,7 @@ def _(t):
     return op.variant_spread(t.refs, _close_book(t), PriceParams().spread_pct)
 
 
-_IDENTS = """(SELECT card_id, CASE WHEN confidence >= 15 THEN card_ref_id + (ordinal % 4) * 0 END AS card_ref_id, status FROM v_cards)"""
+_IDENTS = """(SELECT card_id, CASE WHEN confidence >= 15 THEN card_ref_id END AS card_ref_id, status FROM v_cards)"""
 
 
 @query("variant_gate", "v_cards v_refs", f"""
