@@ -52,13 +52,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(21,0)")
+
+
 def signed64(unsigned: Column) -> Column:
     """Unsigned 64-bit value as decimal(20,0) to the bigint with the same bits."""
     u = unsigned.cast("decimal(20,0)")
-    wrap = F.lit(1 << 64).cast("decimal(21,0)")
-    return F.when(u >= F.lit(1 << 63).cast("decimal(20,0)"), u - wrap).otherwise(u).cast("bigint")
+    return F.when(u >= _whole(1 << 63), u - _whole(1 << 64)).otherwise(u).cast("bigint")
 
 
 def unsigned64(signed: Column) -> Column:
     s = signed.cast("decimal(20,0)")
-    return F.when(s < 0, s + F.lit(1 << 64).cast("decimal(21,0)")).otherwise(s).cast("decimal(20,0)")
+    return F.when(s < 0, s + _whole(1 << 64)).otherwise(s).cast("decimal(20,0)")

@@ -56,7 +56,7 @@ def _hamming_cell(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     index = index.sort_values("ref_id", kind="stable")
     owners = index["ref_id"].to_numpy()
     codes = pd.factorize(owners)[0]
-    bits = index["hash_bits"].to_numpy().view(np.uint64)
+    bits = index["bits"].to_numpy().view(np.uint64)
     asked = queries["hash_bits"].to_numpy().view(np.uint64)
     n, step = len(asked), max(1, 4_000_000 // len(bits))
     best = np.empty(n, dtype=np.int64)
@@ -90,13 +90,15 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
     index = load_index(index)
     n_q, n_i = grid.chunks(_largest(queries, "hash_type"), _largest(index, "hash_type"))
     # of equal fingerprints only the two lowest owners can ever be reported
-    rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).drop("rn")
+    # (renamed: queries are often derived from the index itself)
+    rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).select(
+        F.col("hash_type").alias("tier"), F.col("hash_bits").alias("bits"), "ref_id"
+    )
     asked = queries.select(*keys).distinct()
-    cells = ["hash_type", "_chunk", "_block"]
     ref_type = index.schema["ref_id"].dataType.simpleString()
     found = (
-        _spread(asked, "_chunk", n_q, "_block", n_i, "hash_bits").groupBy(*cells)
-        .cogroup(_spread(rows, "_block", n_i, "_chunk", n_q, "hash_bits").groupBy(*cells))
+        _spread(asked, "_chunk", n_q, "_block", n_i, "hash_bits").groupBy("hash_type", "_chunk", "_block")
+        .cogroup(_spread(rows, "_block", n_i, "_chunk", n_q, "bits").groupBy("tier", "_chunk", "_block"))
         .applyInPandas(
             _hamming_cell,
             f"hash_type string, hash_bits bigint, ref_id {ref_type}, dist int, second_ref {ref_type}, second_dist int",
