@@ -53,10 +53,20 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def json_value(text: Column) -> Column:
+    """The variant of a text that holds exactly one JSON value, else NULL.
+
+    (The parser itself stops after the first value, so the text is read as the only element of a list.)
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def json_block(text: Column) -> Column:
     """The text from the first ``{`` to the last ``}`` if it is a JSON object, else NULL."""
     block = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(F.json_object_keys(block).isNotNull() & F.try_parse_json(block).isNotNull(), block)
+    return F.when(F.json_object_keys(block).isNotNull() & json_value(block).isNotNull(), block)
 
 
 def sanitize(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from entityflow.functions.net import is_public
 from entityflow.functions.ranking import oldest
+from entityflow.functions.text import json_value
 from entityflow.params import AuthParams, GateParams
 
 # Required payload keys of each job type (in checking order) and keys that may be null.
@@ -95,7 +96,7 @@ def flag_disposable(emails: DataFrame, blocklist: DataFrame) -> DataFrame:
 
 def payload_reason(kind: Column, payload: Column, required: Mapping[str, Sequence[str]] = PAYLOAD_KEYS) -> Column:
     """Why a JSON payload breaks the contract of its type, NULL if it keeps it."""
-    value = F.try_parse_json(payload)
+    value = json_value(payload)
     keys = F.json_object_keys(payload)
     reason = F.when(~kind.isin(*required), F.concat(F.lit("unknown type "), kind))
     reason = reason.when(value.isNull() | keys.isNull(), "payload must be an object")

@@ -19,8 +19,9 @@ PAGE_SCHEMA = (
 )
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_SCHEMA).json(path, multiLine=True)
+def read_pages(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Pages stored one document per file, or one document per line."""
+    return spark.read.schema(PAGE_SCHEMA).json(path, multiLine=one_per_file)
 
 
 def flatten_catalog(pages: DataFrame) -> DataFrame:
