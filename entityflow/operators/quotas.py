@@ -7,7 +7,7 @@ state of fixed size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import running_total
+from entityflow.functions.scan import ordered_scan
 from entityflow.params import AuthParams, QuotaParams
 
 HOUR = 3_600_000_000  # microseconds
@@ -171,44 +172,24 @@ def next_touched(times: np.ndarray, last: int | None, gap: int) -> tuple[np.ndar
     return np.array(out, dtype=np.int64), last
 
 
-def ordered_scan(df: DataFrame, key: str, flag: str, fold: Callable, start: Callable) -> DataFrame:
-    """Mark rows of (key, ts, request_id) that ``fold(times, state)`` picks, scanning each key in order.
+def _picked_times(fold: Callable) -> Callable:
+    def on_frame(pdf: pd.DataFrame, state):
+        return fold(pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), state)
 
-    Keys are hashed to partitions and sorted there (the sort spills); Arrow batches then stream through with only
-    the current key's state carried on, so a long key costs no memory.
-    """
-    slim = df.select(key, "ts", "request_id")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, start()
-        for pdf in batches:
-            ids = pdf[key].to_numpy()
-            times = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            marks = np.zeros(len(pdf), dtype=bool)
-            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
-                if hi == lo:
-                    continue
-                if current is None or ids[lo] != current:
-                    current, state = ids[lo], start()
-                picked, state = fold(times[lo:hi], state)
-                marks[lo + picked] = True
-            yield pdf.assign(**{flag: marks})
-
-    fields = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + f", {flag} boolean"
-    return slim.repartition(key).sortWithinPartitions(key, "ts", "request_id").mapInPandas(scan, schema)
+    return on_frame
 
 
 def rate_limit(requests: DataFrame, key: str = "user_id", p: AuthParams = AuthParams()) -> DataFrame:
     """Admit at most so many per hour and per day and key, counting only admitted requests."""
     limits = ((p.links_per_hour, HOUR), (p.links_per_day, DAY))
-    return ordered_scan(requests, key, "admitted", lambda times, recent: next_admitted(times, recent, limits), list)
+    fold = _picked_times(lambda times, recent: next_admitted(times, recent, limits))
+    return ordered_scan(requests.select(key, "ts", "request_id"), key, ["ts", "request_id"], "admitted", fold, list)
 
 
 def session_touch(requests: DataFrame, key: str = "user_id", every: int = HOUR) -> DataFrame:
     """Mark the requests that advance a key's last-seen time, which happens at most once per ``every``."""
-    return ordered_scan(requests, key, "touched", lambda times, last: next_touched(times, last, every), lambda: None)
+    fold = _picked_times(lambda times, last: next_touched(times, last, every))
+    return ordered_scan(requests.select(key, "ts", "request_id"), key, ["ts", "request_id"], "touched", fold, lambda: None)
 
 
 def idle_sessions(events: DataFrame, key: str = "user_id", gap: str = "2 hours") -> DataFrame:

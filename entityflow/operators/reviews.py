@@ -52,9 +52,10 @@ def merge_duplicates(cards: DataFrame) -> DataFrame:
 
 def _collapse(cards: DataFrame, groups: DataFrame, member, mergeable) -> DataFrame:
     """Give ``_keep`` one unit per merged row and turn the group's other mergeable rows into ``merged`` with 0."""
-    joined = cards.alias("c").join(groups.alias("g"), _same_group("c", "g") & member, "left")
+    flagged = cards.withColumn("_member", member).withColumn("_mergeable", mergeable)
+    joined = flagged.alias("c").join(groups.alias("g"), _same_group("c", "g") & F.col("c._member"), "left")
     kept = F.coalesce(F.col("g._keep") == F.col("c.card_id"), F.lit(False))
-    gone = F.coalesce((F.col("g._keep") != F.col("c.card_id")) & mergeable, F.lit(False))
+    gone = F.coalesce((F.col("g._keep") != F.col("c.card_id")) & F.col("c._mergeable"), F.lit(False))
     added = (F.col("g._n") - 1).cast("int")
     quantity = F.when(kept, F.col("c.quantity") + added).when(gone, F.lit(0)).otherwise(F.col("c.quantity"))
     status = F.when(gone, F.lit("merged")).otherwise(F.col("c.status"))

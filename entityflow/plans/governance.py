@@ -80,12 +80,12 @@ def _(t):
 
 @query("correction_rows", "v_cards v_tier_coef v_bits", f"""
     WITH c AS (SELECT card_id, card_ref_id % 3 AS predicted, CASE WHEN confidence % 3 = 0 THEN (card_ref_id + 1) % 3 ELSE card_ref_id % 3 END AS actual,
-                      created_at + to_days(confidence) AS at, card_ref_id % (SELECT count(*) FROM embeddings) AS vec_id
+                      created_at + to_days(confidence) AS w, card_ref_id % (SELECT count(*) FROM embeddings) AS vec_id
                FROM v_cards WHERE status = 'validation')
     SELECT 'log' AS part, card_id AS id, sha256(card_id) AS hash, actual || '<' || predicted AS detail, NULL::BIGINT AS bits FROM c
     UNION ALL
     SELECT 'index', card_id, NULL, actual || '/' || t, bits FROM c JOIN v_bits USING (vec_id)
-    QUALIFY row_number() OVER (PARTITION BY actual, t ORDER BY at DESC, card_id DESC) <= 20""")
+    QUALIFY row_number() OVER (PARTITION BY actual, t ORDER BY w DESC, card_id DESC) <= 20""")
 def _(t):
     from entityflow.params import TIERS
 
