@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n
 from entityflow.params import ACCEPT_STAGES, CascadeParams
+from entityflow.sources.storage import materialise
 
 METHODS = ("h", "a", "b", "c")
 _EVIDENCE = "array<struct<method:string,ref_id:{0},score:double>>"
@@ -161,48 +162,41 @@ def identify(
 
     A matcher takes items and returns (item_id, ref_id, score), ``h`` also margin and agreement; an absent name
     is a skipped stage. ``h`` sees every readable item, ``a`` and ``b`` what ``h`` leaves open, ``c`` the rest.
+    Each stage's votes are written once, as the next stage and the decision both read them.
     """
-    done = []
+    poor = None
     if quality:
         items, poor = quality_gate(items, quality, p.quality_min)
-    first = matchers["h"](items)
-    ref_type = first.schema["ref_id"].dataType.simpleString()
-
-    def attach(open_items: DataFrame, m: str) -> DataFrame:
-        if m in matchers:
-            found = matchers[m](items.join(open_items.select("item_id"), "item_id", "left_semi"))
-            found = found.select("item_id", F.col("ref_id").alias(f"{m}_ref"), F.col("score").alias(f"{m}_score"))
-            return open_items.join(found, "item_id", "left")
-        return open_items.withColumn(f"{m}_ref", F.lit(None).cast(ref_type)).withColumn(f"{m}_score", F.lit(None).cast("double"))
+    votes = matchers["h"](items)
+    ref_type = votes.schema["ref_id"].dataType.simpleString()
+    wide = materialise(
+        items.select("item_id").join(
+            votes.select("item_id", F.col("ref_id").alias("h_ref"), F.col("score").alias("h_score"), "margin", "agreement"),
+            "item_id", "left",
+        ).withColumn("h_score", F.coalesce("h_score", F.lit(0.0))),
+        "votes-h",
+    )
 
-    def blank(df: DataFrame, names: str) -> DataFrame:
+    def add_votes(wide: DataFrame, names: str, still_open: Column) -> DataFrame:
+        left = items.join(wide.where(still_open).select("item_id"), "item_id", "left_semi")
         for m in names:
-            df = df.withColumn(f"{m}_ref", F.lit(None).cast(ref_type)).withColumn(f"{m}_score", F.lit(None).cast("double"))
-        return df
-
-    wide = items.select("item_id").join(
-        first.select("item_id", F.col("ref_id").alias("h_ref"), F.col("score").alias("h_score"), "margin", "agreement"),
-        "item_id", "left",
-    ).withColumn("h_score", F.coalesce("h_score", F.lit(0.0)))
-    accepted, _ = _stage_h(p)
-    done.append(blank(wide.where(accepted), "abc"))
-    wide = wide.where(~accepted)
-    for m in "ab":
-        wide = attach(wide, m)
-    agreed, _, _ = _stage_multi()
-    agreed = F.coalesce(agreed, F.lit(False))
-    done.append(blank(wide.where(agreed), "c"))
-    done.append(attach(wide.where(~agreed), "c"))
-    rows = done[0]
-    for part in done[1:]:
-        rows = rows.unionByName(part)
-    out = decide_wide(rows, p).select("item_id", "ref_id", "confidence", "stage", "candidates", "methods")
-    if quality:
-        blankrow = poor.select(
+            if m in matchers:
+                found = matchers[m](left).select("item_id", F.col("ref_id").alias(f"{m}_ref"), F.col("score").alias(f"{m}_score"))
+                wide = wide.join(found, "item_id", "left")
+            else:
+                wide = wide.withColumn(f"{m}_ref", F.lit(None).cast(ref_type)).withColumn(f"{m}_score", F.lit(None).cast("double"))
+        return wide
+
+    by_hash = _stage_h(p)[0]
+    wide = materialise(add_votes(wide, "ab", ~by_hash), "votes-hab")
+    agreed = F.coalesce(_stage_multi()[0], F.lit(False))
+    wide = add_votes(wide, "c", ~by_hash & ~agreed)
+    out = decide_wide(wide, p).select("item_id", "ref_id", "confidence", "stage", "candidates", "methods")
+    if poor is not None:
+        out = out.unionByName(poor.select(
             "item_id", F.lit(None).cast(ref_type).alias("ref_id"), "confidence", "stage",
             F.array().cast(f"array<{ref_type}>").alias("candidates"), F.array().cast(_EVIDENCE.format(ref_type)).alias("methods"),
-        )
-        out = out.unionByName(blankrow)
+        ))
     return out
 
 

@@ -18,6 +18,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/entityflow/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage's rows to the shared folder and go on from the file, so that no later branch, and no retry
+    after a lost executor, repeats the stage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def photo_key(user: Column, batch: Column, photo: Column) -> Column:
     return F.concat_ws("/", user.cast("string"), batch.cast("string"), F.concat(photo.cast("string"), F.lit(".webp")))
 
