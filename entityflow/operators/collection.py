@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityflow.functions.joins import left_join_sparse
 from entityflow.functions.money import export_price_display, format_cents
 from entityflow.functions.ranking import first_n, oldest
 from entityflow.params import RESOLVED, ExportParams
@@ -123,7 +124,7 @@ def batch_results(cards: DataFrame, refs: DataFrame) -> DataFrame:
     return (
         cards.where(F.col("status").isin(*RESOLVED))
         .select("batch_id", "card_id", "card_ref_id", "finish", "confidence", "quantity", "status")
-        .join(ref, "card_ref_id", "left")
+        .transform(left_join_sparse, ref, ["card_ref_id"], "card_id")
         .orderBy("batch_id", F.desc("confidence"), F.asc_nulls_last("name"), "card_id")
     )
 
@@ -201,7 +202,7 @@ def ticker(cards: DataFrame, refs: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` last changed items of each batch, with their names."""
     last = first_n(cards, ["batch_id"], [F.desc("updated_at"), F.desc("card_id")], n)
     ref = refs.select(F.col("id").alias("card_ref_id"), "name")
-    return last.join(ref, "card_ref_id", "left").select("batch_id", "rn", "card_id", "name", "confidence", "status")
+    return left_join_sparse(last, ref, ["card_ref_id"], "card_id").select("batch_id", "rn", "card_id", "name", "confidence", "status")
 
 
 def next_review(cards: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,26 +43,26 @@ def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key:
     return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
-def _largest(df: DataFrame, by: str) -> int:
-    row = df.groupBy(by).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def _sizes(queries: DataFrame, index: DataFrame, by: Column) -> tuple[int, int]:
+    """Rows of the largest group on each side, counted in one job."""
+    sides = queries.select(F.lit(0).alias("side"), by.alias("by")).unionByName(index.select(F.lit(1).alias("side"), by.alias("by")))
+    counts = sides.groupBy("side", "by").count().groupBy("side").agg(F.max("count").alias("n"))
+    found = {r["side"]: r["n"] for r in counts.collect()}
+    return found.get(0, 0), found.get(1, 0)
 
 
-def _hamming_cell(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+def _hamming_cell(queries: pa.Table, index: pa.Table) -> pa.Table:
     """Nearest owner and nearest other owner of every query in one cell."""
-    cols = ["hash_type", "hash_bits", "ref_id", "dist", "second_ref", "second_dist"]
-    if queries.empty or index.empty:
-        return pd.DataFrame({c: [] for c in cols})
-    index = index.sort_values("ref_id", kind="stable")
-    owners = index["ref_id"].to_numpy()
-    codes = pd.factorize(owners)[0]
-    bits = index["bits"].to_numpy().view(np.uint64)
-    asked = queries["hash_bits"].to_numpy().view(np.uint64)
-    n, step = len(asked), max(1, 4_000_000 // len(bits))
-    best = np.empty(n, dtype=np.int64)
-    second = np.empty(n, dtype=np.int64)
-    best_d = np.empty(n, dtype=np.int32)
-    second_d = np.empty(n, dtype=np.int32)
+    index = index.sort_by("ref_id")
+    owners = index.column("ref_id").combine_chunks()
+    if not len(owners):
+        queries = queries.slice(0, 0)
+    codes = owners.dictionary_encode().indices.to_numpy()
+    bits = index.column("bits").to_numpy().view(np.uint64)
+    asked = queries.column("hash_bits").to_numpy().view(np.uint64)
+    n, step = len(asked), max(1, 4_000_000 // max(1, len(bits)))
+    best, second = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    best_d, second_d = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
     for lo in range(0, n, step):
         dist = np.bitwise_count(asked[lo:lo + step, None] ^ bits[None, :])
         rows = np.arange(len(dist))
@@ -71,14 +71,12 @@ def _hamming_cell(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         dist[codes[None, :] == codes[first][:, None]] = NO_DISTANCE + 1
         nxt = dist.argmin(axis=1)
         second[lo:lo + step], second_d[lo:lo + step] = nxt, dist[rows, nxt]
-    out = pd.DataFrame({
-        "hash_type": queries["hash_type"].to_numpy(), "hash_bits": queries["hash_bits"].to_numpy(),
-        "ref_id": owners[best], "dist": best_d, "second_ref": owners[second], "second_dist": second_d,
+    lone = second_d > NO_DISTANCE
+    return pa.table({
+        "hash_type": queries.column("hash_type"), "hash_bits": queries.column("hash_bits"),
+        "ref_id": owners.take(pa.array(best)), "dist": best_d,
+        "second_ref": owners.take(pa.array(second, mask=lone)), "second_dist": np.where(lone, NO_DISTANCE, second_d).astype(np.int32),
     })
-    lone = out["second_dist"] > NO_DISTANCE
-    out["second_ref"] = out["second_ref"].astype(object).where(~lone, None)
-    out.loc[lone, "second_dist"] = NO_DISTANCE
-    return out
 
 
 def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> DataFrame:
@@ -88,7 +86,7 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
     """
     keys = ["hash_type", "hash_bits"]
     index = load_index(index)
-    n_q, n_i = grid.chunks(_largest(queries, "hash_type"), _largest(index, "hash_type"))
+    n_q, n_i = grid.chunks(*_sizes(queries, index, F.col("hash_type")))
     # of equal fingerprints only the two lowest owners can ever be reported
     # (renamed: queries are often derived from the index itself)
     rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).select(
@@ -99,7 +97,7 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
     found = (
         _spread(asked, "_chunk", n_q, "_block", n_i, "hash_bits").groupBy("hash_type", "_chunk", "_block")
         .cogroup(_spread(rows, "_block", n_i, "_chunk", n_q, "bits").groupBy("tier", "_chunk", "_block"))
-        .applyInPandas(
+        .applyInArrow(
             _hamming_cell,
             f"hash_type string, hash_bits bigint, ref_id {ref_type}, dist int, second_ref {ref_type}, second_dist int",
         )
@@ -199,35 +197,33 @@ def best_alternative(alternatives: DataFrame, index: DataFrame, grid: Grid = Gri
     )
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+def _unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    m = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=m, where=norm > 0)
 
 
 def _cosine_cell(k: int):
-    def kernel(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"item_id": [], "point_id": [], "ref_id": [], "sim": []})
-        if queries.empty or points.empty:
-            return empty
-        points = points.sort_values("point_id", kind="stable")
-        p, q = _unit_rows(points["vector"]), _unit_rows(queries["vector"])
-        take, step, parts = min(k, len(p)), max(1, 2_000_000 // len(p)), []
-        for lo in range(0, len(q), step):
-            # rounding makes equal points equal whatever tile the product is computed in
-            sims = np.round(q[lo:lo + step] @ p.T, 12)
-            floor = np.partition(sims, len(p) - take, axis=1)[:, len(p) - take]
-            r, c = np.nonzero(sims >= floor[:, None])
-            s = sims[r, c]
-            order = np.lexsort((c, -s, r))
-            r, c, s = r[order], c[order], s[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            keep = rank < take
-            parts.append((r[keep] + lo, c[keep], s[keep]))
-        r, c, s = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({
-            "item_id": queries["item_id"].to_numpy()[r], "point_id": points["point_id"].to_numpy()[c],
-            "ref_id": points["ref_id"].to_numpy()[c], "sim": s,
+    def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
+        points = points.sort_by("point_id")
+        r, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if len(queries) and len(points):
+            p, q = _unit_rows(points.column("vector")), _unit_rows(queries.column("vector"))
+            take, step, parts = min(k, len(p)), max(1, 2_000_000 // len(p)), []
+            for lo in range(0, len(q), step):
+                # rounding makes equal points equal whatever tile the product is computed in
+                sims = np.round(q[lo:lo + step] @ p.T, 12)
+                floor = np.partition(sims, len(p) - take, axis=1)[:, len(p) - take]
+                r, c = np.nonzero(sims >= floor[:, None])
+                s = sims[r, c]
+                order = np.lexsort((c, -s, r))
+                r, c, s = r[order], c[order], s[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < take
+                parts.append((r[keep] + lo, c[keep], s[keep]))
+            r, c, s = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({
+            "item_id": queries.column("item_id").take(pa.array(r)), "point_id": points.column("point_id").take(pa.array(c)),
+            "ref_id": points.column("ref_id").take(pa.array(c)), "sim": s,
         })
 
     return kernel
@@ -235,7 +231,7 @@ def _cosine_cell(k: int):
 
 def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = Grid(4_096, 16_384)) -> DataFrame:
     """The ``k`` nearest points of every item with rank; equal similarity goes to the lowest point id."""
-    n_q, n_p = grid.chunks(queries.count(), points.count())
+    n_q, n_p = grid.chunks(*_sizes(queries, points, F.lit(0)))
     cells = ["_chunk", "_block"]
     types = {n: f.dataType.simpleString() for d in (queries, points) for n, f in ((f.name, f) for f in d.schema)}
     near = (
@@ -243,7 +239,7 @@ def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = G
         .cogroup(
             _spread(points.select("point_id", "ref_id", "vector"), "_block", n_p, "_chunk", n_q, "point_id").groupBy(*cells)
         )
-        .applyInPandas(
+        .applyInArrow(
             _cosine_cell(k),
             f"item_id {types['item_id']}, point_id {types['point_id']}, ref_id {types['ref_id']}, sim double",
         )

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.functions.joins import left_join_sparse
 from entityflow.functions.ranking import newest
 from entityflow.params import ACCEPT_STAGES, FINISHES, PriceParams
 
@@ -114,7 +115,7 @@ def variant_gate(idents: DataFrame, refs: DataFrame) -> DataFrame:
     known = refs.select(F.col("id").alias("card_ref_id"), F.size("finishes").alias("_n"), F.try_element_at("finishes", F.lit(1)).alias("_only"))
     many = F.coalesce(F.col("_n") > 1, F.lit(False))
     return (
-        idents.join(known, "card_ref_id", "left")
+        left_join_sparse(idents, known, ["card_ref_id"], "card_id")
         .withColumn("finish", F.when(F.col("_n") == 1, F.col("_only")))
         .withColumn("finish_needs_confirmation", many)
         .withColumn("status", F.when(many & (F.col("status") == "auto"), "validation").otherwise(F.col("status")))
@@ -132,7 +133,7 @@ def variant_narrow(cards: DataFrame, refs: DataFrame, prices: DataFrame, pct: fl
         & F.col("chosen").isNotNull()
     )
     return (
-        cards.join(choice, "card_ref_id", "left")
+        left_join_sparse(cards, choice, ["card_ref_id"], "card_id")
         .withColumn("_go", F.coalesce(open_row, F.lit(False)))
         .withColumn("finish", F.when(F.col("_go"), F.col("chosen")).otherwise(F.col("finish")))
         .withColumn("status", F.when(F.col("_go"), "auto").otherwise(F.col("status")))

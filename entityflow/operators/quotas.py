@@ -8,12 +8,14 @@ state of fixed size.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityflow.functions.clock import hour_number, second_number
 from entityflow.functions.ranking import running_total
 from entityflow.functions.scan import ordered_scan
 from entityflow.params import AuthParams, QuotaParams
@@ -22,10 +24,6 @@ HOUR = 3_600_000_000  # microseconds
 DAY = 24 * HOUR
 
 
-def _hour(ts: str = "ts") -> Column:
-    return F.date_trunc("HOUR", F.col(ts))
-
-
 def _clamped(total: Column, want: Column, cap: Column) -> Column:
     """What a request gets once the running total of wants is cut at ``cap``."""
     return F.least(total, cap) - F.least(total - want, cap)
@@ -34,7 +32,7 @@ def _clamped(total: Column, want: Column, cap: Column) -> Column:
 def clamp_grants(requests: DataFrame, cap: int) -> DataFrame:
     """Partial grants (user_id, day, ts, request_id, want): each gets what is left of the day's cap."""
     want = F.col("want").cast("bigint")
-    summed = running_total(requests, ["user_id", "day"], _hour(), ["ts", "request_id"], want, "_total")
+    summed = running_total(requests, ["user_id", "day"], hour_number(F.col("ts")), ["ts", "request_id"], want, "_total")
     return summed.withColumn("granted", _clamped(F.col("_total"), want, F.lit(cap).cast("bigint"))).drop("_total")
 
 
@@ -48,13 +46,13 @@ def fanout(requests: DataFrame, p: QuotaParams = QuotaParams()) -> DataFrame:
     order, zero = ["ts", "request_id"], F.lit(0).cast("bigint")
     offered = F.col("offered").cast("bigint")
     room = F.greatest(F.lit(p.photos_per_batch) - F.col("in_batch"), F.lit(0)).cast("bigint")
-    per_batch = running_total(requests, ["batch_id"], _hour(), order, offered, "_offers")
+    per_batch = running_total(requests, ["batch_id"], hour_number(F.col("ts")), order, offered, "_offers")
     asked = per_batch.withColumn("_demand", _clamped(F.col("_offers"), offered, room)).drop("_offers")
     photos = F.greatest(F.lit(p.photos_per_day) - F.col("used_photos"), zero).cast("bigint")
     fetches = F.greatest(F.lit(p.fetches_per_day) - F.col("used_fetches"), zero).cast("bigint")
-    per_day = running_total(asked, ["user_id", "day"], _hour(), order, F.col("_demand"), "_demands")
+    per_day = running_total(asked, ["user_id", "day"], hour_number(F.col("ts")), order, F.col("_demand"), "_demands")
     granted = per_day.withColumn("granted", _clamped(F.col("_demands"), F.col("_demand"), F.least(photos, fetches)))
-    in_batch = running_total(granted, ["batch_id"], _hour(), order, F.col("granted"), "_given")
+    in_batch = running_total(granted, ["batch_id"], hour_number(F.col("ts")), order, F.col("granted"), "_given")
     room_left = F.greatest(room - (F.col("_given") - F.col("granted")), zero)
     used = F.least(F.col("_demands") - F.col("_demand"), F.least(photos, fetches))
     bound = (
@@ -192,8 +190,19 @@ def session_touch(requests: DataFrame, key: str = "user_id", every: int = HOUR)
     return ordered_scan(requests.select(key, "ts", "request_id"), key, ["ts", "request_id"], "touched", fold, lambda: None)
 
 
-def idle_sessions(events: DataFrame, key: str = "user_id", gap: str = "2 hours") -> DataFrame:
-    """Sessions closed by a pause of ``gap``. Works on streams too."""
-    return events.groupBy(F.session_window("ts", gap), F.col(key)).agg(F.count(F.lit(1)).alias("events")).select(
-        key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "events"
+def idle_sessions(events: DataFrame, key: str = "user_id", gap: timedelta = timedelta(hours=2)) -> DataFrame:
+    """Sessions closed by a pause of ``gap``: (key, session_start, session_end, events).
+
+    Rows of one key within the same ``gap``-wide slot always share a session, so they are reduced to one row
+    before the shuffle, and the window sees at most one row per key and slot.
+    """
+    width, pause = F.lit(int(gap.total_seconds())), F.make_dt_interval(secs=F.lit(gap.total_seconds()))
+    slots = events.groupBy(key, F.floor(second_number(F.col("ts")) / width).alias("_slot")).agg(
+        F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
+    along = Window.partitionBy(key).orderBy("_slot")
+    opens = F.coalesce(F.col("_first") - F.lag("_last").over(along) >= pause, F.lit(True))
+    numbered = slots.withColumn("_opens", opens).withColumn("_session", F.count_if("_opens").over(along))
+    return numbered.groupBy(key, "_session").agg(
+        F.min("_first").alias("session_start"), (F.max("_last") + pause).alias("session_end"), F.sum("_n").alias("events")
+    ).drop("_session")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from entityflow.functions.ranking import first_n, newest
 from entityflow.operators.index import cap_newest, fingerprint_rows
 from entityflow.params import RESOLVED, HashParams
+from entityflow.sources.storage import materialise
 
 _GROUP = ["batch_id", "card_ref_id", "finish"]
 
@@ -145,7 +146,8 @@ def apply_transitions(
     """
     known = events.where(F.col("event").isin(*machine)).select("key", "ts", "event_id", "event", *carry)
     state = ledger.withColumn("_seen", F.struct(F.lit(None).cast("timestamp_ntz").alias("t"), F.lit(None).cast("bigint").alias("i")))
-    for _ in range(_longest_chain(machine)):
+    rounds = _longest_chain(machine)
+    for done in range(rounds):
         allowed = F.lit(False)
         for event, (guard, _to) in machine.items():
             allowed = allowed | ((F.col("event") == event) & F.col("status").isin(*guard))
@@ -163,4 +165,6 @@ def apply_transitions(
             **{c: F.coalesce(f"_e.{c}", c) for c in carry},
         }
         state = state.join(nxt, "key", "left").select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns])
+        if done + 1 < rounds:
+            state = materialise(state, "transitions")  # the next round reads it twice
     return state.drop("_seen")

@@ -22,6 +22,10 @@ def lit_ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+# tables whose rows are costly to work on, with the key to spread them by
+_SPREAD = {"lineitem": "l_orderkey", "embeddings": "vec_id", "documents": "doc_id"}
+
+
 class Tables:
     """DataFrames of one scale directory. Everything is lazy."""
 
@@ -30,7 +34,13 @@ class Tables:
         self.dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in _SPREAD:
+            return df
+        # A single small file is one task however much work its rows bring. Where the input has fewer splits than
+        # the cluster has slots, its rows are spread first; a large table has more splits and is left alone.
+        slots = self.spark.sparkContext.defaultParallelism
+        return df.repartition(slots, _SPREAD[name]) if df.rdd.getNumPartitions() < slots else df
 
     @cached_property
     def users(self) -> DataFrame:

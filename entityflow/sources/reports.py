@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entityflow.functions.joins import left_join_sparse
 from entityflow.functions.money import format_cents
 
 # Fixed value: the columns of the collection export, in order.
@@ -58,7 +59,7 @@ def scan_report(idents: DataFrame, refs: DataFrame) -> DataFrame:
         "crop_index", F.col("ref_id").alias("card_ref_id"), "name", "confidence", F.col("stage").alias("accepted_stage"),
         methods.alias("methods"), "candidates",
     )
-    return idents.join(names, "ref_id", "left").groupBy("file").agg(F.sort_array(F.collect_list(card)).alias("cards"))
+    return left_join_sparse(idents, names, ["ref_id"], "file").groupBy("file").agg(F.sort_array(F.collect_list(card)).alias("cards"))
 
 
 def read_manifest(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:

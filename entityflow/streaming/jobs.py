@@ -105,3 +105,11 @@ def session_touch_stream(requests: DataFrame, every: int = HOUR) -> DataFrame:
         step, "key bigint, ts timestamp_ntz, request_id bigint, touched boolean", "last bigint", "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def idle_session_stream(events: DataFrame, gap: str, lateness: str, key: str = "user_id") -> DataFrame:
+    """Stream form of idle sessions; a session is emitted once the watermark has passed its end."""
+    timed = events.withColumn("_event_time", F.col("ts").cast("timestamp")).withWatermark("_event_time", lateness)
+    return timed.groupBy(F.session_window("_event_time", gap), F.col(key)).agg(F.count(F.lit(1)).alias("events")).select(
+        key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "events"
+    )
