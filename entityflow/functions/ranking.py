@@ -59,7 +59,7 @@ def running_total(
     )
     match = F.col("_slot") == F.col("_kslot")
     for i, k in enumerate(keys):
-        match = match & (F.col(k) == F.col(f"_k{i}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.join(starts, match)

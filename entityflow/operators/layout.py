@@ -52,7 +52,7 @@ def drop_near(quads: DataFrame) -> DataFrame:
     ``union_passes``, which has removed identical outlines already.
     """
     order = ["pass", "position"]
-    marked = ordered_scan(quads.select("photo_id", *order, *CORNERS), "photo_id", order, "kept", _keep_apart, list)
+    marked = ordered_scan(quads.select("photo_id", *order, *CORNERS), ["photo_id"], order, "kept", _keep_apart, list)
     return marked.where("kept").drop("kept")
 
 

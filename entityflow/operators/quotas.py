@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entityflow.functions.clock import hour_number, second_number
+from entityflow.functions.clock import hour_number
 from entityflow.functions.ranking import running_total
-from entityflow.functions.scan import ordered_scan
+from entityflow.functions.scan import ordered_scan, time_slots, with_runs
 from entityflow.params import AuthParams, QuotaParams
 
 HOUR = 3_600_000_000  # microseconds
@@ -178,31 +178,32 @@ def _picked_times(fold: Callable) -> Callable:
 
 
 def rate_limit(requests: DataFrame, key: str = "user_id", p: AuthParams = AuthParams()) -> DataFrame:
-    """Admit at most so many per hour and per day and key, counting only admitted requests."""
+    """Admit at most so many per hour and per day and key, counting only admitted requests.
+
+    After a pause of more than a day nothing is remembered, so a key's stretches between such pauses are scanned
+    by different tasks.
+    """
     limits = ((p.links_per_hour, HOUR), (p.links_per_day, DAY))
     fold = _picked_times(lambda times, recent: next_admitted(times, recent, limits))
-    return ordered_scan(requests.select(key, "ts", "request_id"), key, ["ts", "request_id"], "admitted", fold, list)
+    rows = with_runs(requests.select(key, "ts", "request_id"), key, timedelta(days=1))
+    return ordered_scan(rows, [key, "run"], ["ts", "request_id"], "admitted", fold, list).drop("run")
 
 
-def session_touch(requests: DataFrame, key: str = "user_id", every: int = HOUR) -> DataFrame:
-    """Mark the requests that advance a key's last-seen time, which happens at most once per ``every``."""
-    fold = _picked_times(lambda times, last: next_touched(times, last, every))
-    return ordered_scan(requests.select(key, "ts", "request_id"), key, ["ts", "request_id"], "touched", fold, lambda: None)
+def session_touch(requests: DataFrame, key: str = "user_id", every: timedelta = timedelta(hours=1)) -> DataFrame:
+    """Mark the requests that advance a key's last-seen time, which happens at most once per ``every``.
 
+    The first request after a longer pause always does, so the stretches between pauses are independent.
+    """
+    micros = int(every.total_seconds() * 1_000_000)
+    fold = _picked_times(lambda times, last: next_touched(times, last, micros))
+    rows = with_runs(requests.select(key, "ts", "request_id"), key, every)
+    return ordered_scan(rows, [key, "run"], ["ts", "request_id"], "touched", fold, lambda: None).drop("run")
 
-def idle_sessions(events: DataFrame, key: str = "user_id", gap: timedelta = timedelta(hours=2)) -> DataFrame:
-    """Sessions closed by a pause of ``gap``: (key, session_start, session_end, events).
 
-    Rows of one key within the same ``gap``-wide slot always share a session, so they are reduced to one row
-    before the shuffle, and the window sees at most one row per key and slot.
-    """
-    width, pause = F.lit(int(gap.total_seconds())), F.make_dt_interval(secs=F.lit(gap.total_seconds()))
-    slots = events.groupBy(key, F.floor(second_number(F.col("ts")) / width).alias("_slot")).agg(
-        F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
-    along = Window.partitionBy(key).orderBy("_slot")
-    opens = F.coalesce(F.col("_first") - F.lag("_last").over(along) >= pause, F.lit(True))
-    numbered = slots.withColumn("_opens", opens).withColumn("_session", F.count_if("_opens").over(along))
-    return numbered.groupBy(key, "_session").agg(
-        F.min("_first").alias("session_start"), (F.max("_last") + pause).alias("session_end"), F.sum("_n").alias("events")
-    ).drop("_session")
+def idle_sessions(events: DataFrame, key: str = "user_id", gap: timedelta = timedelta(hours=2)) -> DataFrame:
+    """Sessions closed by a pause of ``gap``: (key, session_start, session_end, events)."""
+    slots = time_slots(events, key, gap, lambda pause, limit: pause >= limit)
+    end = F.max("last") + F.make_dt_interval(secs=F.lit(gap.total_seconds()))
+    return slots.groupBy(key, "run").agg(
+        F.min("first").alias("session_start"), end.alias("session_end"), F.sum("n").alias("events")
+    ).drop("run")

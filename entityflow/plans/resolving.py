@@ -216,7 +216,11 @@ def _(t):
     )
 
 
-@query("vector_index_build")
+@query("vector_index_build", "v_coef", f"""
+    SELECT substring(d, 1, 8) || '-' || substring(d, 9, 4) || '-5' || substring(d, 14, 3) || '-' ||
+           substring('89ab', CAST(CAST('0x' || substring(d, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1) || substring(d, 18, 3) || '-' || substring(d, 21, 12) AS point_id,
+           vec_id AS ref_id, round(coef[1] / sqrt(list_sum(list_transform(coef, lambda x: x * x))), 6) AS first
+    FROM (SELECT vec_id, coef, sha1(from_hex('{NAMESPACE.hex}') || encode(CAST(vec_id AS VARCHAR))) AS d FROM v_coef WHERE vec_id % 2 = 0 OR vec_id % 3 = 0)""")
 def _(t):
     vec = t.vectors
     old = ix.build_vectors(None, vec.where(F.col("point_id") % 2 == 0).select(F.col("point_id").alias("ref_id"), "vector"), NAMESPACE)

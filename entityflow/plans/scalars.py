@@ -193,17 +193,22 @@ def _(t):
 
 
 @query("fn_variant_expand", "v_coef", """
-    WITH shaken AS (SELECT vec_id, n, list_transform(range(64), lambda i: coef[i + 1] + (CAST('0x' || substring(md5(vec_id || '-' || n || '-' || i), 1, 8) AS BIGINT)
-                 / 4294967296::DOUBLE - 0.5::DOUBLE) * 0.02::DOUBLE) AS c
-            FROM v_coef, (SELECT unnest(range(1, 4)) AS n))
-    SELECT vec_id AS ref_id, 'full' AS hash_type, n AS variant, 'augmented' AS source, CAST(list_sum(list_transform(range(1, 64), lambda i:
+    WITH shaken AS (SELECT vec_id, n, CASE WHEN n = 0 THEN coef ELSE list_transform(range(64), lambda i: coef[i + 1]
+                 + (CAST('0x' || substring(md5(vec_id || '-' || n || '-' || i), 1, 8) AS BIGINT) / 4294967296::DOUBLE - 0.5::DOUBLE) * 0.02::DOUBLE) END AS c
+            FROM v_coef, (SELECT unnest(range(7)) AS n)),
+    tiered AS (SELECT vec_id, n, u.t AS t, CASE u.t WHEN 0 THEN c
+            WHEN 1 THEN list_transform(range(64), lambda i: c[(i + 1) % 64 + 1] - c[i + 1])
+            ELSE list_concat(c[16 * u.t - 31:16 * u.t], list_transform(range(32), lambda i: c[16 * u.t - 31 + (i + 1) % 32] - c[16 * u.t - 31 + i])) END AS c
+            FROM shaken, (SELECT unnest(range(5)) AS t) u)
+    SELECT vec_id AS ref_id, (['full', 'edge', 'region_art', 'region_name', 'region_text'])[t + 1] AS hash_type, n AS variant,
+           CASE WHEN n = 0 THEN 'reference' ELSE 'augmented' END AS source, CAST(list_sum(list_transform(range(1, 64), lambda i:
         CASE WHEN c[i + 1] > med THEN (1::BIGINT << (63 - i)::INTEGER) ELSE 0 END)) AS BIGINT) AS hash_bits
-    FROM (SELECT *, list_sort(c[2:64])[32] AS med FROM shaken)""")
+    FROM (SELECT *, list_sort(c[2:64])[32] AS med FROM tiered)""")
 def _(t):
     from entityflow.operators.index import variant_rows
+    from entityflow.params import HashParams
 
-    rows = variant_rows(t.coefficients.select(F.col("vec_id").alias("ref_id"), "coef"), 3)
-    return rows.where((F.col("hash_type") == "full") & (F.col("source") == "augmented"))
+    return variant_rows(t.coefficients.select(F.col("vec_id").alias("ref_id"), "coef"), HashParams().augmentations)
 
 
 @query("fn_l2_normalise", "v_coef", """
