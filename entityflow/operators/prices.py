@@ -102,7 +102,7 @@ def variant_spread(refs: DataFrame, prices: DataFrame, pct: float) -> DataFrame:
     )
     canonical = F.filter(F.array(*[F.lit(f) for f in FINISHES]), lambda f: F.array_contains(F.col("finishes"), f))
     lo, hi = F.col("min_cents").cast("double"), F.col("max_cents").cast("double")
-    narrow = (F.col("n_priced") == F.col("n_finishes")) & (F.col("min_cents") > 0) & ((hi - lo) / lo * 100.0 <= F.lit(float(pct)))
+    narrow = (F.col("n_priced") == F.col("n_finishes")) & (F.col("min_cents") > 0) & (F.try_divide(hi - lo, lo) * 100.0 <= F.lit(float(pct)))
     return g.select(
         "card_ref_id", "n_finishes", "n_priced", "min_cents", "max_cents",
         F.coalesce(narrow, F.lit(False)).alias("narrow"),
