@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,15 @@ class CollectionFilters:
     finish: str | None = None
     source: str | None = None  # "auto" or "corrected"
 
+    @classmethod
+    def parse(cls, options: Mapping[str, str]) -> CollectionFilters:
+        """From request text: empty options are absent, an unknown source is ignored."""
+        source = options.get("source")
+        return cls(
+            options.get("batch") or None, options.get("set") or None, options.get("finish") or None,
+            source if source in ("auto", "corrected") else None,
+        )
+
 
 def collection_filter(df: DataFrame, f: CollectionFilters = CollectionFilters()) -> DataFrame:
     """Resolved items only, narrowed by whichever options are given."""

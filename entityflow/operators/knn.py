@@ -25,11 +25,19 @@ NO_DISTANCE = 64  # reported where there is no (second) owner
 class Grid:
     """Most rows of one cell side; the cell counts follow from the table sizes."""
 
-    query_rows: int = 16_384
+    query_rows: int = 131_072
     index_rows: int = 65_536
+    least_rows: int = 1_024  # queries are not cut finer than this for the sake of parallelism
 
-    def chunks(self, queries: int, index: int) -> tuple[int, int]:
-        return max(1, -(-queries // self.query_rows)), max(1, -(-index // self.index_rows))
+    def chunks(self, queries: int, index: int, slots: int) -> tuple[int, int]:
+        """(query chunks, index blocks): as few as the row bounds allow, but enough cells to use every slot."""
+        blocks = max(1, -(-index // self.index_rows))
+        bounded = -(-queries // self.query_rows)
+        spread = min(-(-slots // blocks), queries // self.least_rows)
+        return max(1, bounded, spread), blocks
+
+
+VECTOR_GRID = Grid(32_768, 32_768)
 
 
 def load_index(df: DataFrame) -> DataFrame:
@@ -43,6 +51,10 @@ def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key:
     return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
+def _slots(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def _sizes(queries: DataFrame, index: DataFrame, by: Column) -> tuple[int, int]:
     """Rows of the largest group on each side, counted in one job."""
     sides = queries.select(F.lit(0).alias("side"), by.alias("by")).unionByName(index.select(F.lit(1).alias("side"), by.alias("by")))
@@ -86,7 +98,7 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
     """
     keys = ["hash_type", "hash_bits"]
     index = load_index(index)
-    n_q, n_i = grid.chunks(*_sizes(queries, index, F.col("hash_type")))
+    n_q, n_i = grid.chunks(*_sizes(queries, index, F.col("hash_type")), _slots(queries))
     # of equal fingerprints only the two lowest owners can ever be reported
     # (renamed: queries are often derived from the index itself)
     rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).select(
@@ -229,9 +241,9 @@ def _cosine_cell(k: int):
     return kernel
 
 
-def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = Grid(4_096, 16_384)) -> DataFrame:
+def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = VECTOR_GRID) -> DataFrame:
     """The ``k`` nearest points of every item with rank; equal similarity goes to the lowest point id."""
-    n_q, n_p = grid.chunks(*_sizes(queries, points, F.lit(0)))
+    n_q, n_p = grid.chunks(*_sizes(queries, points, F.lit(0)), _slots(queries))
     cells = ["_chunk", "_block"]
     types = {n: f.dataType.simpleString() for d in (queries, points) for n, f in ((f.name, f) for f in d.schema)}
     near = (
@@ -248,7 +260,7 @@ def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = G
 
 
 def cosine_match(
-    queries: DataFrame, points: DataFrame, k: int = 5, margin_scale: float = 0.05, grid: Grid = Grid(4_096, 16_384)
+    queries: DataFrame, points: DataFrame, k: int = 5, margin_scale: float = 0.05, grid: Grid = VECTOR_GRID
 ) -> DataFrame:
     """Owner of the nearest point; the score grows with the gap to the first other owner among the ``k``."""
     top = cosine_top(queries, points, k, grid)

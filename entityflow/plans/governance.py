@@ -328,3 +328,28 @@ def _(t):
     GROUP BY user_id, s""")
 def _(t):
     return quotas.idle_sessions(t.requests)
+
+
+# --- constraints -----------------------------------------------------------------------------
+
+_ODD_SQL = """(SELECT card_id AS id, photo_id, CASE WHEN confidence = 50 THEN NULL ELSE ordinal END AS crop_index, quantity, confidence,
+    CASE WHEN confidence = 77 THEN 'lost' ELSE status END AS status, CASE WHEN confidence = 88 THEN card_ref_id + 1000000 ELSE card_ref_id END AS card_ref_id FROM v_cards)"""
+
+
+@query("check_constraints", "v_cards v_refs v_photos", f"""
+    WITH odd AS (SELECT * FROM {_ODD_SQL})
+    SELECT 'required crop_index' AS rule, NULL AS value, count(*) AS rows FROM odd WHERE crop_index IS NULL HAVING count(*) > 0
+    UNION ALL SELECT 'allowed status', status, count(*) FROM odd WHERE status = 'lost' GROUP BY status
+    UNION ALL SELECT 'unique photo_id,crop_index', photo_id || '/' || crop_index, count(*) FROM odd WHERE crop_index IS NOT NULL GROUP BY photo_id, crop_index HAVING count(*) > 1
+    UNION ALL SELECT 'reference card_ref_id', CAST(card_ref_id AS VARCHAR), count(*) FROM odd ANTI JOIN v_refs r ON r.id = odd.card_ref_id GROUP BY card_ref_id""")
+def _(t):
+    from entityflow.operators.constraints import violations
+    from entityflow.schemas import TABLES
+
+    c = F.col("confidence")
+    odd = t.cards.select(
+        F.col("card_id").alias("id"), "photo_id", F.when(c != 50, F.col("ordinal")).alias("crop_index"), "quantity", "confidence",
+        F.when(c == 77, "lost").otherwise(F.col("status")).alias("status"),
+        F.when(c == 88, F.col("card_ref_id") + 1000000).otherwise(F.col("card_ref_id")).alias("card_ref_id"),
+    )
+    return violations(odd, TABLES["cards"], {"card_refs": t.refs, "photos": t.photos.withColumnRenamed("photo_id", "id")})

@@ -26,6 +26,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def list_assets(spark: SparkSession, path: str, suffix: str = ".png") -> DataFrame:
+    """(id, length) of the files below a folder, named by their id; no content is read. Spark may leave out empty files,
+    which count as absent anyway."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.left(name, F.length(name) - len(suffix)).alias("id"), "length")
+
+
 def photo_key(user: Column, batch: Column, photo: Column) -> Column:
     return F.concat_ws("/", user.cast("string"), batch.cast("string"), F.concat(photo.cast("string"), F.lit(".webp")))
 

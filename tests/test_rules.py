@@ -367,3 +367,44 @@ def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
     changes.write_changes(df.withColumn("v", F.lit(20)), 1, str(tmp_path / "t"))
     assert changes.read_changes(spark, str(tmp_path / "t"), df.schema).count() == 2
     assert [tuple(r) for r in changes.read_newest(spark, str(tmp_path / "t"), df.schema, ["k"]).collect()] == [(1, 20)]
+
+
+def test_asset_listing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, body in {"x-1.png": b"123", "a/y.2.png": b"", "z.txt": b"1"}.items():
+        (tmp_path / name).write_bytes(body)
+    listing = storage.list_assets(spark, str(tmp_path))
+    assert sorted(map(tuple, listing.where("length > 0").collect())) == [("x-1", 3)]
+    refs = spark.createDataFrame([("x-1",), ("y.2",), ("q",)], "id string")
+    kept, skipped = catalog.with_assets(refs, listing)
+    assert [r.id for r in kept.collect()] == ["x-1"] and sorted(r.id for r in skipped.collect()) == ["q", "y.2"]
+
+
+def test_filters_from_text():
+    f = collection.CollectionFilters.parse({"batch": "", "set": "S", "finish": "", "source": "odd"})
+    assert f == collection.CollectionFilters(set_id="S")
+    assert collection.CollectionFilters.parse({"source": "auto"}).source == "auto"
+
+
+def test_constraints(spark):
+    from entityflow.operators.constraints import violations
+    from entityflow.schemas import TABLES
+
+    prices_table = TABLES["prices"]
+    df = spark.createDataFrame([
+        ("a", "normal", 1, "s", T0), ("a", "normal", None, "s", T0), ("b", "holofoil", 1, None, T0), ("c", None, 1, "s", T0),
+    ], prices_table.schema)
+    parents = {"card_refs": spark.createDataFrame([("a",), ("b",)], "id string")}
+    assert sorted((r.rule, r.value or "", r.rows) for r in violations(df, prices_table, parents).collect()) == [
+        ("reference card_ref_id", "c", 1), ("required finish", "", 1), ("required source", "", 1), ("unique card_ref_id,finish", "a/normal", 2)]
+    for table in TABLES.values():
+        assert set(table.key) <= set(table.schema.names)
+
+
+def test_grid_uses_slots_and_respects_bounds():
+    from entityflow.operators.knn import Grid
+
+    assert Grid(100, 50, 10).chunks(1000, 120, 4) == (10, 3)
+    assert Grid(100, 50, 10).chunks(90, 10, 8) == (8, 1)
+    assert Grid(100, 50, 10).chunks(5, 10, 8) == (1, 1)
+    assert Grid(100, 50, 10).chunks(0, 0, 8) == (1, 1)
