@@ -21,6 +21,11 @@ PAYLOAD_KEYS: dict[str, tuple[str, ...]] = {
     "price": ("card_ref_id", "finish"),
 }
 NULLABLE_KEYS = ("predicted_ref_id",)
+# The types the web side may enqueue.
+WEB_PAYLOAD_KEYS: dict[str, tuple[str, ...]] = {
+    **{k: v for k, v in PAYLOAD_KEYS.items() if k != "price"},
+    "export": ("export_id",),
+}
 
 # Leading bytes of accepted images and the brands of the HEIF family.
 JPEG_MAGIC = "FFD8FF"
@@ -48,6 +53,13 @@ def gate_urls(df: DataFrame, p: GateParams = GateParams()) -> DataFrame:
     return df.withColumn("reason", reason).withColumn("source_type", F.when(F.col("reason").isNull(), kind))
 
 
+def is_album(url: Column) -> Column:
+    """Does an admitted URL name an album or thread, whose images have to be listed first?"""
+    host, path = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    album = (host == "imgur.com") & (path.contains("/a/") | path.contains("/gallery/"))
+    return F.coalesce(album | ((host == "www.reddit.com") & path.contains("/comments/")), F.lit(False))
+
+
 def split_url_requests(requests: DataFrame, p: GateParams = GateParams()) -> tuple[DataFrame, DataFrame]:
     """(entries, refused): whitespace-separated text to one row per URL; too many or none refuses the request."""
     parts = F.filter(F.split("text", r"\s+"), lambda s: s != "")
@@ -116,9 +128,11 @@ def keys_equal(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
-def validate_payload(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_payload(
+    jobs: DataFrame, required: Mapping[str, Sequence[str]] = PAYLOAD_KEYS
+) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined with reason)."""
-    checked = jobs.withColumn("reason", payload_reason(F.col("type"), F.col("payload")))
+    checked = jobs.withColumn("reason", payload_reason(F.col("type"), F.col("payload"), required))
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 

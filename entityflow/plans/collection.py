@@ -83,7 +83,7 @@ def _(t):
     SELECT user_id, card_id, rn, owner_rows, greatest(owner_rows - 3, 0) AS dropped
     FROM (SELECT user_id, card_id, count(*) OVER (PARTITION BY user_id) AS owner_rows,
                  row_number() OVER (PARTITION BY user_id ORDER BY set_name NULLS LAST, number NULLS LAST, card_id) AS rn
-          FROM v_star) WHERE rn <= 3""")
+          FROM v_star) WHERE rn <= 3""", types={"rn": "INTEGER"})
 def _(t):
     return op.truncate_per_owner(star(t).select("user_id", "card_id", "set_name", "number"), "user_id", op.sort_order("set_asc"), 3).select(
         "user_id", "card_id", "rn", "owner_rows", "dropped"
@@ -156,7 +156,7 @@ def _(t):
 @query("win_ticker", "v_cards v_refs", """
     SELECT batch_id, rn, card_id, name, confidence, status
     FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, card_id DESC) AS rn FROM v_cards) c
-    LEFT JOIN v_refs r ON r.id = c.card_ref_id WHERE rn <= 20""")
+    LEFT JOIN v_refs r ON r.id = c.card_ref_id WHERE rn <= 20""", types={"rn": "INTEGER"})
 def _(t):
     return op.ticker(t.cards.withColumnRenamed("created_at", "updated_at"), t.refs)
 
@@ -206,7 +206,7 @@ _ORDERED = f"""(SELECT item_id, list_transform(list_filter(range(1, 6), lambda i
 @query("join_id_lookup", "v_cards v_refs", f"""
     SELECT item_id, pos - 1 AS pos, ref_id, name, set_name, number
     FROM (SELECT item_id, unnest(range(1, len(uniq) + 1)) AS pos, unnest(uniq) AS ref_id FROM {_ORDERED})
-    JOIN v_refs ON id = ref_id""")
+    JOIN v_refs ON id = ref_id""", types={"pos": "INTEGER"})
 def _(t):
     return op.lookup_in_order(_choices(t), t.refs)
 

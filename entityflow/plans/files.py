@@ -35,7 +35,7 @@ def _placed(t: Tables):
     WITH decided AS MATERIALIZED (SELECT * FROM {decide_sql()}), cand AS {CANDIDATES_SQL.replace('METHODS', 'v_methods').replace('DECIDED', 'decided')}
     SELECT c.photo_id AS file, row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1 AS crop_index, d.ref_id AS card_ref_id, r.name, d.confidence,
            d.stage AS accepted_stage, array_to_string(d.ran, '') AS methods, coalesce(cand.candidates, '') AS candidates
-    FROM v_cards c JOIN decided d ON d.item_id = c.card_id LEFT JOIN v_refs r ON r.id = d.ref_id LEFT JOIN cand ON cand.item_id = c.card_id""")
+    FROM v_cards c JOIN decided d ON d.item_id = c.card_id LEFT JOIN v_refs r ON r.id = d.ref_id LEFT JOIN cand ON cand.item_id = c.card_id""", types={"crop_index": "INTEGER"})
 def _(t):
     decisions = cascade.decide(t.methods).withColumnRenamed("item_id", "card_id")
     report = reports.scan_report(_placed(t).join(decisions, "card_id"), t.refs)
@@ -61,7 +61,7 @@ def _(t):
 
 @query("src_eval_manifest", "v_cards", """
     SELECT photo_id AS file, max(scenario) OVER (PARTITION BY photo_id) AS scenario, row_number() OVER (PARTITION BY photo_id ORDER BY card_id) - 1 AS pos,
-           CAST(card_ref_id AS VARCHAR) AS expected, coalesce(finish, 'unknown') AS finish FROM v_cards""")
+           CAST(card_ref_id AS VARCHAR) AS expected, coalesce(finish, 'unknown') AS finish FROM v_cards""", types={"pos": "INTEGER"})
 def _(t):
     entry = F.struct("card_id", F.struct(F.col("card_ref_id").cast("string").alias("card_ref_id"), "finish", F.lit("").alias("notes")).alias("c"))
     cards = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["c"])
@@ -141,7 +141,7 @@ def _(t):
 @query("win_reading_order", "v_cards", f"""
     SELECT photo_id, x AS x0, y AS y0, rn - 1 AS ordinal FROM (
       SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY floor((y + 42) / (500 * 0.15::DOUBLE)), x + 30, x, y) AS rn
-      FROM (SELECT DISTINCT photo_id, x, y FROM {_QUADS_SQL})) WHERE rn <= 5""")
+      FROM (SELECT DISTINCT photo_id, x, y FROM {_QUADS_SQL})) WHERE rn <= 5""", types={"ordinal": "INTEGER"})
 def _(t):
     quads = layout.union_passes(_quads(t)).withColumn("height", F.lit(500.0))
     return layout.reading_order(quads, 5).select("photo_id", "x0", "y0", "ordinal")

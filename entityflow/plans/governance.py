@@ -33,7 +33,7 @@ def _(t):
            CASE WHEN res AND rn > 1 THEN 'merged' ELSE status END AS status
     FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY res, batch_id, card_ref_id, finish) AS n
           FROM (SELECT *, status IN ('auto', 'validated', 'corrected') AS res FROM {_DUP_SQL})
-          WINDOW w AS (PARTITION BY res, batch_id, card_ref_id, finish ORDER BY created_at, card_id))""")
+          WINDOW w AS (PARTITION BY res, batch_id, card_ref_id, finish ORDER BY created_at, card_id))""", types={"quantity": "INTEGER"})
 def _(t):
     return reviews.merge_duplicates(dup_cards(t)).select("card_id", "quantity", "status")
 
@@ -68,7 +68,7 @@ def _reviews(t: Tables):
            CASE WHEN res AND rn = 1 THEN quantity + n_seen - CASE WHEN all_seen THEN 1 ELSE 0 END WHEN res AND seen THEN 0 ELSE quantity END AS quantity,
            CASE WHEN res AND rn > 1 AND seen THEN 'merged' ELSE status END AS status,
            CASE WHEN seen THEN coalesce(CAST(predicted AS VARCHAR), '') || '>' || ref END AS correction
-    FROM ranked""")
+    FROM ranked""", types={"quantity": "INTEGER"})
 def _(t):
     cards, corrections = reviews.apply_reviews(dup_cards(t), _reviews(t))
     text = F.concat_ws(">", F.coalesce(F.col("predicted_ref_id").cast("string"), F.lit("")), F.col("actual_ref_id").cast("string"))
@@ -156,7 +156,7 @@ def _scored(t: Tables):
     return placed, got
 
 
-@query("join_eval_positional", "v_cards v_wide", f"SELECT * FROM {_SCORED_SQL}")
+@query("join_eval_positional", "v_cards v_wide", f"SELECT * FROM {_SCORED_SQL}", types={"pos": "INTEGER"})
 def _(t):
     return evaluate.score_items(*_scored(t))
 
@@ -233,7 +233,7 @@ _FANOUT_CAPS = QuotaParams(photos_per_batch=6, photos_per_day=14, fetches_per_da
             JOIN r ON r.user_id = w.user_id AND r.day = w.day AND r.i = w.i + 1) n)
     SELECT request_id, batch_id, offered, granted, CASE WHEN granted < offered THEN
         CASE WHEN granted = least(offered, batch_room) THEN 'photos_per_batch' WHEN granted = photos_room THEN 'daily photos quota' ELSE 'daily fetches quota' END END AS bound
-    FROM walk""".replace("SELECT r.*, least(offered", "SELECT user_id, day, ts, request_id, batch_id, offered, in_batch, used_photos, used_fetches, i, least(offered"))
+    FROM walk""".replace("SELECT r.*, least(offered", "SELECT user_id, day, ts, request_id, batch_id, offered, in_batch, used_photos, used_fetches, i, least(offered"), types={"granted": "BIGINT"})
 def _(t):
     k = F.col("user_id")
     offers = t.requests.select(

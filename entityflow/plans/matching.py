@@ -16,13 +16,13 @@ def _(t):
     return knn.load_index(t.index.unionByName(odd))
 
 
-@query("join_hamming_knn", "v_knn", "SELECT item_id, hash_type, best_ref, best_dist, second_dist FROM v_knn")
+@query("join_hamming_knn", "v_knn", "SELECT item_id, hash_type, best_ref, best_dist, second_dist FROM v_knn", types={"best_dist": "INTEGER", "second_dist": "INTEGER"})
 def _(t):
     return knn.hamming_knn(t.probe, t.index).drop("hash_bits")
 
 
 @query("win_best_two_distinct", "v_knn", """
-    SELECT item_id, hash_type, best_dist, second_dist - best_dist AS margin FROM v_knn""")
+    SELECT item_id, hash_type, best_dist, second_dist - best_dist AS margin FROM v_knn""", types={"best_dist": "INTEGER", "margin": "INTEGER"})
 def _(t):
     # a fine grid, so that the best two are merged over many blocks
     return knn.hamming_knn(t.probe, t.index, knn.Grid(1000, 150)).select(
@@ -31,7 +31,7 @@ def _(t):
 
 
 @query("join_hamming_ensemble", "v_match", """
-    SELECT item_id, CASE WHEN matched THEN ref_id END AS ref_id, round(score, 9) AS score, distance, margin, agreement FROM v_match""")
+    SELECT item_id, CASE WHEN matched THEN ref_id END AS ref_id, round(score, 9) AS score, distance, margin, agreement FROM v_match""", types={"distance": "INTEGER", "margin": "INTEGER", "agreement": "INTEGER"})
 def _(t):
     return knn.hamming_match(t.probe, t.index).withColumn("score", F.round("score", 9))
 
@@ -54,7 +54,7 @@ _MASKS = (0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x00FF00FF00FF00FF, 0x7FFF0000
         SELECT item_id, alternative, CASE WHEN item_id % 4 = alternative THEN hash_bits ELSE xor(hash_bits, ({list(_MASKS)})[alternative + 1]) END AS bits
         FROM v_probe, (SELECT unnest([0, 1, 2, 3]) AS alternative) WHERE hash_type = 'full') a
       CROSS JOIN (SELECT hash_bits FROM v_index WHERE hash_type = 'full') i GROUP BY 1, 2)
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, alternative) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, alternative) = 1""", types={"distance": "INTEGER"})
 def _(t):
     masks = F.array(*[F.lit(m).cast("bigint") for m in _MASKS])
     alternatives = t.probe.where(F.col("hash_type") == "full").select(
@@ -143,7 +143,7 @@ def _(t):
     SELECT item_id, ref_id, score, rn FROM (
       SELECT item_id, ref_id, max(score) AS score, row_number() OVER (PARTITION BY item_id
         ORDER BY max(score) DESC, min(list_position(['h', 'a', 'b', 'c'], method))) AS rn
-      FROM v_methods WHERE ref_id IS NOT NULL GROUP BY item_id, ref_id) WHERE rn <= 3""")
+      FROM v_methods WHERE ref_id IS NOT NULL GROUP BY item_id, ref_id) WHERE rn <= 3""", types={"rn": "INTEGER"})
 def _(t):
     return cascade.top_candidates(t.methods)
 

@@ -12,8 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame``; ``sql`` may use the named views as tables."""
+def query(name: str, views: str = "", sql: str | None = None, types: dict[str, str] | None = None):
+    """Register ``fn(tables) -> DataFrame``; ``sql`` may use the named views as tables.
+
+    ``types`` names the SQL types of result columns that SQL would give another width.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,11 @@ def query(name: str, views: str = "", sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            text = with_views(views, sql)
+            if types:
+                casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+                text = f"SELECT * REPLACE ({casts}) FROM ({text})"
+            ORACLES[name] = text
         return fn
 
     return register

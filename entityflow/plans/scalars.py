@@ -203,7 +203,7 @@ def _(t):
     SELECT vec_id AS ref_id, (['full', 'edge', 'region_art', 'region_name', 'region_text'])[t + 1] AS hash_type, n AS variant,
            CASE WHEN n = 0 THEN 'reference' ELSE 'augmented' END AS source, CAST(list_sum(list_transform(range(1, 64), lambda i:
         CASE WHEN c[i + 1] > med THEN (1::BIGINT << (63 - i)::INTEGER) ELSE 0 END)) AS BIGINT) AS hash_bits
-    FROM (SELECT *, list_sort(c[2:64])[32] AS med FROM tiered)""")
+    FROM (SELECT *, list_sort(c[2:64])[32] AS med FROM tiered)""", types={"variant": "INTEGER"})
 def _(t):
     from entityflow.operators.index import variant_rows
     from entityflow.params import HashParams
@@ -213,7 +213,7 @@ def _(t):
 
 @query("fn_l2_normalise", "v_coef", """
     SELECT vec_id, pos - 1 AS pos, round(v / sqrt(sq), 6) AS value FROM (
-      SELECT vec_id, unnest(range(1, 65)) AS pos, unnest(coef) AS v, list_sum(list_transform(coef, lambda x: x * x)) AS sq FROM v_coef)""")
+      SELECT vec_id, unnest(range(1, 65)) AS pos, unnest(coef) AS v, list_sum(list_transform(coef, lambda x: x * x)) AS sq FROM v_coef)""", types={"pos": "INTEGER"})
 def _(t):
     unit = t.coefficients.select("vec_id", vectors.l2_normalise(F.col("coef")).alias("u"))
     return unit.select("vec_id", F.posexplode("u").alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("value"))
@@ -222,7 +222,7 @@ def _(t):
 @query("fn_mean_pool", "v_coef", """
     SELECT vec_id, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY vec_id)), 6) AS value FROM (
       SELECT vec_id, i AS pos, (coef[i + 1] + coef[i + 17] + coef[i + 33] + coef[i + 49]) / 4 AS m
-      FROM v_coef, (SELECT unnest(range(16)) AS i))""")
+      FROM v_coef, (SELECT unnest(range(16)) AS i))""", types={"pos": "INTEGER"})
 def _(t):
     tokens = F.array(*[F.slice("coef", 1 + 16 * i, 16) for i in range(4)])
     pooled = t.coefficients.select("vec_id", vectors.l2_normalise(vectors.mean_pool(tokens)).alias("u"))

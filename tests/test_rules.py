@@ -408,3 +408,12 @@ def test_grid_uses_slots_and_respects_bounds():
     assert Grid(100, 50, 10).chunks(90, 10, 8) == (8, 1)
     assert Grid(100, 50, 10).chunks(5, 10, 8) == (1, 1)
     assert Grid(100, 50, 10).chunks(0, 0, 8) == (1, 1)
+
+
+def test_albums_and_web_payloads(spark):
+    urls = {"https://imgur.com/a/1": True, "https://imgur.com/gallery/x": True, "https://i.imgur.com/a/1": False, "https://www.reddit.com/r/x/comments/1": True, "zzz": False}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.a for r in df.select("url", gates.is_album(F.col("url")).alias("a")).collect()} == urls
+    jobs_df = spark.createDataFrame([("export", '{"export_id": "e"}'), ("price", '{"card_ref_id": "r", "finish": "f"}')], "type string, payload string")
+    ok, bad = gates.validate_payload(jobs_df, gates.WEB_PAYLOAD_KEYS)
+    assert [r.type for r in ok.collect()] == ["export"] and [r.type for r in bad.collect()] == ["price"]
