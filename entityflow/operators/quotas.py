@@ -80,8 +80,9 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
     whatever it asks for, unless ``strict_first``.
 
     Counters only grow, so of requests asking for the same amounts only the first few of a day can be admitted.
-    Those few, at most the cap divided by the amount, decide the day's counters; every request is then judged
-    against the counters at its time.
+    Those few, at most the cap divided by the amount, decide the day's counters, and so the moment from which each
+    amount no longer fits; every request is then only compared with that moment. Users, days and amounts must be
+    known (not NULL).
     """
     caps = dict(zip(DIMENSIONS, (p.batches_per_day, p.photos_per_day, p.fetches_per_day)))
     keys, order = ["user_id", "day"], ["ts", "request_id"]
@@ -122,17 +123,27 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
         *keys, "_opener",
         F.aggregate(F.coalesce("_few", F.array().cast(log_type)), start, step, lambda acc: acc["log"]).alias("_log"),
     )
-    judged = requests.join(ledger, keys)
-    here = F.struct(F.col("ts").alias("ts"), F.col("request_id").alias("request_id"))
-    before = F.filter("_log", lambda x: F.struct(x["ts"].alias("ts"), x["request_id"].alias("request_id")) < here)
-    used = F.when(F.size(before) > 0, F.element_at(before, F.size(before)))
-    over = [(F.coalesce(used[d], F.lit(0)) + F.col(d) > c, d) for d, c in caps.items()]
+    # from which logged admission on does each counter have no room for these amounts?
+    def full_at(d: str, cap: int) -> Column:
+        entry = F.try_element_at(F.filter("_log", lambda x: x[d] + F.col(d) > cap), F.lit(1))
+        return F.struct(entry["ts"].alias("ts"), entry["request_id"].alias("request_id"))
+
+    full = [full_at(d, c).alias(f"_full_{d}") for d, c in caps.items()]
+    kinds = requests.groupBy(*keys, *DIMENSIONS).agg(F.count(F.lit(1)).alias("_n")).join(ledger, keys).select(
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, *DIMENSIONS)], "_opener", *full
+    )
+    same_kind = F.lit(True)
+    for k in (*keys, *DIMENSIONS):
+        same_kind = same_kind & (F.col(k) == F.col(f"_k_{k}"))
+    here = F.struct("ts", "request_id")
     reason = F.lit(None).cast("string")
-    for bad, d in reversed(over):
-        reason = F.when(bad, d).otherwise(reason)
+    for d, c in reversed(caps.items()):
+        late = F.col(f"_full_{d}.ts").isNotNull() & (here > F.col(f"_full_{d}"))
+        reason = F.when((F.col(d) > c) | late, d).otherwise(reason)
     if not strict_first:
         reason = F.when(F.col("request_id") == F.col("_opener.request_id"), F.lit(None).cast("string")).otherwise(reason)
-    return judged.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull()).drop("_log", "_opener")
+    judged = requests.join(kinds, same_kind).withColumn("reason", reason)
+    return judged.select(*requests.columns, "reason", F.col("reason").isNull().alias("admitted"))
 
 
 # --- time-window rules: one ordered scan per key, state of fixed size -------------------------
