@@ -249,9 +249,9 @@ def _(t):
 
 @query("spec_population", "v_star", """
     SELECT set_name, CASE WHEN price_cents IS NULL THEN NULL WHEN price_cents >= 400000 THEN 2 WHEN price_cents >= 200000 THEN 1 ELSE 0 END AS band,
-           CAST(sum(quantity) AS BIGINT) AS cards, count(DISTINCT user_id) AS owners FROM v_star GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 200""")
+           CAST(sum(quantity) AS BIGINT) AS cards, count(DISTINCT user_id) AS owners FROM v_star GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 25""")
 def _(t):
-    return upkeep.population(star(t), (200000, 400000), 200)
+    return upkeep.population(star(t), (200000, 400000), 25)
 
 
 @query("spec_specular", "", """
