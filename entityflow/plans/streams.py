@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from entityflow.operators import index as ix
+from entityflow.params import TIERS
 from entityflow.plans.bindings import Tables
+from entityflow.plans.governance import RATE_SQL, TOUCH_SQL
 from entityflow.plans.registry import query
 from entityflow.sources.storage import scratch
 from entityflow.streaming import changes, jobs
@@ -73,8 +75,6 @@ def _(t):
     path = scratch(t.spark, "corrections")
     changes.run_available(rows, path, jobs.correction_changes)
     index = ix.cap_newest(changes.read_changes(t.spark, f"{path}/table", rows.schema).drop("change"), 20)
-    from entityflow.params import TIERS
-
     tier = F.array_position(F.array(*[F.lit(x) for x in TIERS]), F.col("hash_type")) - 1
     return index.select("ref_id", tier.alias("t"), "row_id", F.col("hash_bits").alias("bits"))
 
@@ -93,9 +93,6 @@ def _keyed(t: Tables):
     return _streams(t).requests.select((F.col("user_id") % 6).alias("key"), "ts", "request_id")
 
 
-from entityflow.plans.governance import RATE_SQL, TOUCH_SQL  # noqa: E402
-
-
 @query("st_rate_limit_stream", "v_requests", RATE_SQL)
 def _(t):
     admitted = jobs.rate_limit_stream(_keyed(t))
