@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path in the shared place the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a local temporary folder is used.
+    Where that is unset, a session on one machine (a ``local`` master, as in tests) uses a temporary folder; any other
+    session is refused, as its executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="entityflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="entityflow-")
     return f"{base.rstrip('/')}/entityflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a stage's rows to the shared folder and go on from the file, so that no later branch, and no retry
     after a lost executor, repeats the stage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
