@@ -24,7 +24,7 @@ from entityflow.llm.common import boxed, let, unboxed, words
 from entityflow.sources.storage import materialise
 
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "A-Z"
 # Up to this many different repeated windows a text's windows are looked up in a list, beyond it they are sorted.
 _FEW = 48
 
@@ -47,7 +47,8 @@ class QualityParams:
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Characters of a Java character class."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def _repeat_words(w: Column) -> Column:
@@ -77,9 +78,9 @@ def _repeat_words(w: Column) -> Column:
             F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False)))))
         return let(twice, lambda d: F.when(F.size(d) <= _FEW, by_lookup(h, d)).otherwise(by_sorting(h)))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+    windows = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(
-        let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(any_repeat(h)))
+        let(F.slice(windows, F.lit(1), F.size(w) - 2), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(any_repeat(h)))
     )
 
 
