@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from entityflow.llm.licences import COPYRIGHT, KNOWN, LOWER, SPELLINGS, UPPER
+
 ORACLES: dict[str, str] = {}
 
 # Fixed values of the operator's defaults, as in quality.QualityParams.
@@ -91,3 +93,98 @@ SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
         + least(size, greatest(0, goal - CASE WHEN s > 0 THEN goal // s ELSE 0 END * s - before)))::BIGINT AS taken
 FROM p
 """
+
+ORACLES["op3_revisits"] = r"""
+WITH p AS (
+  SELECT page_id AS p, url, '"' || left(sha256(coalesce(html, '')), 16) || '"' AS tag, 'day ' || (page_id % 28) AS dated FROM pages),
+r AS (
+  SELECT 3 * p AS id, true AS whole, url, p * 60 AS at, tag, dated, tag AS own_tag, dated AS own_dated FROM p
+  UNION ALL
+  SELECT 3 * p + k, false, CASE k WHEN 1 THEN url || '#again' ELSE regexp_replace(url, '[?#].*$', '') || '?utm_source=x' END,
+         CASE k WHEN 1 THEN p * 60 + 60 + 86400 * (p % 4) ELSE p * 60 + 86400 * (1 - 2 * (p % 2)) END, tag, dated,
+         CASE p % 7 WHEN 0 THEN '"stale"' WHEN 1 THEN NULL WHEN 2 THEN 'W/' || tag WHEN 3 THEN NULL ELSE tag END,
+         CASE WHEN p % 7 IN (1, 2) THEN dated END
+  FROM p, (SELECT unnest([1, 2]) AS k)),
+bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM r),
+parts AS (
+  SELECT *, regexp_replace(lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') AS host,
+         regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref)(=|$)'))) AS q
+  FROM bare),
+k AS (
+  SELECT *, CASE WHEN regexp_matches(b, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?]')
+            THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key
+  FROM parts),
+j AS (
+  SELECT *, last_value(CASE WHEN whole THEN struct_pack(i := id, t := own_tag, d := own_dated, at := at) END IGNORE NULLS) OVER (
+           PARTITION BY url_key ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+  FROM k),
+v AS (
+  SELECT *, CASE WHEN l IS NULL OR url_key IS NULL THEN 'no_response'
+    WHEN CASE WHEN own_tag LIKE 'W/%' THEN substr(own_tag, 3) = regexp_replace(l.t, '^W/', '')
+              WHEN own_tag IS NOT NULL THEN own_tag = l.t
+              WHEN own_dated IS NOT NULL THEN own_dated = l.d
+              ELSE l.t IS NULL AND l.d IS NULL END THEN 'resolved' ELSE 'mismatch' END AS verdict
+  FROM j WHERE NOT whole)
+SELECT id AS record_id, url_key, CASE WHEN verdict = 'resolved' THEN l.i END AS response_id, verdict,
+       CASE WHEN verdict = 'resolved' THEN
+         'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || at || chr(10)
+         || 'etag: ' || coalesce(own_tag, l.t) || chr(10) || 'last-modified: ' || coalesce(own_dated, l.d) END AS headers
+FROM v
+"""
+
+ORACLES["op6_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') AS t,
+         replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') AS r,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c),
+f AS (SELECT *, CASE WHEN before = role THEN 3 + length(t) ELSE 7 + length(r) + length(t) + 8 END AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES["op10_topk"] = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def _canonical(text: str) -> str:
+    form = f"""' ' || regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m){COPYRIGHT}', '', 'g'),
+        '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '"""
+    for variant, usual in SPELLINGS:
+        form = f"replace({form}, ' {variant} ', ' {usual} ')"
+    return f"trim({form})"
+
+
+def _known() -> str:
+    return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+
+
+ORACLES["op4_licences"] = rf"""
+WITH known AS (
+  SELECT sha256({_canonical("text")}) AS k, min(licence) AS licence FROM (VALUES {_known()}) AS t(licence, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+w AS (SELECT rid, doc_id, nullif({_canonical("text")}, '') AS c FROM d),
+l AS (
+  SELECT rid, list_sort(list(DISTINCT licence)) AS notices
+  FROM (SELECT rid, {_canonical("line")} AS c FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)) x
+  JOIN known ON c <> '' AND sha256(c) = k GROUP BY rid)
+SELECT doc_id, CASE WHEN c IS NOT NULL THEN sha256(c) END AS digest, licence, coalesce(array_to_string(notices, ','), '') AS notices
+FROM w LEFT JOIN known ON sha256(c) = k LEFT JOIN l USING (rid)
+"""
