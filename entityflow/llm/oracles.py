@@ -98,7 +98,7 @@ ORACLES["op3_revisits"] = r"""
 WITH p AS (
   SELECT page_id AS p, url, '"' || left(sha256(coalesce(html, '')), 16) || '"' AS tag, 'day ' || (page_id % 28) AS dated FROM pages),
 r AS (
-  SELECT 3 * p AS id, true AS whole, url, p * 60 AS at, tag, dated, tag AS own_tag, dated AS own_dated FROM p
+  SELECT 3 * p AS id, true AS whole, url, p * 60 AS ts, tag, dated, tag AS own_tag, dated AS own_dated FROM p
   UNION ALL
   SELECT 3 * p + k, false, CASE k WHEN 1 THEN url || '#again' ELSE regexp_replace(url, '[?#].*$', '') || '?utm_source=x' END,
          CASE k WHEN 1 THEN p * 60 + 60 + 86400 * (p % 4) ELSE p * 60 + 86400 * (1 - 2 * (p % 2)) END, tag, dated,
@@ -117,8 +117,8 @@ k AS (
             THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key
   FROM parts),
 j AS (
-  SELECT *, last_value(CASE WHEN whole THEN struct_pack(i := id, t := own_tag, d := own_dated, at := at) END IGNORE NULLS) OVER (
-           PARTITION BY url_key ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+  SELECT *, last_value(CASE WHEN whole THEN {'i': id, 't': own_tag, 'd': own_dated} END IGNORE NULLS) OVER (
+           PARTITION BY url_key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
   FROM k),
 v AS (
   SELECT *, CASE WHEN l IS NULL OR url_key IS NULL THEN 'no_response'
@@ -129,7 +129,7 @@ v AS (
   FROM j WHERE NOT whole)
 SELECT id AS record_id, url_key, CASE WHEN verdict = 'resolved' THEN l.i END AS response_id, verdict,
        CASE WHEN verdict = 'resolved' THEN
-         'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || at || chr(10)
+         'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10)
          || 'etag: ' || coalesce(own_tag, l.t) || chr(10) || 'last-modified: ' || coalesce(own_dated, l.d) END AS headers
 FROM v
 """

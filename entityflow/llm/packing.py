@@ -32,7 +32,7 @@ class PackParams:
     capacity: int = 4096
     end_id: int = 1
     bins: int = 64  # of equal width
-    parts: int = 4  # pieces of a pattern at most
+    parts: int = 3  # pieces of a pattern at most
     block: int = 50_000  # pieces of a block, about
 
 
@@ -51,22 +51,19 @@ class Encoder:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.known) > self._WORDS:
-            self.known = {"": b""}
-        new = [p for p in set(parts) if p not in self.known]
-        short = [p for p in new if len(p) <= self._LONG]
-        self.known.update(zip(short, self._encode(short)))
-        if len(short) == len(new):
-            return b"".join(map(self.known.__getitem__, parts))
-        rare = [p for p in new if len(p) > self._LONG]
-        found = dict(zip(rare, self._encode(rare)))
-        return b"".join(self.known[p] if p in self.known else found[p] for p in parts)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. The words of all of them that are new are encoded in one call."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        new = [w for w in set().union(*split) if w not in known]
+        coded = dict(zip(new, self._encode(new))) if new else {}
+        if len(known) < self._WORDS:  # the frequent words come first; later ones are encoded each time
+            known.update((w, c) for w, c in coded.items() if len(w) <= self._LONG)
+        rare = coded.keys() - known.keys()
+        return [
+            b"".join(map(known.__getitem__, parts) if rare.isdisjoint(parts) else [known.get(w) or coded.get(w, b"") for w in parts])
+            for parts in split
+        ]
 
 
 def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -81,8 +78,9 @@ def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: Pack
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, t in enumerate(part.column("text").to_pylist()):
-                    whole = memoryview(encoder.encode(t or "") + end)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for i, coded in enumerate(encoder.encode(texts)):
+                    whole = memoryview(coded + end)
                     for k, s in enumerate(range(0, len(whole) // 4, p.capacity)):
                         cut = whole[4 * s : 4 * (s + p.capacity)]
                         row.append(i)
@@ -151,43 +149,71 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndar
     return x
 
 
+class Shelf:
+    """Numbers kept by size, from which the largest or smallest size within limits is taken."""
+
+    def __init__(self, capacity: int):
+        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.mask = 0  # bit s is set where there are numbers of size s
+
+    def put(self, size: int, number: int) -> None:
+        self.at[size].append(number)
+        self.mask |= 1 << size
+
+    def take(self, size: int) -> int:
+        number = self.at[size].pop()
+        if not self.at[size]:
+            self.mask &= ~(1 << size)
+        return number
+
+    def largest(self, low: int, high: int) -> int:
+        """The largest size from ``low`` to ``high``, or -1."""
+        size = (self.mask & ((1 << (high + 1)) - 1)).bit_length() - 1
+        return size if size >= low else -1
+
+    def smallest(self, low: int) -> int:
+        fits = self.mask >> low
+        return low + (fits & -fits).bit_length() - 1 if fits else -1
+
+
 def best_fit(lengths: np.ndarray, counts: np.ndarray, wanted: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece of one block: ``counts[i]`` bins of pattern i, ``wanted[i]`` times."""
+    """(sequence, offset) of each piece of one block: ``counts[i]`` bins of pattern i, ``wanted[i]`` times. A pattern's
+    last piece is the longest one left that fits, so that rounding the lengths up leaves no gap."""
     width = p.capacity // p.bins
-    order = np.argsort(-lengths, kind="stable")
-    which = -(-lengths[order] // width) - 1
-    at = np.searchsorted(-which, -np.arange(p.bins), side="left")  # first place of each bin in the order
-    end = np.searchsorted(-which, -np.arange(p.bins), side="right")
-    sequence, offset = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
-    open_at: list[list[int]] = [[] for _ in range(p.capacity + 1)]
-    mask, n = 0, 0
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    pieces, rooms, n = Shelf(p.capacity), Shelf(p.capacity), 0
+    for i, size in enumerate(lengths.tolist()):
+        pieces.put(size, i)
+
+    def place(size: int, k: int, full: int) -> int:
+        i = pieces.take(size)
+        sequence[i], offset[i] = k, full
+        return full + size
+
     for pattern, times in zip(counts, wanted.tolist()):
-        parts = [(b, int(pattern[b])) for b in np.flatnonzero(pattern)[::-1]]
-        for _ in range(min([times, *[(end[b] - at[b]) // c for b, c in parts]])):
+        *first, last = [b for b in np.flatnonzero(pattern)[::-1].tolist() for _ in range(int(pattern[b]))]
+        for _ in range(times):
             full = 0
-            for b, c in parts:
-                for i in order[at[b] : at[b] + c]:
-                    sequence[i], offset[i] = n, full
-                    full += int(lengths[i])
-                at[b] += c
-            if full < p.capacity:
-                open_at[p.capacity - full].append(n)
-                mask |= 1 << (p.capacity - full)
-            n += 1
-    for i in order[sequence[order] < 0].tolist():
-        size = int(lengths[i])
-        fits = mask >> size
-        if fits:
-            room = size + (fits & -fits).bit_length() - 1
-            k = open_at[room].pop()
-            if not open_at[room]:
-                mask &= ~(1 << room)
+            for b in [*first, None]:
+                low, high = (last * width + 1, p.capacity - full) if b is None else (b * width + 1, (b + 1) * width)
+                size = pieces.largest(low, high)
+                if size < 0:
+                    break
+                full = place(size, n, full)
+            if 0 < full < p.capacity:
+                rooms.put(p.capacity - full, n)
+            n += full > 0
+            if size < 0:  # this pattern has run out of pieces
+                break
+    while (size := pieces.largest(1, p.capacity)) > 0:
+        room = rooms.smallest(size)
+        if room < 0:
+            k, n, room = n, n + 1, p.capacity
         else:
-            room, k, n = p.capacity, n, n + 1
-        sequence[i], offset[i] = k, p.capacity - room
+            k = rooms.take(room)
+        place(size, k, p.capacity - room)
         if room > size:
-            open_at[room - size].append(k)
-            mask |= 1 << (room - size)
+            rooms.put(room - size, k)
     return sequence, offset
 
 
