@@ -15,6 +15,9 @@ only at plain spaces and line ends, which no token spans.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from entityflow.sources.storage import materialise
 
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
+
 
 @dataclass(frozen=True)
 class PackParams:
@@ -48,22 +53,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def of_worker(vocabulary: str) -> Encoder:
+        """The encoder of this Python worker, which Spark uses again for later tasks."""
+        kept = sys.modules.setdefault("corpus_encoders", types.ModuleType("corpus_encoders")).__dict__
+        if vocabulary not in kept:
+            kept[vocabulary] = Encoder(vocabulary)
+        return kept[vocabulary]
+
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The words of all of them that are new are encoded in one call."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # The tokenizer itself lowers letters and parts a mark from a letter or digit before it; doing so first leaves
+        # fewer different words.
+        split = [_MARK.sub(r" \1", t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = [w for w in set().union(*split) if w not in known]
-        coded = dict(zip(new, self._encode(new))) if new else {}
-        if len(known) < self._WORDS:  # the frequent words come first; later ones are encoded each time
-            known.update((w, c) for w, c in coded.items() if len(w) <= self._LONG)
-        rare = coded.keys() - known.keys()
-        return [
-            b"".join(map(known.__getitem__, parts) if rare.isdisjoint(parts) else [known.get(w) or coded.get(w, b"") for w in parts])
-            for parts in split
-        ]
+        known.update(zip(new, self._encode(new)))
+        coded = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        # the frequent words come first; beyond the limit, and if long, words are encoded each time
+        full = len(known) - len(new) >= self._WORDS
+        for w in new:
+            if full or len(w) > self._LONG:
+                del known[w]
+        return coded
 
 
 def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -73,7 +88,7 @@ def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: Pack
     id_type = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([p.end_id], "<u4").tobytes()
+        encoder, end = Encoder.of_worker(vocabulary), np.array([p.end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
