@@ -1,8 +1,8 @@
 """Language identification of mixed-language text.
 
 A word's script, found from character ranges, narrows the languages to those that use the script; its letter groups give
-each of them a score (the mean log-likelihood of hashed letter groups of two sizes and of the word, counted over all
-labelled training texts). A Viterbi search over the words of a text, with a penalty for every switch of language, labels
+each of them a score (the mean log-likelihood of its letter pairs and triples, ends of the word included, hashed to buckets and
+counted over all labelled training texts). A Viterbi search over the words of a text, with a penalty for every switch of language, labels
 them; runs of equal labels are the spans. The text's language is the one with most letters.
 
 Where no stretch of words favours other languages by as much as one switch costs, one label for all words is the best
@@ -16,9 +16,6 @@ every text is ``und``; repeated rows count and are labelled each; other columns
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 # First code points of Unicode blocks, and the script of the letters from there on.
 SCRIPTS = (
@@ -41,8 +37,7 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 _FIRST = np.array([c for c, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
-_TEXT = 1 << 20  # characters looked at together
-_WORDS = 200_000  # words remembered
+_TEXT = 1 << 19  # characters looked at together
 
 
 @dataclass(frozen=True)
@@ -63,19 +58,30 @@ class LangModel:
     params: LangParams = field(default_factory=LangParams)
 
 
-def script_of(word: str) -> int:
-    return int(_SCRIPT[np.searchsorted(_FIRST, ord(word[0]), side="right") - 1])
+_KNOWN = 0x33480  # no letters lie beyond
 
 
-def groups(word: str) -> list[str]:
-    """Letter groups of a lower-case word with its ends marked, and the word."""
-    w = f"^{word}$"
-    return [*(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2)), w]
+class Letters:
+    """Lower-case letter and script of every code point; 0 for what is no letter."""
 
+    def __init__(self, bits: int):
+        chars = [chr(i) for i in range(_KNOWN)]
+        self.lower = np.array([ord(c.lower()[0]) if c.isalpha() else 0 for c in chars], np.uint32)
+        self.script = _SCRIPT[np.searchsorted(_FIRST, np.arange(_KNOWN), side="right") - 1]
+        self.shift = np.uint32(32 - bits)
 
-def buckets(word: str, bits: int) -> list[int]:
-    mask = (1 << bits) - 1
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in groups(word)]
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each letter: its place, whether a word starts with it, and the buckets of the pair with the letter
+        before and the triple with those at both sides (a word's ends count as 0)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        line = np.zeros(len(points) + 2, np.uint32)
+        line[1:-1] = self.lower[np.minimum(points, _KNOWN - 1)] * (points < _KNOWN)
+        at = np.flatnonzero(line[1:-1])
+        before, here, after = line[at], line[at + 1], line[at + 2]
+        pair = (before * np.uint32(0x9E3779B1)) ^ (here * np.uint32(0x85EBCA77))
+        triple = pair * np.uint32(0x27D4EB2F) ^ (after * np.uint32(0x165667B1)) ^ np.uint32(0x5BD1E995)
+        mixed = [((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> self.shift).astype(np.int64) for x in (pair, triple)]
+        return at, before == 0, mixed[0], mixed[1]
 
 
 def windows(text: str) -> Iterator[str]:
@@ -95,24 +101,21 @@ def fit(training: DataFrame, text: Column, lang: Column, p: LangParams = LangPar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        waiting: dict[str, Counter] = {}
-
-        def settle() -> None:
-            for name, seen in waiting.items():
-                own = sums.setdefault(name, np.zeros((1 << p.bits) + len(NAMES), np.int64))
-                for word, n in seen.items():
-                    own[(1 << p.bits) + script_of(word)] += n * len(word)
-                    for b in buckets(word.lower(), p.bits):
-                        own[b] += n
-            waiting.clear()
-
+        letters, size = Letters(p.bits), 1 << p.bits
         for batch in batches:
-            for t, name in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                for part in windows(t.as_py()):
-                    waiting.setdefault(name, Counter()).update(WORD.findall(part))
-            if sum(map(len, waiting.values())) > _WORDS:
-                settle()
-        settle()
+            names = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for name in sorted(set(names)):
+                own = sums.setdefault(name, np.zeros(size + len(NAMES), np.int64))
+                of_name = np.flatnonzero(names == name)
+                for some in np.array_split(of_name, -(-len(of_name) // 256)):
+                    joined = "\n".join(batch.column("text").take(pa.array(some)).to_pylist())
+                    for part in windows(joined):
+                        _, _, pair, triple = letters.read(part)
+                        own[:size] += np.bincount(pair, minlength=size) + np.bincount(triple, minlength=size)
+                        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+                        points = points[points < _KNOWN]
+                        points = points[letters.lower[points] > 0]
+                        own[size:] += np.bincount(letters.script[points], minlength=len(NAMES))
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -139,38 +142,29 @@ def _model(counts: pa.Table, p: LangParams) -> LangModel:
 
 
 class Scorer:
-    """Scores of words by language, remembered."""
+    """Scores of words by language."""
 
     def __init__(self, model: LangModel):
-        self.model, self.at = model, {}
-        self.rows = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def _add(self, word: str) -> int:
-        m, i = self.model, len(self.at)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        uses = m.uses[script_of(word)]
-        self.rows[i] = 0
-        if uses.any():
-            mean = m.log_p[:, buckets(word.lower(), m.params.bits)].mean(axis=1) * m.params.weight
-            self.rows[i] = np.where(uses, mean, -1e4)
-        self.letters[i] = len(word)
-        self.at[word] = i
-        return i
-
-    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(words x languages scores, letters) of a text."""
-        s, n = [], []
+        self.model, self.letters = model, Letters(model.params.bits)
+        self.log_p = np.ascontiguousarray(model.log_p)
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, letters, scores by language) of each word."""
+        m, found, offset = self.model, [], 0
         for part in windows(text):
-            if len(self.at) > _WORDS:
-                self.__init__(self.model)
-            at, add = self.at, self._add
-            i = np.array([at[w] if w in at else add(w) for w in WORD.findall(part)], np.int64)
-            s.append(self.rows[i])
-            n.append(self.letters[i])
-        return np.concatenate(s), np.concatenate(n)
+            at, first, pair, triple = self.letters.read(part)
+            start = np.flatnonzero(first)
+            if len(start):
+                n = np.diff(np.append(start, len(at)))
+                mean = np.stack([np.add.reduceat(p[pair] + p[triple], start) for p in self.log_p], axis=1)
+                mean *= (m.params.weight / (2 * n))[:, None]
+                points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")[at[start]]
+                uses = m.uses[self.letters.script[points]]
+                scores = np.where(uses, mean, np.where(uses.any(axis=1, keepdims=True), -1e4, 0.0))
+                found.append((at[start] + offset, n, scores.astype(np.float32)))
+            offset += len(part)
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(m.languages)), np.float32))
+        return tuple(np.concatenate([f[k] for f in [empty, *found]]) for k in range(3))
 
 
 def _plain(scores: np.ndarray, doc: np.ndarray, n: int, switch: float) -> tuple[np.ndarray, np.ndarray]:
@@ -221,51 +215,39 @@ def viterbi(scores: np.ndarray, start: np.ndarray, length: np.ndarray, switch: f
     return label
 
 
-def label_texts(texts: list[str], scorer: Scorer) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+def label_texts(texts: list[str | None], scorer: Scorer) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, share of letters, spans) of each text."""
     names, p = scorer.model.languages, scorer.model.params
-    found = [scorer.scores(t) if t and names else None for t in texts]
-    found = [f if f is not None and len(f[0]) else None for f in found]
-    full = [i for i, f in enumerate(found) if f is not None]
     out: list = [(UNKNOWN, 0.0, [])] * len(texts)
-    if not full:
+    if not names:
         return out
-    length = np.array([len(found[i][0]) for i in full])
-    scores, letters = (np.concatenate([found[i][k] for i in full]) for k in (0, 1))
-    doc = np.repeat(np.arange(len(full)), length)
+    size = np.array([len(t or "") + 1 for t in texts])
+    offset = np.cumsum(size) - size
+    place, letters, scores = scorer.words("\n".join([t or "" for t in texts]))
+    doc = np.searchsorted(offset, place, side="right") - 1
+    length = np.bincount(doc, minlength=len(texts))
     start = np.cumsum(length) - length
-    best, plain = _plain(scores, doc, len(full), p.switch)
+    if not len(doc):
+        return out
+    best, plain = _plain(scores, doc, len(texts), p.switch)
     label = best[doc]
-    mixed = np.flatnonzero(~plain)
+    mixed = np.flatnonzero(~plain & (length > 0))
     if len(mixed):
         words = np.concatenate([np.arange(start[i], start[i] + length[i]) for i in mixed])
         n = length[mixed]
         label[words] = viterbi(scores[words], np.cumsum(n) - n, n, p.switch)
-    for j, i in enumerate(full):
-        own = label[start[j] : start[j] + length[j]]
-        share = np.bincount(own, letters[start[j] : start[j] + length[j]], len(names))
+    for i in np.flatnonzero(length):
+        own = slice(start[i], start[i] + length[i])
+        share = np.bincount(label[own], letters[own], len(names))
+        cuts = [0, *(np.flatnonzero(np.diff(label[own])) + 1).tolist()]
+        begin = [0, *(int(place[start[i] + c] - offset[i]) for c in cuts[1:])]
+        ends = [*begin[1:], int(size[i] - 1)]
+        spans = [(a, z, names[label[start[i] + c]]) for a, z, c in zip(begin, ends, cuts)]
         k = int(share.argmax())
-        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        spans = _spans(texts[i], cuts, [names[own[c]] for c in cuts[:-1]])
         out[i] = (names[k], float(share[k] / share.sum()), spans)
     return out
 
 
-def _spans(text: str, cuts: list[int], langs: list[str]) -> list[tuple[int, int, str]]:
-    if len(langs) == 1:
-        return [(0, len(text), langs[0])]
-    wanted, at, starts = set(cuts), 0, []
-    offset = 0
-    for part in windows(text):
-        for m in WORD.finditer(part):
-            if at in wanted:
-                starts.append(offset + m.start())
-            at += 1
-        offset += len(part)
-    ends = [*starts[1:], len(text)]
-    return [(0 if i == 0 else s, e, name) for i, (s, e, name) in enumerate(zip(starts, ends, langs))]
-
-
 def identify(df: DataFrame, text: Column, model: LangModel, **keys: Column) -> DataFrame:
     """The key columns, ``lang``, ``score`` (its share of the letters) and ``spans`` (start, end, lang; in characters)."""
     named = df.select(*[c.alias(k) for k, c in keys.items()], text.alias("text"))
@@ -279,7 +261,7 @@ def identify(df: DataFrame, text: Column, model: LangModel, **keys: Column) -> D
             at = 0
             while at < batch.num_rows:
                 texts, chars, first = [], 0, at
-                while at < batch.num_rows and chars < 2 * _TEXT and len(texts) < 512:
+                while at < batch.num_rows and chars < _TEXT and len(texts) < 512:
                     texts.append(batch.column("text")[at].as_py())
                     chars += len(texts[-1] or "")
                     at += 1
