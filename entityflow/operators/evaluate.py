@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityflow.params import ACCEPT_STAGES
+from entityflow.sources.storage import materialise
 
 
 def score_items(manifest: DataFrame, idents: DataFrame) -> DataFrame:
@@ -25,25 +26,24 @@ def score_items(manifest: DataFrame, idents: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """Totals and rates overall and split by scenario, variant and exit stage, in one pass over the rows."""
+    """Totals and rates overall and split by scenario, variant and exit stage. Without rows the overall row has total 0
+    and rates 0.0."""
     staged = rows.withColumn("stage", F.coalesce("accepted_stage", F.lit("none")))
     accepted = F.col("outcome").isin("auto_accepted_correct", "auto_accepted_WRONG")
     total = F.count(F.lit(1))
-    rate = lambda n: F.bround(n / total, 4)
+    rate = lambda n: F.coalesce(F.bround(n / F.when(total > 0, total), 4), F.lit(0.0))
     hits = F.count_if(F.col("accepted_stage") == "h")
-    split = (
-        F.when(F.grouping("scenario") == 0, "scenario").when(F.grouping("finish") == 0, "finish")
-        .when(F.grouping("stage") == 0, "stage").otherwise("all")
-    )
-    sets = [[], [F.col("scenario")], [F.col("finish")], [F.col("stage")]]
-    return staged.groupingSets(sets, "scenario", "finish", "stage").agg(
-        split.alias("split"), total.alias("total"), F.count_if(accepted).alias("auto_accepted"),
+    split = F.when(F.grouping("scenario") == 0, "scenario").when(F.grouping("finish") == 0, "finish").otherwise("stage")
+    figures = [
+        total.alias("total"), F.count_if(accepted).alias("auto_accepted"),
         F.count_if(F.col("outcome") == "auto_accepted_WRONG").alias("wrong"),
         rate(F.count_if(accepted)).alias("auto_accept_rate"), rate(hits).alias("hash_tier_hit_rate"),
-    ).select(
-        "split", F.coalesce("scenario", "finish", "stage", F.lit("all")).alias("value"),
-        "total", "auto_accepted", "wrong", "auto_accept_rate", "hash_tier_hit_rate",
-    )
+    ]
+    sets = [[F.col("scenario")], [F.col("finish")], [F.col("stage")]]
+    parts = staged.groupingSets(sets, "scenario", "finish", "stage").agg(split.alias("split"), *figures)
+    # grouping sets over no rows give no row, so the overall row is an aggregate of its own
+    whole = staged.agg(*figures).select(F.lit("all").alias("split"), F.lit("all").alias("value"), "*")
+    return whole.unionByName(parts.select("split", F.coalesce("scenario", "finish", "stage").alias("value"), *whole.columns[2:]))
 
 
 def gate(summary: DataFrame, baseline_rate: float, tolerance: float = 0.01) -> DataFrame:
@@ -57,6 +57,6 @@ def gate(summary: DataFrame, baseline_rate: float, tolerance: float = 0.01) -> D
 
 def evaluate(manifest: DataFrame, idents: DataFrame, baseline_rate: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored rows, metrics, gate)."""
-    rows = score_items(manifest, idents)
+    rows = materialise(score_items(manifest, idents), "scored-items")  # read by the metrics, the gate and the caller
     summary = metrics(rows)
     return rows, summary, gate(summary, baseline_rate)

@@ -176,11 +176,12 @@ def error_class(name: Column) -> Column:
 
 
 def backoff(jobs: DataFrame, step_seconds: int = 30) -> DataFrame:
-    """Next state of failed attempts: requeued after 30 s per attempt, or failed once the attempts are used up."""
+    """Next state of failed attempts: requeued after 30 s per attempt, or failed once the attempts are used up, which
+    leaves ``run_after`` as it was."""
     over = F.col("attempts") >= F.col("max_attempts")
     wait = F.make_dt_interval(secs=(F.col("attempts") * step_seconds).cast("decimal(18,6)"))
     return jobs.withColumn("next_status", F.when(over, "failed").otherwise("queued")).withColumn(
-        "run_after", F.when(over, F.col("failed_at")).otherwise(F.col("failed_at") + wait)
+        "run_after", F.when(over, F.col("run_after")).otherwise(F.col("failed_at") + wait)
     )
 
 

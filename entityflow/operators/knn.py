@@ -41,8 +41,8 @@ VECTOR_GRID = Grid(32_768, 32_768)
 
 
 def load_index(df: DataFrame) -> DataFrame:
-    """The three columns of a fingerprint index; rows of unknown tiers are ignored."""
-    return df.where(F.col("hash_type").isin(*TIERS)).select("ref_id", "hash_type", "hash_bits")
+    """The three columns of a fingerprint index; rows of unknown tiers and rows without a fingerprint are ignored."""
+    return df.where(F.col("hash_type").isin(*TIERS) & F.col("hash_bits").isNotNull()).select("ref_id", "hash_type", "hash_bits")
 
 
 def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
@@ -94,7 +94,7 @@ def _hamming_cell(queries: pa.Table, index: pa.Table) -> pa.Table:
 def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """Per (item, tier): nearest owner, its distance and the distance of the nearest other owner.
 
-    Equal distances go to the lowest ref_id. An empty tier gives no owner and 64, 64.
+    Equal distances go to the lowest ref_id. An empty tier, or a query without a fingerprint, gives no owner and 64, 64.
     """
     keys = ["hash_type", "hash_bits"]
     index = load_index(index)
@@ -104,7 +104,7 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
     rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).select(
         F.col("hash_type").alias("tier"), F.col("hash_bits").alias("bits"), "ref_id"
     )
-    asked = queries.select(*keys).distinct()
+    asked = queries.select(*keys).where(F.col("hash_bits").isNotNull()).distinct()
     ref_type = index.schema["ref_id"].dataType.simpleString()
     found = (
         _spread(asked, "_chunk", n_q, "_block", n_i, "hash_bits").groupBy("hash_type", "_chunk", "_block")
@@ -242,7 +242,9 @@ def _cosine_cell(k: int):
 
 
 def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = VECTOR_GRID) -> DataFrame:
-    """The ``k`` nearest points of every item with rank; equal similarity goes to the lowest point id."""
+    """The ``k`` nearest points of every item with rank; equal similarity goes to the lowest point id. Items and points
+    without a vector take no part."""
+    queries, points = (d.where(F.col("vector").isNotNull()) for d in (queries, points))
     n_q, n_p = grid.chunks(*_sizes(queries, points, F.lit(0)), _slots(queries))
     cells = ["_chunk", "_block"]
     types = {n: f.dataType.simpleString() for d in (queries, points) for n, f in ((f.name, f) for f in d.schema)}

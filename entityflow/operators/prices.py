@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from entityflow.functions.joins import left_join_sparse
 from entityflow.functions.ranking import newest
 from entityflow.params import ACCEPT_STAGES, FINISHES, PriceParams
+from entityflow.sources.storage import materialise
 
 KEY = ["card_ref_id", "finish"]
 
@@ -146,8 +147,11 @@ def price_refresh(
     cards: DataFrame, refs: DataFrame, prices: DataFrame, observations: DataFrame, as_of: Column,
     p: PriceParams = PriceParams(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prices, cards, retry): fetch what is stale, merge it, then narrow every card, fresh entities included."""
-    work = price_worklist(cards, refs, prices, as_of, p.ttl_hours)
-    resolved, retry = resolve_prices(observations.join(work, KEY, "left_semi"), p.source_order)
+    """(prices, cards, retry): fetch what is stale, merge it, then narrow every card, fresh entities included. What is
+    wanted and not resolved is tried again, whether it was observed or not."""
+    work = materialise(price_worklist(cards, refs, prices, as_of, p.ttl_hours), "price-worklist")
+    resolved, _ = resolve_prices(observations.join(work, KEY, "left_semi"), p.source_order)
+    resolved = materialise(resolved, "price-resolved")
+    retry = work.join(resolved.select(*KEY), KEY, "left_anti")
     book = upsert_prices(prices, resolved.withColumn("fetched_at", as_of))
     return book, variant_narrow(cards, refs, book, p.spread_pct), retry

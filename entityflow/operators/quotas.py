@@ -81,9 +81,10 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
 
     Counters only grow, so of requests asking for the same amounts only the first few of a day can be admitted.
     Those few, at most the cap divided by the amount, decide the day's counters, and so the moment from which each
-    amount no longer fits; every request is then only compared with that moment. Users, days and amounts must be
-    known (not NULL).
+    amount no longer fits; every request is then only compared with that moment. A NULL amount is 0; users and days
+    must be known (not NULL).
     """
+    requests = requests.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in DIMENSIONS else c for c in requests.columns])
     caps = dict(zip(DIMENSIONS, (p.batches_per_day, p.photos_per_day, p.fetches_per_day)))
     keys, order = ["user_id", "day"], ["ts", "request_id"]
     fits = F.least(*[F.when(F.col(d) > 0, F.floor(F.lit(c) / F.col(d))) for d, c in caps.items()], F.lit(10**9))

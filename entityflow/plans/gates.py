@@ -173,11 +173,11 @@ def _(t):
 
 @query("fn_backoff", "v_requests", """
     SELECT request_id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS next_status,
-           CASE WHEN attempts >= 3 THEN ts ELSE ts + to_seconds(30 * attempts) END AS run_after
+           CASE WHEN attempts >= 3 THEN ts - to_seconds(5) ELSE ts + to_seconds(30 * attempts) END AS run_after
     FROM (SELECT request_id, ts, CAST(request_id % 4 + 1 AS INTEGER) AS attempts FROM v_requests)""")
 def _(t):
     jobs = t.requests.select(
-        "request_id", F.col("ts").alias("failed_at"), (F.col("request_id") % 4 + 1).cast("int").alias("attempts"), F.lit(3).alias("max_attempts")
+        "request_id", F.col("ts").alias("failed_at"), (F.col("ts") - F.make_dt_interval(secs=F.lit(5))).alias("run_after"), (F.col("request_id") % 4 + 1).cast("int").alias("attempts"), F.lit(3).alias("max_attempts")
     )
     return op.backoff(jobs).select("request_id", "next_status", "run_after")
 

@@ -143,8 +143,7 @@ _BOOK = f"""(SELECT card_ref_id, finish, price_cents, source, TIMESTAMP '2000-06
 @query("price_refresh", "v_cards v_refs v_prices v_obs", f"""
     SELECT 'price' AS part, card_ref_id || '/' || finish AS id, price_cents AS cents, source AS detail FROM {_BOOK}
     UNION ALL SELECT 'card', card_id, NULL, status || '/' || coalesce(finish, '') FROM ({_narrow_sql(_BOOK)})
-    UNION ALL SELECT 'retry', card_ref_id || '/' || finish, NULL, NULL FROM v_obs SEMI JOIN {_WORK} w USING (card_ref_id, finish)
-      GROUP BY card_ref_id, finish HAVING count(*) FILTER (obs_status = 'ok') = 0""")
+    UNION ALL SELECT 'retry', card_ref_id || '/' || finish, NULL, NULL FROM {_WORK} ANTI JOIN {_RESOLVED} r USING (card_ref_id, finish)""")
 def _(t):
     params = PriceParams(source_order=_ORDER, ttl_hours=TTL)
     book, cards, retry = op.price_refresh(review_cards(t), t.refs, t.prices, t.observations, lit_ts(AS_OF), params)
