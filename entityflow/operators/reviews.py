@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n, newest
@@ -69,23 +69,31 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Data
 
     The chosen entity equal to the predicted one validates, another corrects; a given variant is set and clears
     the flag. Then each reviewed item joins the earliest resolved item of its batch with the same entity and
-    variant: an item that was resolved before, else the one reviewed first. Of several reviews the last counts.
+    variant: an item that was resolved before, else the one reviewed first. Each review is
+    compared with the choice before it and gives a correction; the last one decides the item, and a variant once given
+    stays until another is given.
     """
-    last = newest(reviews, ["card_id"], ["reviewed_at"])
+    line = Window.partitionBy("card_id").orderBy("reviewed_at")
+    stepped = reviews.select(
+        "card_id", "chosen_ref", "reviewed_at", F.lag(F.struct("chosen_ref")).over(line).alias("_before"),
+        F.last("chosen_finish", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("chosen_finish"),
+    )
+    last = newest(stepped, ["card_id"], ["reviewed_at"])
     joined = cards.join(last, "card_id", "left")
     seen = F.col("reviewed_at").isNotNull()
-    right = F.col("chosen_ref").eqNullSafe(F.col("card_ref_id"))
+    predicted = F.when(F.col("_before").isNotNull(), F.col("_before.chosen_ref")).otherwise(F.col("card_ref_id"))
+    right = F.col("chosen_ref").eqNullSafe(predicted)
     given = seen & F.col("chosen_finish").isNotNull()
     updated = joined.select(
         *[c for c in cards.columns if c not in ("card_ref_id", "status", "finish", "finish_needs_confirmation")],
-        F.col("card_ref_id").alias("_predicted"), "reviewed_at",
+        "reviewed_at",
         F.when(seen, F.col("chosen_ref")).otherwise(F.col("card_ref_id")).alias("card_ref_id"),
         F.when(seen & right, "validated").when(seen, "corrected").otherwise(F.col("status")).alias("status"),
         F.when(given, F.col("chosen_finish")).otherwise(F.col("finish")).alias("finish"),
         (F.col("finish_needs_confirmation") & ~given).alias("finish_needs_confirmation"),
     )
-    corrections = updated.where(seen).select(
-        "card_id", F.col("_predicted").alias("predicted_ref_id"), F.col("card_ref_id").alias("actual_ref_id"), "reviewed_at"
+    corrections = stepped.join(cards.select("card_id", "card_ref_id"), "card_id").select(
+        "card_id", predicted.alias("predicted_ref_id"), F.col("chosen_ref").alias("actual_ref_id"), "reviewed_at"
     )
     member = F.col("status").isin(*RESOLVED) & F.col("card_ref_id").isNotNull()
     order = F.struct(seen, F.coalesce("reviewed_at", "created_at"), F.col("card_id"))
@@ -135,6 +143,26 @@ def _longest_chain(machine: Mapping[str, tuple[Sequence[str], str]]) -> int:
     return max(steps(s, ()) for allowed, _ in machine.values() for s in allowed)
 
 
+def apply_events(
+    ledger: DataFrame, events: DataFrame, machine: Mapping[str, tuple[Sequence[str], str]], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Ledger (key, status, since, ...) after the events (key, ts, event_id, event, ...), whatever the status was.
+
+    The last known event of a key decides its status; each ``carry`` column takes its last value that is not NULL.
+    One partial aggregate and one join.
+    """
+    order = F.struct("ts", "event_id")
+    last = events.where(F.col("event").isin(*machine)).groupBy("key").agg(
+        F.max_by(F.struct("event", "ts"), order).alias("_e"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in carry],
+    )
+    status = F.col("status")
+    for event, (_guard, to) in machine.items():
+        status = F.when(F.col("_e.event") == event, to).otherwise(status)
+    changed = {"status": status, "since": F.coalesce("_e.ts", "since"), **{c: F.coalesce(f"_{c}", c) for c in carry}}
+    return ledger.join(last, "key", "left").select(*[changed.get(c, F.col(c)).alias(c) for c in ledger.columns])
+
+
 def apply_transitions(
     ledger: DataFrame, events: DataFrame, machine: Mapping[str, tuple[Sequence[str], str]], carry: Sequence[str] = ()
 ) -> DataFrame:

@@ -114,6 +114,28 @@ _EVENTS_SQL = """(SELECT batch_id AS key, created_at AS ts, CAST(ordinal * 10000
 
 
 @query("apply_transitions", "v_cards v_batches", f"""
+    SELECT b.batch_id AS key, coalesce(CASE e.event WHEN 'claim' THEN 'rendering' WHEN 'ready' THEN 'ready' WHEN 'fail' THEN 'failed' END, 'queued') AS status,
+           coalesce(e.ts, b.created_at) AS since, e.detail
+    FROM v_batches b LEFT JOIN (
+      SELECT key, arg_max(event, (ts, event_id)) AS event, max(ts) AS ts, arg_max(detail, (ts, event_id)) FILTER (detail IS NOT NULL) AS detail
+      FROM {_EVENTS_SQL} WHERE event IN ('claim', 'ready', 'fail') GROUP BY key) e ON e.key = b.batch_id""")
+def _(t):
+    return reviews.apply_events(*_ledger_and_events(t), reviews.EXPORT_EVENTS, ["detail"])
+
+
+@query("apply_item_events", "v_cards", """
+    SELECT card_id AS key, CASE confidence % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'not_card' WHEN 2 THEN 'unreadable' ELSE status END AS status FROM v_cards""")
+def _(t):
+    # a skip, not-a-card or broken event for three items of four, whatever their status
+    names = F.array(*[F.lit(e) for e in ("skip", "not_card", "broken")])
+    ledger = t.cards.select(F.col("card_id").alias("key"), "status", F.col("created_at").alias("since"))
+    events = t.cards.select(
+        F.col("card_id").alias("key"), F.col("created_at").alias("ts"), F.col("ordinal").cast("bigint").alias("event_id"),
+        F.get(names, F.col("confidence") % 4).alias("event"))
+    return reviews.apply_events(ledger, events, reviews.ITEM_EVENTS).select("key", "status")
+
+
+@query("apply_transitions_guarded", "v_cards v_batches", f"""
     WITH e AS MATERIALIZED (SELECT * FROM {_EVENTS_SQL}),
     one AS (SELECT * FROM e WHERE event = 'claim' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts, event_id) = 1),
     two AS (SELECT e.* FROM e JOIN one o ON o.key = e.key AND (e.ts, e.event_id) > (o.ts, o.event_id) WHERE e.event IN ('ready', 'fail')
@@ -122,6 +144,10 @@ _EVENTS_SQL = """(SELECT batch_id AS key, created_at AS ts, CAST(ordinal * 10000
            coalesce(two.ts, one.ts, b.created_at) AS since, coalesce(two.detail, one.detail) AS detail
     FROM v_batches b LEFT JOIN one ON one.key = b.batch_id LEFT JOIN two ON two.key = b.batch_id""")
 def _(t):
+    return reviews.apply_transitions(*_ledger_and_events(t), reviews.EXPORT_EVENTS, ["detail"])
+
+
+def _ledger_and_events(t: Tables):
     names = F.array(*[F.lit(e) for e in ("claim", "ready", "fail", "claim", "other", "ready", "fail")])
     events = t.cards.select(
         F.col("batch_id").alias("key"), F.col("created_at").alias("ts"),
@@ -131,7 +157,7 @@ def _(t):
     ledger = t.batches.select(
         F.col("batch_id").alias("key"), F.lit("queued").alias("status"), F.col("created_at").alias("since"), F.lit(None).cast("string").alias("detail")
     )
-    return reviews.apply_transitions(ledger, events, reviews.EXPORT_EVENTS, ["detail"])
+    return ledger, events
 
 
 # --- evaluation ------------------------------------------------------------------------------

@@ -67,15 +67,6 @@ def _(t):
     return t.refs.select("id", text.norm_number(printed).alias("number"))
 
 
-@query("fn_name_ratio")
-def _(t):
-    # each entity's name against its successor's
-    nxt = t.refs.select((F.col("id") - 1).alias("id"), F.lower("name").alias("other"))
-    return t.refs.select("id", F.lower("name").alias("name")).join(nxt, "id").select(
-        "id", "name", "other", F.round(text.name_ratio(F.col("name"), F.col("other")), 9).alias("ratio")
-    )
-
-
 _ANSWERS_SQL = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Sure:' || chr(10) || props || chr(10) || 'done' WHEN 1 THEN props
     WHEN 2 THEN '{' || props WHEN 3 THEN 'none' ELSE '[1] {"k": [' || chr(10) || '2, {"x": 1}]}' END AS answer FROM events)"""
 

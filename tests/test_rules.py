@@ -158,6 +158,34 @@ def test_transitions_follow_guards(spark):
         reviews.apply_transitions(ledger, events, {"x": (("a",), "b"), "y": (("b",), "a")})
 
 
+def test_events_need_no_status(spark):
+    ledger = spark.createDataFrame([(k, "failed", T0, "old") for k in "abc"], "key string, status string, since timestamp_ntz, detail string")
+    events = spark.createDataFrame([
+        ("a", at(1), 1, "claim", None), ("a", at(2), 2, "ready", "file"), ("a", at(3), 3, "fail", None), ("b", at(1), 4, "unknown", "x"),
+    ], "key string, ts timestamp_ntz, event_id bigint, event string, detail string")
+    got = {r.key: (r.status, r.since, r.detail) for r in reviews.apply_events(ledger, events, reviews.EXPORT_EVENTS, ["detail"]).collect()}
+    assert got == {"a": ("failed", at(3), "file"), "b": ("failed", T0, "old"), "c": ("failed", T0, "old")}
+    items = spark.createDataFrame([("a", "auto", T0)], "key string, status string, since timestamp_ntz")
+    skip = spark.createDataFrame([("a", at(1), 1, "skip")], "key string, ts timestamp_ntz, event_id bigint, event string")
+    assert reviews.apply_events(items, skip, reviews.ITEM_EVENTS).first().status == "skipped"
+
+
+def test_each_review_gives_a_correction(spark):
+    cards = spark.createDataFrame([("c", "b", "r1", None, 1, "validation", T0, True)], "card_id string, batch_id string, card_ref_id string, finish string, quantity int, status string, created_at timestamp_ntz, finish_needs_confirmation boolean")
+    given = spark.createDataFrame([("c", "r2", "foil", at(1)), ("c", "r2", None, at(2))], "card_id string, chosen_ref string, chosen_finish string, reviewed_at timestamp_ntz")
+    out, log = reviews.apply_reviews(cards, given)
+    assert [(r.predicted_ref_id, r.actual_ref_id) for r in log.orderBy("reviewed_at").collect()] == [("r1", "r2"), ("r2", "r2")]
+    assert [(r.card_ref_id, r.status, r.finish) for r in out.collect()] == [("r2", "validated", "foil")]
+
+
+def test_evaluation_of_nothing(spark):
+    manifest = spark.createDataFrame([], "file string, pos int, scenario string, finish string, expected string")
+    idents = spark.createDataFrame([], "file string, pos int, ref_id string, stage string")
+    _, summary, verdict = evaluate.evaluate(manifest, idents, 0.0)
+    assert [(r.split, r.total, r.auto_accept_rate) for r in summary.collect()] == [("all", 0, 0.0)]
+    assert verdict.first().passed
+
+
 def test_evaluation(spark):
     manifest = spark.createDataFrame([("f", i, "flat", None, "x") for i in range(5)], "file string, pos int, scenario string, finish string, expected string")
     idents = spark.createDataFrame(
