@@ -57,6 +57,8 @@ SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("http", "https"), ("v", "version"),
 )
+# Fixed value: letters that every known text has one of in a word, in any of its spellings.
+HINT = r"(?i)licen|permission|unencumbered"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,5 +95,6 @@ def scan_lines(df: DataFrame, text: str = "text", known=KNOWN, **keys: Column) -
     without a notice are left out; rows with equal keys come out once."""
     table = F.broadcast(known_digests(df.sparkSession, known))
     lines = df.select(*[c.alias(k) for k, c in keys.items()], F.explode(F.split(F.col(text), "\n")).alias("line"))
+    lines = lines.where(F.rlike("line", F.lit(HINT)))  # no other line can be a known text
     found = lines.select(*keys, digest(F.col("line")).alias("digest")).join(table, F.col("digest") == F.col("known"))
     return found.groupBy(*keys).agg(F.array_sort(F.collect_set("licence")).alias("notices"))

@@ -1,6 +1,7 @@
 """Formatting round trips, revisit resolution and licence lookups on small cases."""
 
 import hashlib
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,7 @@ def test_licences(spark):
     assert [tuple(r) for r in licences.scan_lines(df, id=F.col("doc_id")).collect()] == [(7, ["CC-BY-NC-4.0", "MIT"])]
     assert licences.scan(df.where("false")).count() == 0
     assert hashlib.sha256(b"released under the mit license").hexdigest() in {r.known for r in licences.known_digests(spark).collect()}
+
+
+def test_every_known_text_has_a_hint():
+    assert all(re.search(licences.HINT, t) for _, t in licences.KNOWN)
