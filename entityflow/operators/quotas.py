@@ -19,6 +19,7 @@ from entityflow.functions.clock import hour_number
 from entityflow.functions.ranking import running_total
 from entityflow.functions.scan import ordered_scan, time_slots, with_runs
 from entityflow.params import AuthParams, QuotaParams
+from entityflow.sources.storage import materialise
 
 HOUR = 3_600_000_000  # microseconds
 DAY = 24 * HOUR
@@ -41,26 +42,63 @@ def fanout(requests: DataFrame, p: QuotaParams = QuotaParams()) -> DataFrame:
 
     Rows carry (user_id, day, ts, request_id, batch_id, offered, in_batch, used_photos, used_fetches), the last
     three as they stood before the first request. ``bound`` names what cut a grant. Once the day's room is used
-    up every later grant is 0, so the batch cut and the day cut can be taken one after the other.
+    up every later grant of the day is 0, so within a day the batch cut and the day cut can be taken one after the
+    other. A batch of several days starts each with the room that its grants so far have left: for the users of such
+    batches rounds are run until these sums stand, each round settling at least one more day.
     """
+    spans = requests.groupBy("batch_id", "user_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo < hi")
+    users = materialise(spans.select("user_id").distinct(), "fanout-users")
+    earlier = None
+    if not users.isEmpty():
+        again = requests.join(users.withColumnRenamed("user_id", "_user"), F.col("user_id").eqNullSafe(F.col("_user")), "left_semi")
+        before = Window.partitionBy("batch_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        while True:
+            days = _fanout_round(again, earlier, p).groupBy("batch_id", "day").agg(
+                F.sum("granted").alias("_sum"), F.max("_earlier").alias("_was"))
+            sums = days.withColumn("_now", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("bigint")))
+            sums = materialise(sums.where("_now > 0 or _was > 0"), "fanout-days")
+            if sums.where("_now <> _was").isEmpty():
+                break
+            earlier = sums.select("batch_id", "day", "_now")
     order, zero = ["ts", "request_id"], F.lit(0).cast("bigint")
+    granted = _fanout_round(requests, earlier, p)
     offered = F.col("offered").cast("bigint")
-    room = F.greatest(F.lit(p.photos_per_batch) - F.col("in_batch"), F.lit(0)).cast("bigint")
-    per_batch = running_total(requests, ["batch_id"], hour_number(F.col("ts")), order, offered, "_offers")
-    asked = per_batch.withColumn("_demand", _clamped(F.col("_offers"), offered, room)).drop("_offers")
-    photos = F.greatest(F.lit(p.photos_per_day) - F.col("used_photos"), zero).cast("bigint")
-    fetches = F.greatest(F.lit(p.fetches_per_day) - F.col("used_fetches"), zero).cast("bigint")
-    per_day = running_total(asked, ["user_id", "day"], hour_number(F.col("ts")), order, F.col("_demand"), "_demands")
-    granted = per_day.withColumn("granted", _clamped(F.col("_demands"), F.col("_demand"), F.least(photos, fetches)))
-    in_batch = running_total(granted, ["batch_id"], hour_number(F.col("ts")), order, F.col("granted"), "_given")
-    room_left = F.greatest(room - (F.col("_given") - F.col("granted")), zero)
+    in_day = running_total(granted, ["batch_id", "day"], hour_number(F.col("ts")), order, F.col("granted"), "_given")
+    room_left = F.greatest(F.col("_room") - (F.col("_given") - F.col("granted")), zero)
+    photos, fetches = _day_room(p)
     used = F.least(F.col("_demands") - F.col("_demand"), F.least(photos, fetches))
     bound = (
         F.when(F.col("granted") == F.least(offered, room_left), "photos_per_batch")
         .when(F.col("granted") == photos - used, "daily photos quota")
         .otherwise("daily fetches quota")
     )
-    return in_batch.withColumn("bound", F.when(F.col("granted") < offered, bound)).drop("_demand", "_demands", "_given")
+    return in_day.withColumn("bound", F.when(F.col("granted") < offered, bound)).drop(
+        "_demand", "_demands", "_given", "_room", "_earlier")
+
+
+def _day_room(p: QuotaParams) -> tuple[Column, Column]:
+    """Photos and fetches a day has left before its first request."""
+    zero = F.lit(0).cast("bigint")
+    return (F.greatest(F.lit(p.photos_per_day) - F.col("used_photos"), zero).cast("bigint"),
+            F.greatest(F.lit(p.fetches_per_day) - F.col("used_fetches"), zero).cast("bigint"))
+
+
+def _fanout_round(requests: DataFrame, earlier: DataFrame | None, p: QuotaParams) -> DataFrame:
+    """Grants where ``earlier`` (batch_id, day, _now) tells what batches were given before a day; 0 for days not listed."""
+    order, zero = ["ts", "request_id"], F.lit(0).cast("bigint")
+    if earlier is None:
+        known = requests.withColumn("_earlier", zero)
+    else:
+        sums = earlier.select(F.col("batch_id").alias("_batch"), F.col("day").alias("_on"), F.col("_now").alias("_earlier"))
+        match = F.col("batch_id").eqNullSafe(F.col("_batch")) & F.col("day").eqNullSafe(F.col("_on"))
+        known = requests.join(sums, match, "left").drop("_batch", "_on").withColumn("_earlier", F.coalesce("_earlier", zero))
+    offered = F.col("offered").cast("bigint")
+    room = F.greatest(F.lit(p.photos_per_batch) - F.col("in_batch") - F.col("_earlier"), zero).cast("bigint")
+    roomy = known.withColumn("_room", room)
+    per_batch = running_total(roomy, ["batch_id", "day"], hour_number(F.col("ts")), order, offered, "_offers")
+    asked = per_batch.withColumn("_demand", _clamped(F.col("_offers"), offered, F.col("_room"))).drop("_offers")
+    per_day = running_total(asked, ["user_id", "day"], hour_number(F.col("ts")), order, F.col("_demand"), "_demands")
+    return per_day.withColumn("granted", _clamped(F.col("_demands"), F.col("_demand"), F.least(*_day_room(p))))
 
 
 def usage_daily(events: DataFrame, counters: Sequence[str]) -> DataFrame:

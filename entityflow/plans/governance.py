@@ -239,32 +239,33 @@ def _(t):
     return quotas.clamp_grants(t.requests, 12).select("request_id", "user_id", "want", "granted")
 
 
-_FANOUT_SQL = """(SELECT request_id, user_id, day, ts, user_id * 100000 + CAST(day - DATE '2024-01-01' AS INTEGER) * 10 + request_id % 2 AS batch_id,
+# a batch takes in two days
+_FANOUT_SQL = """(SELECT request_id, user_id, day, ts, CAST(day - DATE '2024-01-01' AS INTEGER) // 2 AS pair,
+    user_id * 100000 + CAST(day - DATE '2024-01-01' AS INTEGER) // 2 * 10 + request_id % 2 AS batch_id,
     want AS offered, CAST(user_id % 4 AS INTEGER) AS in_batch, CAST(user_id % 7 AS INTEGER) AS used_photos, CAST(user_id % 5 AS INTEGER) AS used_fetches FROM v_requests)"""
 _FANOUT_CAPS = QuotaParams(photos_per_batch=6, photos_per_day=14, fetches_per_day=13)
 
 
 @query("win_fanout_truncate", "v_requests", f"""
-    WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, request_id) AS i FROM {_FANOUT_SQL}),
+    WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pair ORDER BY ts, request_id) AS i FROM {_FANOUT_SQL}),
     walk AS (
-      SELECT r.*, least(offered, greatest(6 - in_batch, 0), 14 - used_photos, 13 - used_fetches) AS granted,
-             greatest(6 - in_batch, 0) AS batch_room, 14 - used_photos AS photos_room, 13 - used_fetches AS fetches_room, [0, 0] AS given
+      SELECT user_id, pair, day, i, request_id, batch_id, offered, greatest(6 - in_batch, 0) AS batch_room, 14 - used_photos AS photos_room, 13 - used_fetches AS fetches_room,
+             least(offered, greatest(6 - in_batch, 0), 14 - used_photos, 13 - used_fetches) AS granted, [0, 0] AS given, 0 AS today
       FROM r WHERE i = 1
       UNION ALL
-      SELECT n.user_id, n.day, n.ts, n.request_id, n.batch_id, n.offered, n.in_batch, n.used_photos, n.used_fetches, n.i,
-             least(n.offered, n.br, n.pr, n.fr), n.br, n.pr, n.fr, n.g
-      FROM (SELECT r.*, g, greatest(6 - r.in_batch - g[r.request_id % 2 + 1], 0) AS br,
-                   greatest(14 - r.used_photos - g[1] - g[2], 0) AS pr, greatest(13 - r.used_fetches - g[1] - g[2], 0) AS fr
-            FROM (SELECT user_id, day, i, CASE WHEN request_id % 2 = 0 THEN [given[1] + granted, given[2]] ELSE [given[1], given[2] + granted] END AS g FROM walk) w
-            JOIN r ON r.user_id = w.user_id AND r.day = w.day AND r.i = w.i + 1) n)
+      SELECT user_id, pair, day, i, request_id, batch_id, offered, br, pr, fr, least(offered, br, pr, fr), g, d
+      FROM (SELECT *, greatest(6 - in_batch - g[request_id % 2 + 1], 0) AS br, greatest(14 - used_photos - d, 0) AS pr, greatest(13 - used_fetches - d, 0) AS fr
+            FROM (SELECT r.*, CASE WHEN w.request_id % 2 = 0 THEN [w.given[1] + w.granted, w.given[2]] ELSE [w.given[1], w.given[2] + w.granted] END AS g,
+                         CASE WHEN r.day = w.day THEN w.today + w.granted ELSE 0 END AS d
+                  FROM walk w JOIN r ON r.user_id = w.user_id AND r.pair = w.pair AND r.i = w.i + 1)))
     SELECT request_id, batch_id, offered, granted, CASE WHEN granted < offered THEN
         CASE WHEN granted = least(offered, batch_room) THEN 'photos_per_batch' WHEN granted = photos_room THEN 'daily photos quota' ELSE 'daily fetches quota' END END AS bound
-    FROM walk""".replace("SELECT r.*, least(offered", "SELECT user_id, day, ts, request_id, batch_id, offered, in_batch, used_photos, used_fetches, i, least(offered"), types={"granted": "BIGINT"})
+    FROM walk""", types={"granted": "BIGINT"})
 def _(t):
     k = F.col("user_id")
+    pair = F.floor(F.date_diff("day", F.lit("2024-01-01").cast("date")) / 2)
     offers = t.requests.select(
-        "request_id", k, "day", "ts",
-        (k * 100000 + F.date_diff("day", F.lit("2024-01-01").cast("date")) * 10 + F.col("request_id") % 2).alias("batch_id"),
+        "request_id", k, "day", "ts", (k * 100000 + pair * 10 + F.col("request_id") % 2).alias("batch_id"),
         F.col("want").alias("offered"), (k % 4).cast("int").alias("in_batch"), (k % 7).cast("int").alias("used_photos"), (k % 5).cast("int").alias("used_fetches"),
     )
     return quotas.fanout(offers, _FANOUT_CAPS).select("request_id", "batch_id", "offered", "granted", "bound")

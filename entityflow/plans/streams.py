@@ -63,13 +63,13 @@ def _(t):
 
 @query("st_correction_ingest", "v_cards v_bits", """
     SELECT ref_id, t, row_id, bits FROM (
-      SELECT card_ref_id % 40 AS ref_id, t, card_id AS row_id, created_at, bits FROM v_cards JOIN v_bits ON vec_id = card_ref_id % 50 WHERE status = 'corrected')
+      SELECT card_ref_id % 40 AS ref_id, t, card_id AS row_id, created_at, bits FROM v_cards JOIN v_bits ON vec_id = card_ref_id WHERE status = 'corrected')
     QUALIFY row_number() OVER (PARTITION BY ref_id, t ORDER BY created_at DESC, row_id DESC) <= 20""")
 def _(t):
     coef = t.coefficients.select(F.col("vec_id").alias("_vec"), "coef")
     corrections = _streams(t).cards.where(F.col("status") == "corrected").select(
         (F.col("card_ref_id") % 40).alias("ref_id"), F.lit("user_validated").alias("source"), "created_at",
-        F.col("card_id").alias("row_id"), (F.col("card_ref_id") % 50).alias("_vec"),
+        F.col("card_id").alias("row_id"), F.col("card_ref_id").alias("_vec"),
     )
     rows = ix.fingerprint_rows(corrections.join(coef, "_vec").drop("_vec"))
     path = scratch(t.spark, "corrections")

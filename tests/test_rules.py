@@ -227,6 +227,28 @@ def test_quota_admit_against_a_plain_walk(spark):
         assert [r.reason for r in got] == want_out
 
 
+def test_fanout_of_batches_over_several_days(spark):
+    caps = QuotaParams(photos_per_batch=10, photos_per_day=2, fetches_per_day=50)
+    kinds = "user_id int, day date, ts timestamp_ntz, request_id int, batch_id int, offered int, in_batch int, used_photos int, used_fetches int"
+
+    def grants(rows, caps):
+        rows = [(u, at(h).date(), at(h), i, b, n, 0, 0, 0) for i, (u, h, b, n) in enumerate(rows)]
+        return [r.granted for r in quotas.fanout(spark.createDataFrame(rows, kinds), caps).orderBy("request_id").collect()]
+
+    # the first day gives 2 of 10, so the second still has room for its 2
+    assert grants([(1, 20, 1, 10), (1, 30, 1, 5)], caps) == [2, 2]
+    rng = random.Random(5)
+    caps = QuotaParams(photos_per_batch=9, photos_per_day=7, fetches_per_day=8)
+    rows = [(rng.randrange(3), h, 0, rng.randint(1, 6)) for h in sorted(rng.sample(range(24 * 6), 60))]
+    rows = [(u, h, u * 10 + rng.randrange(4), n) for u, h, _, n in rows]
+    batch, day, wanted = {}, {}, []
+    for u, h, b, n in rows:
+        got = max(0, min(n, 9 - batch.get(b, 0), 7 - day.get((u, h // 24), 0)))
+        batch[b], day[u, h // 24] = batch.get(b, 0) + got, day.get((u, h // 24), 0) + got
+        wanted.append(got)
+    assert grants(rows, caps) == wanted
+
+
 def test_clamp_and_running_total(spark):
     df = spark.createDataFrame(
         [(1, dt.date(2024, 1, 1), at(i), i, w) for i, w in enumerate([4, 5, 6, 2])],
