@@ -5,14 +5,19 @@ spellings unified, everything but letters and digits turned into single spaces.
 equal; the forms' SHA-256 digests are joined with those of known licences. The whole text is looked up, and each of its
 lines, as notices stand on lines of their own.
 
-The known texts are a fixed list, digested by the same expressions, and so bounded. Lines are joined one by one, found
-licences are the only rows grouped again. Edge cases: a NULL text, and one whose canonical form is empty, has no digest
+The known texts are a table (licence, text) that can be given, digested by the same expressions; the built-in ones are the
+``KNOWN`` ones below and the full texts in ``licence_texts``, named by their files. Lines are joined one by one, found licences are
+the only rows grouped again. Edge cases: a NULL text, and one whose canonical form is empty, has no digest
 and no licence; repeated rows are looked up each (they come out once per row); an empty table gives an empty result;
 other columns are carried along.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +56,41 @@ THIS SOFTWARE."""),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+TEXTS = Path(__file__).with_name("licence_texts")
+BUILT_IN = (*KNOWN, *[(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))])
 # Lines that only state a copyright (in lower case), and spellings with what they become, as whole words.
 COPYRIGHT = r"^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("http", "https"), ("v", "version"),
 )
-# Fixed value: letters that every known text has one of in a word, in any of its spellings.
-HINT = r"(?i)licen|permission|unencumbered"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def hint(known) -> str | None:
+    """A pattern that every line with the canonical form of a known text has a match of: words, in each spelling that
+    becomes them, such that every known text has one. None if that takes many words."""
+    forms = []
+    for _, text in known:
+        form = re.sub("(?m)" + COPYRIGHT, "", text.translate(str.maketrans(UPPER, LOWER)))
+        form = f" {re.sub('[^a-z0-9\x80-\U0010ffff]+', ' ', form)} "
+        for variant, usual in SPELLINGS:
+            form = form.replace(f" {variant} ", f" {usual} ")
+        if form.strip():
+            words = set(form.split())
+            forms.append({w for w in words if len(w) > 6} or {max(words, key=len)})
+    chosen = []
+    while forms and len(chosen) < 32:
+        counts = Counter(w for form in forms for w in form)
+        chosen.append(max(counts, key=lambda w: (counts[w], len(w), w)))
+        forms = [form for form in forms if chosen[-1] not in form]
+    spelled = sorted({x for w in chosen for x in (w, *[v.split()[0] for v, u in SPELLINGS if u == w])})
+    return None if forms else "(?i)" + "|".join(map(re.escape, spelled))
+
+
+HINT = hint(BUILT_IN)
+
+
 def canonical(text: Column) -> Column:
     low = F.translate(text, UPPER, LOWER)
     form = F.regexp_replace(low, "(?md)" + COPYRIGHT, "")
@@ -76,25 +105,32 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(licence, known): one row per digest."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(t).alias("text")) for k, t in known])).alias("r")
-    texts = spark.range(1).select(rows).select("r.licence", digest(F.col("r.text")).alias("known"))
+def known_digests(spark: SparkSession, known=BUILT_IN) -> DataFrame:
+    """(licence, known): one row per digest. ``known``: pairs, or a DataFrame with the columns licence and text."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "licence string, text string")
+    texts = rows.select("licence", digest(F.col("text")).alias("known")).where("known is not null")
     return texts.groupBy("known").agg(F.min("licence").alias("licence"))
 
 
-def scan(df: DataFrame, text: str = "text", known=KNOWN) -> DataFrame:
+def known_table(spark: SparkSession, known) -> DataFrame:
+    table = known_digests(spark, known)
+    return table if isinstance(known, DataFrame) else F.broadcast(table)
+
+
+def scan(df: DataFrame, text: str = "text", known=BUILT_IN) -> DataFrame:
     """Every row, boxed, with ``digest`` and ``licence`` of the whole text (NULL where unknown)."""
-    table = F.broadcast(known_digests(df.sparkSession, known))
+    table = known_table(df.sparkSession, known)
     rows = boxed(df, digest=digest(F.col(text)))
     return rows.join(table, F.col("digest") == F.col("known"), "left").drop("known")
 
 
-def scan_lines(df: DataFrame, text: str = "text", known=KNOWN, **keys: Column) -> DataFrame:
+def scan_lines(df: DataFrame, text: str = "text", known=BUILT_IN, **keys: Column) -> DataFrame:
     """The key columns and ``notices``: the licences, sorted, whose known text is a whole line of the row's text. Rows
     without a notice are left out; rows with equal keys come out once."""
-    table = F.broadcast(known_digests(df.sparkSession, known))
+    table = known_table(df.sparkSession, known)
     lines = df.select(*[c.alias(k) for k, c in keys.items()], F.explode(F.split(F.col(text), "\n")).alias("line"))
-    lines = lines.where(F.rlike("line", F.lit(HINT)))  # no other line can be a known text
+    needs = None if isinstance(known, DataFrame) else HINT if known is BUILT_IN else hint(known)
+    if needs is not None:
+        lines = lines.where(F.rlike("line", F.lit(needs)))  # no other line can be a known text
     found = lines.select(*keys, digest(F.col("line")).alias("digest")).join(table, F.col("digest") == F.col("known"))
     return found.groupBy(*keys).agg(F.array_sort(F.collect_set("licence")).alias("notices"))
