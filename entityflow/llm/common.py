@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +46,14 @@ def words(text: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
     """Two hashes that name a row by id and text and are never NULL; rows equal in both are one document."""
     return {"h1": F.xxhash64(doc_id, text), "h2": F.xxhash64(text, F.lit("text"), doc_id)}
+
+
+def bounded(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most ``most`` bytes in ``column``; a longer row is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = end[at] - size[at]
+        stop = max(at + 1, int(np.searchsorted(end, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -188,3 +188,55 @@ l AS (
 SELECT doc_id, CASE WHEN c IS NOT NULL THEN sha256(c) END AS digest, licence, coalesce(array_to_string(notices, ','), '') AS notices
 FROM w LEFT JOIN known ON sha256(c) = k LEFT JOIN l USING (rid)
 """
+
+
+ORACLES["op11_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (
+  SELECT doc_id, text, t, len(t) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (
+  SELECT *, array_to_string(t[1 : a], '') AS pre, array_to_string(t[a + 1 : b], '') AS mid, array_to_string(t[b + 1 :], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two steps: assignment, and the floor of the means (of an empty cluster, the centroid before)."""
+    near = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, x, cluster, distance FROM (
+    SELECT v.rid, v.vec_id, v.x, c.cluster, CAST({near} AS BIGINT) AS distance FROM v CROSS JOIN c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n) ORDER BY pos) AS x FROM (
+    SELECT cluster, pos, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT cluster, unnest(x) AS y, unnest(range(64)) AS pos FROM a{i}) GROUP BY cluster, pos) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, rid) - 1 AS cluster, x FROM (
+    SELECT *, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v) ORDER BY h, rid LIMIT {k}),
+{",".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+ORACLES["op12_bit_planes"] = _clusters_sql()

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityflow.llm import chat, langid, licences, lines, mixing, packing, quality, revisits, search, simhash
+from entityflow.llm import (
+    chat, fim, langid, licences, lines, mixing, packing, planes, quality, revisits, search, simhash, tokenfile,
+)
 from entityflow.llm.common import table
 from entityflow.llm.oracles import ORACLES
+from entityflow.sources.storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 __all__ = ["QUERIES", "ORACLES"]
@@ -136,3 +139,28 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return search.top_k(rows, F.col("vec_id"), search.scaled(F.col("embedding")), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seed = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    done = fim.fill_in_middle(docs, F.col("text"), seed, doc_id=F.col("doc_id"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    done = planes.kmeans(rows, F.col("vec_id"), F.col("embedding"))
+    told = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return done.withColumn("centroid_sha256", told).drop("centroid")
+
+
+@query
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "tokens")
+    tokenfile.write_tokens(docs, F.col("text"), F.col("doc_id"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return tokenfile.read_documents(spark, path)
