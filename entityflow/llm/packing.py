@@ -8,16 +8,12 @@ fullest sequence that still holds it (what a pattern left open included), openin
 
 The histogram has a fixed number of bins, so the driver sees a few counts and fits once at any size. A block ends with
 at most a few open sequences. Edge cases: a NULL text is empty, and an empty text is its end token alone; repeated rows
-are packed each; an empty table gives an empty result; other columns are not read. A text is tokenised whole: it is cut
-only at plain spaces and line ends, which no token spans.
+are packed each; an empty table gives an empty result; other columns are not read. A text is tokenised whole
+(``tokens``).
 """
 
 from __future__ import annotations
 
-import os
-import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.llm.common import bounded
+from entityflow.llm.tokens import Encoder
 from entityflow.sources.storage import materialise
 
-_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
-
 
 @dataclass(frozen=True)
 class PackParams:
@@ -41,46 +37,6 @@ class PackParams:
     block: int = 50_000  # pieces of a block, about
 
 
-class Encoder:
-    """Token ids of texts as bytes (4 a token). Words are remembered, at most ``_WORDS`` of them."""
-
-    _WORDS, _LONG = 300_000, 64
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def of_worker(vocabulary: str) -> Encoder:
-        """The encoder of this Python worker, which Spark uses again for later tasks."""
-        kept = sys.modules.setdefault("corpus_encoders", types.ModuleType("corpus_encoders")).__dict__
-        if vocabulary not in kept:
-            kept[vocabulary] = Encoder(vocabulary)
-        return kept[vocabulary]
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. The words of all of them that are new are encoded in one call."""
-        # The tokenizer itself lowers letters and parts a mark from a letter or digit before it; doing so first leaves
-        # fewer different words.
-        split = [_MARK.sub(r" \1", t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        known.update(zip(new, self._encode(new)))
-        coded = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        # the frequent words come first; beyond the limit, and if long, words are encoded each time
-        full = len(known) - len(new) >= self._WORDS
-        for w in new:
-            if full or len(w) > self._LONG:
-                del known[w]
-        return coded
-
-
 def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 [, ids]) of every text; ``vocabulary`` is a tokenizer file that every
     machine has at that path."""
@@ -90,12 +46,11 @@ def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: Pack
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of_worker(vocabulary), np.array([p.end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in bounded(batch):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for i, coded in enumerate(encoder.encode(texts)):
-                    whole = memoryview(coded + end)
+                flat, starts = encoder.flat(part.column("text"))
+                for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                    whole = memoryview(flat[a:b].tobytes() + end)
                     for k, s in enumerate(range(0, len(whole) // 4, p.capacity)):
                         cut = whole[4 * s : 4 * (s + p.capacity)]
                         row.append(i)
