@@ -13,11 +13,11 @@ beyond the width (u4); then the packed bytes. A block is stored as the differenc
 holds the ``share`` of them (a percentile); the others are the exceptions. Any run of ids is read from the blocks that
 cover it.
 
-Tokens are made once and stored; rows are then dealt by ranges of the id, with a hash and a row number behind it, so
-that many rows of one id fall into many tasks. Starts come from sums of the parts.
+Texts are dealt by ranges of the id, with a hash of the text and a row number behind it, so that many rows of one id fall
+into many tasks; each task tokenises its sorted rows and packs them as they come. Starts come from sums of the parts.
 
-Edge cases: a NULL text is empty, an empty text is its end token alone; NULL ids come last; rows of one id are ordered by
-their ids' checksum, so equal rows are written each and are interchangeable; an empty table gives an empty folder; other
+Edge cases: a NULL text is empty, an empty text is its end token alone; NULL ids come last; rows of one id are ordered by a
+hash of the text, so equal rows are written each and are interchangeable; an empty table gives an empty folder; other
 columns are not read. Memory is bounded by a segment and the longest document.
 """
 
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from entityflow.llm.common import bounded
 from entityflow.llm.tokens import Encoder
-from entityflow.sources.storage import materialise
 
 _HEAD = "<4sQQQ"
 _MARK = b"PFR1"
@@ -54,23 +53,30 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # exact below 2 ** 53
 
 
+def _lane(width: int) -> str:
+    """The smallest kind of number that holds ``width`` bits."""
+    return "u1" if width <= 8 else "<u2" if width <= 16 else "<u4"
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """The low ``width`` bits of each value, row by row: (rows, bytes)."""
-    out = [np.zeros((0, -(-values.shape[1] * width // 8)), np.uint8)]
+    kind, n = _lane(width), values.shape[1]
+    out = np.empty((len(values), -(-n * width // 8)), np.uint8)
     for at in range(0, len(values), _CHUNK):
-        part = np.ascontiguousarray(values[at : at + _CHUNK], "<u4")
-        bits = np.unpackbits(part.view(np.uint8).reshape(*part.shape, 4), axis=2, bitorder="little")[:, :, :width]
-        out.append(np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little"))
-    return np.concatenate(out)
+        part = values[at : at + _CHUNK].astype(kind)
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), n, -1), axis=2, bitorder="little")[:, :, :width]
+        out[at : at + _CHUNK] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+    return out
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    kind = _lane(width)
     out = np.empty((len(packed), n), "<u4")
     for at in range(0, len(packed), _CHUNK):
         part = packed[at : at + _CHUNK]
-        bits = np.zeros((len(part), n, 32), np.uint8)
+        bits = np.zeros((len(part), n, 8 * np.dtype(kind).itemsize), np.uint8)
         bits[:, :, :width] = np.unpackbits(part, axis=1, count=n * width, bitorder="little").reshape(len(part), n, width)
-        out[at : at + _CHUNK] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        out[at : at + _CHUNK] = np.packbits(bits, axis=2, bitorder="little").view(kind)[:, :, 0]
     return out
 
 
@@ -151,72 +157,39 @@ def unpack_ids(data: bytes, start: int = 0, n: int | None = None) -> np.ndarray:
     return flat[start - lo * size : stop - lo * size]
 
 
-def tokenised(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: PforParams = PforParams()) -> DataFrame:
-    """(doc_id, n, crc, turn, ids) of every row, the end id included; ``ids`` are 2 bytes each where the vocabulary allows
-    it, else 4, and ``turn`` numbers the rows."""
-    named = df.select(doc_id.alias("doc_id"), text.alias("text"))
-    kind = named.schema["doc_id"].dataType.simpleString()
+def _segments(ranged: DataFrame, vocabulary: str, p: PforParams) -> DataFrame:
+    """Sorted rows (doc_id, text) of each partition to segments of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, end = Encoder.of_worker(vocabulary), np.array([p.end_id], np.uint32)
-        narrow = _narrow(encoder.size, p)
-        turn = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in bounded(batch):
-                flat, starts = encoder.flat(part.column("text"))
-                rows = [np.concatenate([flat[a:b], end]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                turns = np.arange(turn, turn + len(rows))
-                turn += len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()),
-                     pa.array([zlib.crc32(x.astype("<u4")) for x in rows], pa.int64()), pa.array(turns, pa.int64()),
-                     pa.array([x.astype(narrow).tobytes() for x in rows], pa.binary())],
-                    ["doc_id", "n", "crc", "turn", "ids"])
-
-    return named.mapInArrow(run, f"doc_id {kind}, n bigint, crc bigint, turn bigint, ids binary")
-
-
-def _narrow(size: int, p: PforParams) -> str:
-    return "<u2" if max(size - 1, p.end_id) < 1 << 16 else "<u4"
-
-
-def _segments(ranged: DataFrame, kind: str, p: PforParams) -> DataFrame:
-    """Sorted rows of each partition to segments of whole documents."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(ranged.schema["doc_id"].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, segment, first = TaskContext.get().partitionId(), 0, 0
+        part, segment, first, held = TaskContext.get().partitionId(), 0, 0, 0
         names: list[pa.Array] = []
         rows: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(rows)
             owners = pa.concat_arrays(names)
-            out = pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
-                 pa.array([[len(x) for x in rows]], pa.list_(pa.int64())), pa.array([pack_ids(ids, p)], pa.binary())],
+                 pa.array([held], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
+                 pa.array([[len(x) for x in rows]], pa.list_(pa.int64())), pa.array([pack_ids(np.concatenate(rows), p)], pa.binary())],
                 ["part", "segment", "first", "n_ids", "doc_ids", "lengths", "data"])
-            return out
 
-        held = 0
         for batch in batches:
-            ids, owners = batch.column("ids"), batch.column("doc_id").cast(id_type)
-            for i in range(batch.num_rows):
-                rows.append(np.frombuffer(ids[i].as_py(), kind))
-                names.append(owners.slice(i, 1))
-                held += len(rows[-1])
-                if held >= p.segment:
-                    yield flush()
-                    rows.clear()
-                    names.clear()
-                    segment, first, held = segment + 1, first + held, 0
+            for piece in bounded(batch):
+                flat, starts = encoder.flat(piece.column("text"))
+                done = 0
+                for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()), 1):
+                    rows.append(np.concatenate([flat[a:b], end]))
+                    held += b - a + 1
+                    if held >= p.segment:
+                        names.append(piece.column("doc_id").slice(done, i - done))
+                        yield flush()
+                        names.clear()
+                        rows.clear()
+                        segment, first, held, done = segment + 1, first + held, 0, i
+                names.append(piece.column("doc_id").slice(done))
         if rows:
             yield flush()
 
@@ -228,11 +201,12 @@ def _segments(ranged: DataFrame, kind: str, p: PforParams) -> DataFrame:
 def write_tokens(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, path: str, p: PforParams = PforParams()) -> None:
     """Write a token folder of all rows in ascending ``doc_id``. ``vocabulary`` is a tokenizer file that every machine has
     at that path."""
-    kind = _narrow(Encoder.of_worker(vocabulary).size, p)
-    coded = materialise(tokenised(df, text, doc_id, vocabulary, p), "token-rows")
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("crc"), F.col("n"), F.col("turn")]
-    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
-    _segments(ranged.select("doc_id", "ids"), kind, p).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/segments")
+    rows = df.select(doc_id.alias("doc_id"), text.alias("text"))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = rows.select("doc_id", "text", *[c.alias(f"by{i}") for i, c in enumerate(order)])
+    by = [f"by{i}" for i in range(len(order))]
+    ranged = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    _segments(ranged, vocabulary, p).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/segments")
     sums = df.sparkSession.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row per part, of which there are as many as Spark has range partitions
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
