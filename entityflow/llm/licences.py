@@ -57,9 +57,20 @@ THIS SOFTWARE."""),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 TEXTS = Path(__file__).with_name("licence_texts")
-BUILT_IN = (*KNOWN, *[(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))])
-# Lines that only state a copyright (in lower case), and spellings with what they become, as whole words.
-COPYRIGHT = r"^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+_FILES = [(f.stem, f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+# Titles that the files of these licences carry or leave out.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",),
+}
+BUILT_IN = (*KNOWN, *_FILES, *[
+    (name, f"{title}\n\n{text}") for name, text in (*KNOWN, *_FILES) if "\n" in text for title in TITLES.get(name, ())])
+# Lines that state a copyright (in lower case): the word or mark, then a mark, a year or a place for one. A
+# wrapped line of running text that happens to begin with the word stays. And spellings with what they become, as whole words.
+COPYRIGHT = (
+    r"^[^a-z0-9\n]*(copyright[ \t:]*(\(c\)|©|[0-9]|[<\[{])|(\(c\)|©)[ \t]*(copyright|[0-9]|[<\[{]))[^\n]*$"
+    r"|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+)
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("http", "https"), ("v", "version"),

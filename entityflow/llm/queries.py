@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from entityflow.llm import (
     chat, fim, langid, licences, lines, mixing, packing, planes, quality, revisits, search, simhash, tokenfile,
 )
-from entityflow.llm.common import table
+from entityflow.llm.common import row_key, table
 from entityflow.llm.oracles import ORACLES
 from entityflow.sources.storage import scratch
 
@@ -82,9 +82,10 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    whole = licences.scan(docs).select(F.col("row.doc_id").alias("doc_id"), "digest", "licence")
-    by_line = licences.scan_lines(docs, of=F.col("doc_id"))
-    return whole.join(by_line, F.col("doc_id") == F.col("of"), "left").select(
+    key = row_key(F.col("row.doc_id"), F.col("row.text"))
+    whole = licences.scan(docs).select(F.col("row.doc_id").alias("doc_id"), "digest", "licence", *[c.alias(k) for k, c in key.items()])
+    by_line = licences.scan_lines(docs, **row_key(F.col("doc_id"), F.col("text")))
+    return whole.join(by_line, list(key), "left").select(
         "doc_id", "digest", "licence", F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"))
 
 
