@@ -1,9 +1,15 @@
 """Exact nearest-owner search over 64-bit fingerprints and over vectors.
 
-Both searches run on a grid: queries are hashed into row chunks, reference rows into blocks, and each
-(chunk, block) cell is one bounded Arrow group that a numpy kernel reduces to a few rows per query. Nothing is
-broadcast and no pair is ever a Spark row, so the index may grow past any broadcast limit and copies of one
-fingerprint cost nothing: equal queries and equal index rows are collapsed before the grid.
+Fingerprints: a distance within a known reach is found by pigeonhole bands (``radius``). The four minor tiers of a match
+only ask whether the full tier's owner leads within the accepted distance, so they are searched by bands alone, and only
+where that owner is near enough. The full tier needs the distance of the next owner however far: an index large enough
+for the next owner to lie within the bands' reach is searched by bands first, and what they leave open by a grid of
+(query chunk, index block) cells, each a bounded Arrow group reduced by a numpy kernel.
+
+Vectors: points lie in cells round pivots, with a centre and a radius. Every query is answered in its own cell first, and
+then sent only to the cells that can hold a point as near as its kth so far.
+
+Nothing of the data is broadcast, no pair is ever a Spark row, and equal queries and equal index rows are collapsed.
 """
 
 from __future__ import annotations
@@ -16,7 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n
+from entityflow.operators import cells
+from entityflow.operators.cells import CellParams
+from entityflow.operators.radius import BANDS, Bands, met_owners
 from entityflow.params import TIERS, HashParams
+from entityflow.sources.storage import materialise
 
 NO_DISTANCE = 64  # reported where there is no (second) owner
 
@@ -28,6 +38,9 @@ class Grid:
     query_rows: int = 131_072
     index_rows: int = 65_536
     least_rows: int = 1_024  # queries are not cut finer than this for the sake of parallelism
+    # rows of a tier from which on a query's two nearest owners are expected within the bands' reach: about 2 ** 64 over
+    # the number of fingerprints within 11 bits, times two
+    bands_from: int = 32_000_000
 
     def chunks(self, queries: int, index: int, slots: int) -> tuple[int, int]:
         """(query chunks, index blocks): as few as the row bounds allow, but enough cells to use every slot."""
@@ -37,9 +50,6 @@ class Grid:
         return max(1, bounded, spread), blocks
 
 
-VECTOR_GRID = Grid(32_768, 32_768)
-
-
 def load_index(df: DataFrame) -> DataFrame:
     """The three columns of a fingerprint index; rows of unknown tiers and rows without a fingerprint are ignored."""
     return df.where(F.col("hash_type").isin(*TIERS) & F.col("hash_bits").isNotNull()).select("ref_id", "hash_type", "hash_bits")
@@ -52,7 +62,7 @@ def _spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key:
 
 
 def _slots(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _sizes(queries: DataFrame, index: DataFrame, by: Column) -> tuple[int, int]:
@@ -91,21 +101,44 @@ def _hamming_cell(queries: pa.Table, index: pa.Table) -> pa.Table:
     })
 
 
-def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> DataFrame:
+def hamming_knn(
+    queries: DataFrame, index: DataFrame, grid: Grid = Grid(), bands: Bands = Bands(), sizes: tuple[int, int] | None = None
+) -> DataFrame:
     """Per (item, tier): nearest owner, its distance and the distance of the nearest other owner.
 
     Equal distances go to the lowest ref_id. An empty tier, or a query without a fingerprint, gives no owner and 64, 64.
     """
     keys = ["hash_type", "hash_bits"]
     index = load_index(index)
-    n_q, n_i = grid.chunks(*_sizes(queries, index, F.col("hash_type")), _slots(queries))
-    # of equal fingerprints only the two lowest owners can ever be reported
+    sizes = sizes or _sizes(queries, index, F.col("hash_type"))
+    rows, asked = _distinct_rows(index), queries.select(*keys).where(F.col("hash_bits").isNotNull()).distinct()
+    settled = None
+    if sizes[1] >= grid.bands_from:
+        near = met_owners(asked.withColumn("errors", F.lit(bands.errors)), rows, sizes[1], bands)
+        # two owners within the reach: nothing that the bands did not meet can be nearer
+        settled = materialise(_merge_blocks(near, keys).where(F.col("second_dist") <= bands.reach), "knn-bands")
+        asked = asked.join(settled.select(*keys), keys, "left_anti")
+    found = _on_grid(asked, rows, *grid.chunks(*sizes, _slots(queries)))
+    best = found if settled is None else found.unionByName(settled)
+    best = best.select(*keys, F.col("ref_id").alias("best_ref"), F.col("dist").alias("best_dist"), "second_dist")
+    far = F.lit(NO_DISTANCE)
+    return queries.join(best, keys, "left").select(
+        "item_id", *keys, "best_ref",
+        F.coalesce("best_dist", far).alias("best_dist"), F.coalesce("second_dist", far).alias("second_dist"),
+    )
+
+
+def _distinct_rows(index: DataFrame) -> DataFrame:
+    """Index rows as (tier, bits, ref_id); of equal fingerprints only the two lowest owners can ever be reported."""
     # (renamed: queries are often derived from the index itself)
-    rows = first_n(index.distinct(), keys, [F.col("ref_id")], 2).select(
+    return first_n(index.distinct(), ["hash_type", "hash_bits"], [F.col("ref_id")], 2).select(
         F.col("hash_type").alias("tier"), F.col("hash_bits").alias("bits"), "ref_id"
     )
-    asked = queries.select(*keys).where(F.col("hash_bits").isNotNull()).distinct()
-    ref_type = index.schema["ref_id"].dataType.simpleString()
+
+
+def _on_grid(asked: DataFrame, rows: DataFrame, n_q: int, n_i: int) -> DataFrame:
+    """(hash_type, hash_bits, ref_id, dist, second_dist) of distinct queries, by comparing every pair."""
+    ref_type = rows.schema["ref_id"].dataType.simpleString()
     found = (
         _spread(asked, "_chunk", n_q, "_block", n_i, "hash_bits").groupBy("hash_type", "_chunk", "_block")
         .cogroup(_spread(rows, "_block", n_i, "_chunk", n_q, "bits").groupBy("tier", "_chunk", "_block"))
@@ -114,16 +147,8 @@ def hamming_knn(queries: DataFrame, index: DataFrame, grid: Grid = Grid()) -> Da
             f"hash_type string, hash_bits bigint, ref_id {ref_type}, dist int, second_ref {ref_type}, second_dist int",
         )
     )
-    if n_i > 1:
-        found = _merge_blocks(found, keys)
-    best = found.select(
-        *keys, F.col("ref_id").alias("best_ref"), F.col("dist").alias("best_dist"), "second_dist"
-    )
-    far = F.lit(NO_DISTANCE)
-    return queries.join(best, keys, "left").select(
-        "item_id", *keys, "best_ref",
-        F.coalesce("best_dist", far).alias("best_dist"), F.coalesce("second_dist", far).alias("second_dist"),
-    )
+    keys = ["hash_type", "hash_bits"]
+    return _merge_blocks(found, keys) if n_i > 1 else found.select(*keys, "ref_id", "dist", "second_dist")
 
 
 def _merge_blocks(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,31 +179,47 @@ def hash_score(distance: Column, margin: Column, agreement: Column, accept: int)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
-def hamming_match(queries: DataFrame, index: DataFrame, p: HashParams = HashParams(), grid: Grid = Grid()) -> DataFrame:
+def hamming_match(
+    queries: DataFrame, index: DataFrame, p: HashParams = HashParams(), grid: Grid = Grid(), bands: Bands = Bands()
+) -> DataFrame:
     """Five-tier vote. The full tier names the candidate; ``agreement`` counts tiers led by it within reach."""
-    return vote_tiers(hamming_knn(queries, index, grid), p)
+    full = F.col("hash_type") == TIERS[0]
+    index = load_index(index)
+    sizes = _sizes(queries, index, F.col("hash_type"))
+    lead = hamming_knn(queries.where(full), index.where(full), grid, bands, sizes).drop("hash_type", "hash_bits")
+    lead = materialise(lead, "match-full")
+    votes = minor_votes(queries.where(~full & F.col("hash_bits").isNotNull()), index.where(~full), lead, sizes[1], p, bands)
+    own = F.when(F.col("best_ref").isNotNull() & (F.col("best_dist") <= p.accept_distance), 1).otherwise(0)
+    items = queries.select("item_id").distinct().join(lead, "item_id", "left").join(votes, "item_id", "left")
+    far = F.lit(NO_DISTANCE)
+    return judged(items.select(
+        "item_id", F.col("best_ref").alias("candidate"), F.coalesce("best_dist", far).alias("distance"),
+        (F.coalesce("second_dist", far) - F.coalesce("best_dist", far)).alias("margin"),
+        (own + F.coalesce("votes", F.lit(0))).cast("int").alias("agreement"),
+    ), p)
 
 
-def vote_tiers(knn: DataFrame, p: HashParams = HashParams()) -> DataFrame:
-    def pick(tier: str, column: str) -> Column:
-        return F.max(F.when(F.col("hash_type") == tier, F.col(column)))
+def minor_votes(queries: DataFrame, index: DataFrame, lead: DataFrame, size: int, p: HashParams, bands: Bands) -> DataFrame:
+    """(item, votes): how many minor tiers the item's candidate leads within the accepted distance.
 
-    wide = knn.groupBy("item_id").agg(
-        pick("full", "second_dist").alias("_second"),
-        *[pick(t, "best_ref").alias(f"_r{i}") for i, t in enumerate(TIERS)],
-        *[pick(t, "best_dist").alias(f"_d{i}") for i, t in enumerate(TIERS)],
-    )
-    votes = [
-        F.when((F.col(f"_r{i}") == F.col("_r0")) & (F.col(f"_d{i}") <= p.accept_distance), 1).otherwise(0)
-        for i in range(len(TIERS))
-    ]
-    agreement = votes[0]
-    for v in votes[1:]:
-        agreement = agreement + v
-    scored = wide.select(
-        "item_id", F.col("_r0").alias("candidate"), F.col("_d0").alias("distance"),
-        (F.col("_second") - F.col("_d0")).alias("margin"), agreement.alias("agreement"),
-    )
+    The candidate's own rows are looked up by their id. Where it is near enough, the bands tell whether any other owner is
+    nearer; a candidate at distance d needs ``d // 4`` flips.
+    """
+    keys = ["hash_type", "hash_bits"]
+    wanted = queries.join(lead.select("item_id", F.col("best_ref").alias("ref_id")).where("ref_id is not null"), "item_id")
+    held = index.select("ref_id", "hash_type", F.col("hash_bits").alias("_bits"))
+    apart = F.bit_count(F.col("hash_bits").bitwiseXOR(F.col("_bits")))
+    own = wanted.join(held, ["ref_id", "hash_type"]).groupBy("item_id", *keys, "ref_id").agg(F.min(apart).alias("dist"))
+    own = materialise(own.where(F.col("dist") <= min(p.accept_distance, bands.reach)), "match-minor")
+    asked = own.groupBy(*keys).agg(F.max(F.floor(F.col("dist") / BANDS)).cast("int").alias("errors"))
+    rows = _distinct_rows(index)
+    near = _merge_blocks(met_owners(asked, rows, size, bands), keys).select(*keys, F.col("ref_id").alias("_best"))
+    led = own.join(near, keys).where(F.col("_best") == F.col("ref_id"))
+    return led.groupBy("item_id").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def judged(scored: DataFrame, p: HashParams = HashParams()) -> DataFrame:
+    """Match or no match of (item, candidate, distance, margin, agreement)."""
     ok = (
         (F.col("agreement") >= p.min_agreement)
         & (F.col("distance") <= p.accept_distance)
@@ -193,79 +234,44 @@ def vote_tiers(knn: DataFrame, p: HashParams = HashParams()) -> DataFrame:
     )
 
 
-def best_alternative(alternatives: DataFrame, index: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """(item, alternative, bits) to the alternative nearest to any full-tier row; ties and no index give the lowest."""
+def best_alternative(alternatives: DataFrame, index: DataFrame, grid: Grid = Grid(), bands: Bands = Bands()) -> DataFrame:
+    """(item, alternative, bits) to the alternative nearest to any full-tier row; ties and no index give the lowest.
+
+    An item with an alternative within the bands' reach is settled by them, as the others are further; the rest goes to
+    the grid.
+    """
+    keys = ["hash_type", "hash_bits"]
     full = load_index(index).where(F.col("hash_type") == "full")
-    asked = alternatives.select(
-        F.struct("item_id", "alternative").alias("item_id"), F.lit("full").alias("hash_type"), "hash_bits"
-    )
-    near = hamming_knn(asked, full, grid).select("item_id.*", "best_dist", "best_ref")
-    hit = F.col("best_ref").isNotNull()
-    return near.groupBy("item_id").agg(
+    asked = materialise(alternatives.select("item_id", "alternative", F.lit("full").alias("hash_type"), "hash_bits"), "alternatives")
+    sizes = _sizes(asked, full, F.col("hash_type"))
+    rows = _distinct_rows(full)
+    bits = asked.select(*keys).where(F.col("hash_bits").isNotNull()).distinct()
+    near = _merge_blocks(met_owners(bits.withColumn("errors", F.lit(bands.errors)), rows, sizes[1], bands), keys)
+    near = materialise(asked.join(near.where(F.col("dist") <= bands.reach).select(*keys, "dist"), keys, "left"), "alternatives-near")
+    closed = near.groupBy("item_id").agg(F.count("dist").alias("n"))
+    left = near.join(closed.where("n = 0").select("item_id"), "item_id", "left_semi").drop("dist")
+    far = _on_grid(left.select(*keys).where(F.col("hash_bits").isNotNull()).distinct(), rows, *grid.chunks(*sizes, _slots(asked)))
+    far = left.join(far.select(*keys, "dist"), keys, "left")
+    both = near.join(closed.where("n > 0").select("item_id"), "item_id", "left_semi").unionByName(far)
+    return both.groupBy("item_id").agg(
         F.coalesce(
-            F.min_by("alternative", F.when(hit, F.struct("best_dist", "alternative"))), F.lit(0)
+            F.min_by("alternative", F.when(F.col("dist").isNotNull(), F.struct("dist", "alternative"))), F.lit(0)
         ).alias("alternative"),
-        F.min(F.when(hit, F.col("best_dist"))).alias("distance"),
+        F.min("dist").alias("distance"),
     )
 
 
-def _unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
-    m = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=m, where=norm > 0)
-
-
-def _cosine_cell(k: int):
-    def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
-        points = points.sort_by("point_id")
-        r, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        if len(queries) and len(points):
-            p, q = _unit_rows(points.column("vector")), _unit_rows(queries.column("vector"))
-            take, step, parts = min(k, len(p)), max(1, 2_000_000 // len(p)), []
-            for lo in range(0, len(q), step):
-                # rounding makes equal points equal whatever tile the product is computed in
-                sims = np.round(q[lo:lo + step] @ p.T, 12)
-                floor = np.partition(sims, len(p) - take, axis=1)[:, len(p) - take]
-                r, c = np.nonzero(sims >= floor[:, None])
-                s = sims[r, c]
-                order = np.lexsort((c, -s, r))
-                r, c, s = r[order], c[order], s[order]
-                keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < take
-                parts.append((r[keep] + lo, c[keep], s[keep]))
-            r, c, s = (np.concatenate(x) for x in zip(*parts))
-        return pa.table({
-            "item_id": queries.column("item_id").take(pa.array(r)), "point_id": points.column("point_id").take(pa.array(c)),
-            "ref_id": points.column("ref_id").take(pa.array(c)), "sim": s,
-        })
-
-    return kernel
-
-
-def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, grid: Grid = VECTOR_GRID) -> DataFrame:
+def cosine_top(queries: DataFrame, points: DataFrame, k: int = 5, p: CellParams = CellParams()) -> DataFrame:
     """The ``k`` nearest points of every item with rank; equal similarity goes to the lowest point id. Items and points
     without a vector take no part."""
-    queries, points = (d.where(F.col("vector").isNotNull()) for d in (queries, points))
-    n_q, n_p = grid.chunks(*_sizes(queries, points, F.lit(0)), _slots(queries))
-    cells = ["_chunk", "_block"]
-    types = {n: f.dataType.simpleString() for d in (queries, points) for n, f in ((f.name, f) for f in d.schema)}
-    near = (
-        _spread(queries.select("item_id", "vector"), "_chunk", n_q, "_block", n_p, "item_id").groupBy(*cells)
-        .cogroup(
-            _spread(points.select("point_id", "ref_id", "vector"), "_block", n_p, "_chunk", n_q, "point_id").groupBy(*cells)
-        )
-        .applyInArrow(
-            _cosine_cell(k),
-            f"item_id {types['item_id']}, point_id {types['point_id']}, ref_id {types['ref_id']}, sim double",
-        )
-    )
-    return first_n(near, ["item_id"], [F.desc("sim"), F.asc("point_id")], k)
+    return cells.top(queries, points, k, p)[0]
 
 
 def cosine_match(
-    queries: DataFrame, points: DataFrame, k: int = 5, margin_scale: float = 0.05, grid: Grid = VECTOR_GRID
+    queries: DataFrame, points: DataFrame, k: int = 5, margin_scale: float = 0.05, p: CellParams = CellParams()
 ) -> DataFrame:
     """Owner of the nearest point; the score grows with the gap to the first other owner among the ``k``."""
-    top = cosine_top(queries, points, k, grid)
+    top = cosine_top(queries, points, k, p)
     hits = top.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rn", "ref_id", "sim"))).alias("h"))
     first = F.col("h")[0]
     other = F.filter("h", lambda x: x["ref_id"] != F.col("h")[0]["ref_id"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from entityflow.functions.fingerprint import bits_from_coefficients, flip_mask, tier_coefficients
 from entityflow.params import FINISHES, STATUSES, TIERS
+from entityflow.sources.storage import materialise
 
 
 def _lit_array(values) -> Column:
@@ -175,7 +176,7 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        """(ref_id, hash_type, hash_bits); every tenth owner is a near twin of its neighbour."""
+        """(ref_id, hash_type, hash_bits), stored as an index is; every tenth owner is a near twin of its neighbour."""
         vec = self.coefficients
         own = vec.select("vec_id", (F.col("vec_id") - F.when(F.col("vec_id") % 10 == 1, 1).otherwise(0)).alias("src"))
         bits = (
@@ -183,11 +184,12 @@ class Tables:
             .select(F.col("vec_id").alias("src"), "t", bits_from_coefficients(F.col("c")).alias("bits"))
         )
         twin = F.col("bits").bitwiseXOR(F.lit((1 << 62) | (1 << 61)))
-        return bits.join(own, "src").select(
+        rows = bits.join(own, "src").select(
             F.col("vec_id").alias("ref_id"),
             F.element_at(_lit_array(TIERS), F.col("t") + 1).alias("hash_type"),
             F.when(F.col("vec_id") != F.col("src"), twin).otherwise(F.col("bits")).alias("hash_bits"),
         )
+        return materialise(rows, "index")
 
     @cached_property
     def probe(self) -> DataFrame:

@@ -24,8 +24,8 @@ def _(t):
 @query("win_best_two_distinct", "v_knn", """
     SELECT item_id, hash_type, best_dist, second_dist - best_dist AS margin FROM v_knn""", types={"best_dist": "INTEGER", "margin": "INTEGER"})
 def _(t):
-    # a fine grid, so that the best two are merged over many blocks
-    return knn.hamming_knn(t.probe, t.index, knn.Grid(1000, 150)).select(
+    # bands first, and a fine grid behind them, so that the best two are merged over many cells of both
+    return knn.hamming_knn(t.probe, t.index, knn.Grid(1000, 150, bands_from=0)).select(
         "item_id", "hash_type", "best_dist", (F.col("second_dist") - F.col("best_dist")).alias("margin")
     )
 

@@ -102,7 +102,7 @@ def test_cosine_grid_is_exact(spark):
     points = spark.createDataFrame([(i, i % 40, vec()) for i in range(120)], "point_id int, ref_id int, vector array<double>")
     queries = spark.createDataFrame([(i, vec()) for i in range(50)], "item_id int, vector array<double>")
     whole = sorted(map(tuple, knn.cosine_top(queries, points).collect()))
-    cells = sorted(map(tuple, knn.cosine_top(queries, points, grid=knn.Grid(7, 11)).collect()))
+    cells = sorted(map(tuple, knn.cosine_top(queries, points, p=knn.CellParams(11, 99, 7)).collect()))
     assert whole == cells and len(whole) == 250
 
 
@@ -215,3 +215,105 @@ def test_hamming_is_symmetric(spark):
     df = spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", hamming(F.col("a"), F.col("b")).alias("x"), hamming(F.col("b"), F.col("a")).alias("y"))
     for r in df.collect():
         assert r.x == r.y == bin((r.a ^ r.b) & (2**64 - 1)).count("1")
+
+
+def band_tables(spark, seed=4, owners=150, asked=150):
+    """Owners round a few seeds, some within a radius of a query and some just beyond it."""
+    rng = random.Random(seed)
+    seeds = [rng.getrandbits(64) for _ in range(25)]
+
+    def near(most):
+        b = rng.choice(seeds)
+        for i in rng.sample(range(64), rng.randrange(most)):
+            b ^= 1 << i
+        return signed(b)
+
+    index = [(f"r{i % owners:03d}", t, near(9)) for i in range(owners) for t in TIERS] + [("r000", t, signed(seeds[0])) for t in TIERS]
+    queries = [(i, t, near(14)) for i in range(asked) for t in TIERS]
+    return (spark.createDataFrame(queries, "item_id int, hash_type string, hash_bits bigint"),
+            spark.createDataFrame(index, "ref_id string, hash_type string, hash_bits bigint"), queries, index)
+
+
+@pytest.mark.parametrize("rows", [65_536, 40, 3])
+def test_bands_meet_every_row_within_reach(spark, rows):
+    from entityflow.operators import radius
+
+    asked, index, queries, held = band_tables(spark)
+    bands = radius.Bands(rows=rows)
+    got = knn.hamming_knn(asked, index, knn.Grid(bands_from=0), bands).collect()
+    want = brute(queries, held)
+    assert len(got) == len(queries) and all((r.best_ref, r.best_dist, r.second_dist) == want[r.item_id, r.hash_type] for r in got)
+    placed = knn._distinct_rows(knn.load_index(index))
+    met = radius.met_owners(asked.select("hash_type", "hash_bits").distinct().withColumn("errors", F.lit(2)), placed, 151, bands)
+    best = knn._merge_blocks(met, ["hash_type", "hash_bits"]).collect()
+    found = {(r.hash_type, r.hash_bits): (r.ref_id, r.dist) for r in best}
+    for i, t, b in queries:
+        ref, d, _ = want[i, t]
+        assert d > bands.reach or found[t, b] == (ref, d)
+
+
+def test_bands_compare_few_pairs(spark):
+    """Counted pairs of a spread index stay far below queries times rows."""
+    from entityflow.operators import radius
+
+    rng = random.Random(8)
+    index = spark.createDataFrame([("full", signed(rng.getrandbits(64)), i) for i in range(20_000)], "tier string, bits bigint, ref_id int")
+    asked = spark.createDataFrame([("full", signed(rng.getrandbits(64)), e) for e in (0, 1, 2) for _ in range(200)], "hash_type string, hash_bits bigint, errors int")
+    met = radius.met_owners(asked, index, 20_000, radius.Bands(rows=2_000))
+    per = {r.errors: r.n for r in asked.join(met, ["hash_type", "hash_bits"]).groupBy("errors").agg(F.sum("compared").alias("n")).collect()}
+    pairs = 200 * 20_000
+    assert per.get(0, 0) < pairs / 5_000 and per[1] < pairs / 500 and per[2] < pairs / 80
+
+
+@pytest.mark.parametrize("bands_from", [0, 10**9])
+def test_match_equals_the_vote_over_all_tiers(spark, bands_from):
+    asked, index, queries, held = band_tables(spark, seed=12, owners=60)
+    want, got = brute(queries, held), knn.hamming_match(asked, index, grid=knn.Grid(bands_from=bands_from)).collect()
+    assert len(got) == 150 and any(r.ref_id for r in got) and not all(r.ref_id for r in got)
+    for r in got:
+        ref, d, second = want[r.item_id, "full"]
+        agree = sum(want[r.item_id, t][0] == ref and want[r.item_id, t][1] <= 10 for t in TIERS)
+        ok = agree >= 3 and d <= 10 and second - d >= 4
+        assert (r.distance, r.margin, r.agreement, r.ref_id) == (d, second - d, agree, ref if ok else None)
+
+
+def test_best_alternative_is_the_nearest_of_all(spark):
+    asked, index, queries, held = band_tables(spark, seed=20)
+    full = [(i // 4, i % 4, b) for i, t, b in queries if t == "full"]
+    alts = spark.createDataFrame(full, "item_id int, alternative int, hash_bits bigint")
+    bits = [b for _, t, b in held if t == "full"]
+    want = {}
+    for i, a, b in full:
+        d = min(bin((b ^ o) & (2**64 - 1)).count("1") for o in bits)
+        want[i] = min(want.get(i, (99, 0)), (d, a))
+    assert {r.item_id: (r.distance, r.alternative) for r in knn.best_alternative(alts, index).collect()} == want
+
+
+@pytest.mark.parametrize("block", [32_768, 40])
+def test_cells_are_exact_and_few_are_visited(spark, block):
+    import numpy as np
+
+    from entityflow.operators import cells
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    place = rng.integers(0, 20, 2000)
+    x = centres[place] + rng.normal(size=(2000, 16)) / 20
+    x[5], x[6], x[7] = 0, x[8], x[8]
+    q = np.concatenate([x[:40] + rng.normal(size=(40, 16)) / 30, np.zeros((1, 16)), -x[:2]])
+    points = spark.createDataFrame([(i, i % 300, v.tolist()) for i, v in enumerate(x)] + [(9999, 1, None)], "point_id int, ref_id int, vector array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(99, None)], "item_id int, vector array<double>")
+    got, visited = cells.top(asked, points, 5, cells.CellParams(20, 99, block))
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    sims = np.round(unit(q) @ unit(x).T, 12)
+    want = {(i, n + 1, int(j)) for i in range(len(q)) for n, j in enumerate(np.lexsort((np.arange(2000), -sims[i]))[:5])}
+    assert {(r.item_id, r.rn, r.point_id) for r in got.collect()} == want
+    near = visited.where("item_id < 40").count() / 40
+    assert near < 25  # of 99 cells
+
+
+def test_cells_without_points(spark):
+    empty = spark.createDataFrame([], "point_id int, ref_id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, vector array<double>")
+    assert knn.cosine_top(asked, empty).count() == 0
+    assert [tuple(r) for r in knn.cosine_match(asked, empty).collect()] == [(1, None, 0.0)]
