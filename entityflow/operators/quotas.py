@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entityflow.functions.clock import hour_number
 from entityflow.functions.ranking import running_total
 from entityflow.functions.scan import ordered_scan, time_slots, with_runs
 from entityflow.params import AuthParams, QuotaParams
@@ -33,7 +32,7 @@ def _clamped(total: Column, want: Column, cap: Column) -> Column:
 def clamp_grants(requests: DataFrame, cap: int) -> DataFrame:
     """Partial grants (user_id, day, ts, request_id, want): each gets what is left of the day's cap."""
     want = F.col("want").cast("bigint")
-    summed = running_total(requests, ["user_id", "day"], hour_number(F.col("ts")), ["ts", "request_id"], want, "_total")
+    summed = running_total(requests, ["user_id", "day"], ["ts", "request_id"], want, "_total")
     return summed.withColumn("granted", _clamped(F.col("_total"), want, F.lit(cap).cast("bigint"))).drop("_total")
 
 
@@ -63,7 +62,7 @@ def fanout(requests: DataFrame, p: QuotaParams = QuotaParams()) -> DataFrame:
     order, zero = ["ts", "request_id"], F.lit(0).cast("bigint")
     granted = _fanout_round(requests, earlier, p)
     offered = F.col("offered").cast("bigint")
-    in_day = running_total(granted, ["batch_id", "day"], hour_number(F.col("ts")), order, F.col("granted"), "_given")
+    in_day = running_total(granted, ["batch_id", "day"], order, F.col("granted"), "_given")
     room_left = F.greatest(F.col("_room") - (F.col("_given") - F.col("granted")), zero)
     photos, fetches = _day_room(p)
     used = F.least(F.col("_demands") - F.col("_demand"), F.least(photos, fetches))
@@ -95,9 +94,9 @@ def _fanout_round(requests: DataFrame, earlier: DataFrame | None, p: QuotaParams
     offered = F.col("offered").cast("bigint")
     room = F.greatest(F.lit(p.photos_per_batch) - F.col("in_batch") - F.col("_earlier"), zero).cast("bigint")
     roomy = known.withColumn("_room", room)
-    per_batch = running_total(roomy, ["batch_id", "day"], hour_number(F.col("ts")), order, offered, "_offers")
+    per_batch = running_total(roomy, ["batch_id", "day"], order, offered, "_offers")
     asked = per_batch.withColumn("_demand", _clamped(F.col("_offers"), offered, F.col("_room"))).drop("_offers")
-    per_day = running_total(asked, ["user_id", "day"], hour_number(F.col("ts")), order, F.col("_demand"), "_demands")
+    per_day = running_total(asked, ["user_id", "day"], order, F.col("_demand"), "_demands")
     return per_day.withColumn("granted", _clamped(F.col("_demands"), F.col("_demand"), F.least(*_day_room(p))))
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.functions.clock import hour_number
 from entityflow.functions.ranking import running_total
 
 # How long each class of rows is kept.
@@ -47,9 +46,8 @@ def budget_mode(spend: DataFrame, daily_cents: int, user_cents: int) -> DataFram
     From 80% of the budget calls degrade to review, from 100% work queues; a user at the own limit degrades alone.
     """
     order, cents = ["ts", "request_id"], F.col("cents").cast("bigint")
-    hour = hour_number(F.col("ts"))
-    total = running_total(spend, ["day"], hour, order, cents, "_day")
-    both = running_total(total, ["user_id", "day"], hour, order, cents, "_user")
+    total = running_total(spend, ["day"], order, cents, "_day")
+    both = running_total(total, ["user_id", "day"], order, cents, "_user")
     before, mine = F.col("_day") - cents, F.col("_user") - cents
     mode = (
         F.when(before >= daily_cents, "queue").when(before * 100 >= daily_cents * 80, "degrade")

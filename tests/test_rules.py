@@ -258,13 +258,34 @@ def test_clamp_and_running_total(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), i, rng.randrange(10)) for i in range(500)]
     many = spark.createDataFrame(rows, "k int, i int, v int")
-    total = running_total(many, ["k"], F.floor(F.col("i") / 20), ["i"], F.col("v"), "c").orderBy("i").collect()
+    total = running_total(many, ["k"], ["i"], F.col("v"), "c").orderBy("i").collect()
     acc = {}
     for (k, _, v), r in zip(rows, total):
         acc[k] = acc.get(k, 0) + v
         assert r.c == acc[k]
 
 
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_running_total_of_a_hot_key_over_many_parts(spark, batch):
+    rng = random.Random(4)
+    rows = [(None if i % 11 == 0 else rng.choice("aaaaaaab"), rng.choice([None, 1]), i, None if i % 17 == 0 else rng.randrange(-3, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, day int, i int, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = running_total(df.repartition(3), ["k", "day"], ["i"], F.col("v"), "c").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    acc, want = {}, {}
+    for k, day, i, v in rows:
+        acc[k, day] = acc.get((k, day), 0) + (v or 0)
+        want[i] = acc[k, day]
+    assert {r.i: r.c for r in got} == want and len(got) == 3000
+    assert len({r.p for r in got if r.k == "a" and r.day == 1}) > 2
+    assert running_total(df.where("false"), ["k"], ["i"], F.col("v"), "c").count() == 0
+
+
 def test_first_n_with_a_large_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id")
     got = first_n(df, ["k"], [F.desc("id")], 1500).groupBy("k").agg(F.count("id").alias("n"), F.min("id").alias("low")).orderBy("k").collect()
