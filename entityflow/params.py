@@ -64,6 +64,14 @@ class AuthParams:
     links_per_day: int = 10
 
 
+@dataclass(frozen=True)
+class StateParams:
+    """How long streams remember, in processing time."""
+
+    idle_hours: int = 48  # an open batch without news
+    fired_hours: int = 1  # a complete batch
+
+
 @dataclass(frozen=True)
 class GateParams:
     allowed_hosts: tuple[str, ...] = (

@@ -34,18 +34,21 @@ def _(t):
     value = F.to_json(F.struct(F.col("user_id").alias("batch_id"), kind.alias("event"), card.alias("card_id")))
     counters = jobs.progress_stream(_streams(t).raw("events").select(value.alias("value")))
     path = scratch(t.spark, "progress")
-    changes.run_available(counters, path, mode="update")
+    changes.run_available(counters, path, mode="update", stateful=True)
     return changes.read_newest(t.spark, f"{path}/table", counters.schema, ["batch_id"])
 
 
 @query("st_batch_complete_once", "v_cards", """
     SELECT batch_id, count(*) AS items FROM v_cards GROUP BY batch_id HAVING count(*) FILTER (status = 'pending') = 0""")
 def _(t):
+    # a third of the items is delivered twice, among them some of batches that lack others
     expected = t.cards.groupBy("batch_id").agg(F.count(F.lit(1)).alias("expected"))
-    items = _streams(t).cards.join(expected, "batch_id").select("batch_id", "expected", (F.col("status") != "pending").alias("terminal"))
+    cards = _streams(t).cards.withColumn("copy", F.explode(F.when(F.col("ordinal") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    items = cards.join(expected, "batch_id").select(
+        "batch_id", "expected", F.col("card_id").alias("item_id"), (F.col("status") != "pending").alias("terminal"))
     done = jobs.completion_stream(items)
     path = scratch(t.spark, "completions")
-    changes.run_available(done, path)
+    changes.run_available(done, path, stateful=True)
     return changes.read_changes(t.spark, f"{path}/table", done.schema).select("batch_id", "items")
 
 
@@ -53,30 +56,41 @@ def _(t):
     SELECT card_ref_id, finish, cents AS price_cents, source, observed_at FROM v_obs
     QUALIFY row_number() OVER (PARTITION BY card_ref_id, finish ORDER BY observed_at DESC, obs_id DESC) = 1""")
 def _(t):
-    stream = _streams(t).observations
-    path = scratch(t.spark, "prices")
-    changes.run_available(stream, path, jobs.price_changes)
+    # two runs of half the observations each: the first ends in a snapshot, the second adds a change behind it
+    path, order = scratch(t.spark, "prices"), ["observed_at", "obs_id"]
     schema = jobs.price_changes(t.observations).schema
-    book = changes.read_newest(t.spark, f"{path}/table", schema, jobs.KEY, ["observed_at", "obs_id"])
+    stream, early = _streams(t).observations, F.col("card_ref_id") % 2 == 0
+    changes.run_available(stream, path, lambda df: jobs.price_changes(df.where(early)), after=lambda log, n: log.compact(t.spark, schema, jobs.KEY, order))
+    changes.write_changes(jobs.price_changes(t.observations.where(~early | (F.col("card_ref_id") % 3 == 0))), 1, f"{path}/table")
+    book = changes.read_newest(t.spark, f"{path}/table", schema, jobs.KEY, order)
     return book.select("card_ref_id", "finish", "price_cents", "source", "observed_at")
 
 
-@query("st_correction_ingest", "v_cards v_bits", """
-    SELECT ref_id, t, row_id, bits FROM (
-      SELECT card_ref_id % 40 AS ref_id, t, card_id AS row_id, created_at, bits FROM v_cards JOIN v_bits ON vec_id = card_ref_id WHERE status = 'corrected')
-    QUALIFY row_number() OVER (PARTITION BY ref_id, t ORDER BY created_at DESC, row_id DESC) <= 20""")
+_CORRECTED_SQL = "(SELECT *, card_ref_id % 40 AS actual FROM v_cards WHERE status = 'corrected')"
+
+
+@query("st_correction_ingest", "v_cards v_bits", f"""
+    SELECT 'fingerprint' AS output, actual AS ref_id, t, card_id AS row_id, CAST(bits AS VARCHAR) AS value FROM (
+      SELECT actual, t, card_id, created_at, bits FROM {_CORRECTED_SQL} JOIN v_bits ON vec_id = card_ref_id)
+    QUALIFY row_number() OVER (PARTITION BY actual, t ORDER BY created_at DESC, card_id DESC) <= 20
+    UNION ALL
+    SELECT 'log', actual, card_ref_id, card_id, sha256(card_id) FROM {_CORRECTED_SQL} JOIN embeddings ON vec_id = card_ref_id""")
 def _(t):
-    coef = t.coefficients.select(F.col("vec_id").alias("_vec"), "coef")
+    coef = t.coefficients.select(F.col("vec_id").alias("predicted_ref_id"), "coef")
     corrections = _streams(t).cards.where(F.col("status") == "corrected").select(
-        (F.col("card_ref_id") % 40).alias("ref_id"), F.lit("user_validated").alias("source"), "created_at",
-        F.col("card_id").alias("row_id"), F.col("card_ref_id").alias("_vec"),
-    )
-    rows = ix.fingerprint_rows(corrections.join(coef, "_vec").drop("_vec"))
+        "card_id", F.sha2("card_id", 256).alias("crop_hash"), F.col("card_ref_id").alias("predicted_ref_id"),
+        (F.col("card_ref_id") % 40).alias("actual_ref_id"), "created_at",
+    ).join(coef, "predicted_ref_id")
     path = scratch(t.spark, "corrections")
-    changes.run_available(rows, path, jobs.correction_changes)
-    index = ix.cap_newest(changes.read_changes(t.spark, f"{path}/table", rows.schema).drop("change"), 20)
+    changes.run_available(corrections, path, jobs.correction_changes)
+    shapes = {name: df.schema for name, df in jobs.correction_changes(t.spark.createDataFrame([], corrections.schema)).items()}
+    log, prints = (changes.read_changes(t.spark, f"{path}/table", shapes[name], name).drop("change") for name in ("log", "fingerprints"))
     tier = F.array_position(F.array(*[F.lit(x) for x in TIERS]), F.col("hash_type")) - 1
-    return index.select("ref_id", tier.alias("t"), "row_id", F.col("hash_bits").alias("bits"))
+    kept = ix.cap_newest(prints, 20).select(
+        F.lit("fingerprint").alias("output"), "ref_id", tier.alias("t"), "row_id", F.col("hash_bits").cast("string").alias("value"))
+    return kept.unionByName(log.select(
+        F.lit("log").alias("output"), F.col("actual_ref_id").alias("ref_id"), F.col("predicted_ref_id").alias("t"),
+        F.col("card_id").alias("row_id"), F.col("crop_hash").alias("value")))
 
 
 @query("st_idempotent_items", "v_requests", """
@@ -97,7 +111,7 @@ def _keyed(t: Tables):
 def _(t):
     admitted = jobs.rate_limit_stream(_keyed(t))
     path = scratch(t.spark, "rate-limit")
-    changes.run_available(admitted, path)
+    changes.run_available(admitted, path, stateful=True)
     return changes.read_changes(t.spark, f"{path}/table", admitted.schema).select("request_id", "key", "admitted")
 
 
@@ -105,5 +119,5 @@ def _(t):
 def _(t):
     touched = jobs.session_touch_stream(_keyed(t))
     path = scratch(t.spark, "touch")
-    changes.run_available(touched, path)
+    changes.run_available(touched, path, stateful=True)
     return changes.read_changes(t.spark, f"{path}/table", touched.schema).select("request_id", "key", "touched")

@@ -8,24 +8,48 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from entityflow.functions.ranking import first_n, newest
+from entityflow.operators.index import fingerprint_rows
 from entityflow.operators.prices import KEY
 from entityflow.operators.quotas import DAY, HOUR, next_admitted, next_touched
-from entityflow.params import AuthParams, HashParams
+from entityflow.params import AuthParams, HashParams, StateParams
 
+HOUR_MS = 3_600_000
 MESSAGE = "batch_id bigint, event string, photo_id string, card_id string"
 
 
-def progress_stream(messages: DataFrame) -> DataFrame:
-    """JSON messages (``value``) to live counters per batch. Use update or complete mode."""
-    m = messages.select(F.from_json("value", MESSAGE).alias("m")).select("m.*").where(F.col("batch_id").isNotNull())
+_SEEN = ("photo_stored", "photo_done", "card_identified", "batch_complete")
 
-    def seen(event: str):
-        return F.count_if(F.col("event") == event).alias(event)
 
-    return m.groupBy("batch_id").agg(seen("photo_stored"), seen("photo_done"), seen("card_identified"), seen("batch_complete"))
+class _Progress(StatefulProcessor):
+    """Counters of one batch; forgotten when nothing has come for a while."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", ", ".join(f"{e} bigint" for e in _SEEN), self.idle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        now = list(self.counts.get()) if self.counts.exists() else [0] * len(_SEEN)
+        for pdf in rows:
+            found = pdf["event"].value_counts()
+            now = [n + int(found.get(e, 0)) for n, e in zip(now, _SEEN)]
+        self.counts.update(tuple(now))
+        yield pd.DataFrame({"batch_id": [key[0]], **{e: [n] for e, n in zip(_SEEN, now)}})
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(messages: DataFrame, p: StateParams = StateParams()) -> DataFrame:
+    """JSON messages (``value``) to live counters per batch, one row per batch with news. Use update mode. Counters of a
+    batch without messages for ``p.idle_hours`` are forgotten."""
+    m = messages.select(F.from_json("value", MESSAGE).alias("m")).select("m.batch_id", "m.event").where(F.col("batch_id").isNotNull())
+    return m.groupBy("batch_id").transformWithStateInPandas(
+        _Progress(int(p.idle_hours * HOUR_MS)), "batch_id bigint, " + ", ".join(f"{e} bigint" for e in _SEEN), "Update", "ProcessingTime")
 
 
 def dedupe_items(items: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
@@ -34,23 +58,52 @@ def dedupe_items(items: DataFrame, keys: list[str], ts: str, horizon: str) -> Da
     return timed.withWatermark("_event_time", horizon).dropDuplicatesWithinWatermark(keys).drop("_event_time")
 
 
-def completion_stream(items: DataFrame) -> DataFrame:
-    """(batch_id, expected, terminal) of distinct items to one completion row per batch, the first time all of
-    its expected items are terminal. The state is two numbers and a flag."""
+class _Completion(StatefulProcessor):
+    """The distinct terminal items of one open batch as a map. Completion clears it and leaves a mark for a while."""
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, expected, fired = state.get if state.exists else (0, 0, False)
-        for pdf in frames:
-            done += int(pdf["terminal"].sum())
+    def __init__(self, idle: int, fired: int):
+        self.idle, self.after = idle, fired
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.terminal = handle.getMapState("terminal", "item string", "there boolean", self.idle)
+        self.open = handle.getValueState("open", "done bigint, expected bigint", self.idle)
+        self.fired = handle.getValueState("fired", "items bigint", self.after)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        done, expected = self.open.get() if self.open.exists() else (0, 0)
+        new: set[str] = set()
+        for pdf in rows:
             expected = max(expected, int(pdf["expected"].max()))
-        complete = not fired and expected > 0 and done >= expected
-        state.update((done, expected, fired or complete))
-        if complete:
+            new.update(pdf["item_id"][pdf["terminal"].astype(bool)].astype(str))
+        if self.fired.exists():
+            return
+        if done:
+            new = {i for i in new if not self.terminal.containsKey((i,))}
+        done += len(new)
+        if 0 < expected <= done:
+            self.terminal.clear()
+            self.open.clear()
+            self.fired.update((done,))
             yield pd.DataFrame({"batch_id": [key[0]], "items": [done]})
+            return
+        for i in new:
+            self.terminal.updateValue((i,), (True,))
+        self.open.update((done, expected))
 
-    return items.groupBy("batch_id").applyInPandasWithState(
-        step, "batch_id bigint, items bigint", "done bigint, expected bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def completion_stream(items: DataFrame, p: StateParams = StateParams()) -> DataFrame:
+    """(batch_id, expected, item_id, terminal) to one completion row per batch, the first time all of its expected items
+    are terminal. Items count once however often they are delivered, as their ids are kept until the batch is complete.
+
+    A batch without news for ``p.idle_hours`` is forgotten; a complete one is remembered for ``p.fired_hours``, in which
+    late deliveries are ignored.
+    """
+    named = items.select("batch_id", F.col("expected").cast("bigint").alias("expected"), F.col("item_id").cast("string").alias("item_id"), "terminal")
+    return named.groupBy("batch_id").transformWithStateInPandas(
+        _Completion(int(p.idle_hours * HOUR_MS), int(p.fired_hours * HOUR_MS)), "batch_id bigint, items bigint", "Append", "ProcessingTime")
 
 
 def price_changes(observations: DataFrame) -> DataFrame:
@@ -59,52 +112,65 @@ def price_changes(observations: DataFrame) -> DataFrame:
     return newest(rows, KEY, ["observed_at", "obs_id"])
 
 
-def correction_changes(fingerprints: DataFrame, p: HashParams = HashParams()) -> DataFrame:
-    """Validated fingerprints of one micro-batch, cut to what the cap can ever keep."""
+def correction_changes(corrections: DataFrame, p: HashParams = HashParams()) -> dict[str, DataFrame]:
+    """The two outputs of one micro-batch of corrections (card_id, crop_hash, predicted_ref_id, actual_ref_id, created_at,
+    coef): ``log`` rows, and ``fingerprints``, cut to what the cap can ever keep before any is computed."""
+    log = corrections.select("card_id", "crop_hash", "predicted_ref_id", "actual_ref_id", "created_at")
     order = [F.desc("created_at"), F.desc("row_id")]
-    return first_n(fingerprints, ["ref_id", "hash_type"], order, p.user_validated_cap).drop("rn")
+    rows = corrections.select(
+        F.col("actual_ref_id").alias("ref_id"), F.lit("user_validated").alias("source"), "created_at", F.col("card_id").alias("row_id"), "coef")
+    kept = first_n(rows, ["ref_id"], order, p.user_validated_cap).drop("rn")
+    return {"log": log, "fingerprints": fingerprint_rows(kept)}
+
+
+class _Marking(StatefulProcessor):
+    """Marks the rows of a key that ``fold(times, memory) -> (positions, memory)`` picks; the memory lives for ``ttl``."""
 
+    def __init__(self, flag: str, fold, schema: str, ttl: int):
+        self.flag, self.fold, self.schema, self.ttl = flag, fold, schema, ttl
 
-def _marking(flag: str, fold, unpack, pack):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = unpack(state.get if state.exists else None)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="stable")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.memory = handle.getValueState("memory", self.schema, self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
         times = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        picked, memory = fold(times, memory)
+        picked, memory = self.fold(times, self.memory.get()[0] if self.memory.exists() else None)
         marks = np.zeros(len(pdf), dtype=bool)
         marks[picked] = True
-        state.update(pack(memory))
-        yield pdf.assign(**{flag: marks})
+        self.memory.update((memory,))
+        yield pdf.assign(**{self.flag: marks})
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(requests: DataFrame, p: AuthParams = AuthParams()) -> DataFrame:
-    """Stream form of the rate limit on (key, ts, request_id); the state is the last admitted times of a key.
+    """Stream form of the rate limit on (key, ts, request_id); the state is the last admitted times of a key, and is gone
+    a day after the last.
 
     A micro-batch must hold only requests later than those of the batches before it; its size (files or offsets
     per trigger) bounds what one key can bring at a time.
     """
     limits = ((p.links_per_hour, HOUR), (p.links_per_day, DAY))
-    step = _marking(
-        "admitted", lambda times, recent: next_admitted(times, recent, limits),
-        lambda s: list(s[0]) if s else [], lambda recent: (recent,),
-    )
-    return requests.select("key", "ts", "request_id").groupBy("key").applyInPandasWithState(
-        step, "key bigint, ts timestamp_ntz, request_id bigint, admitted boolean", "recent array<bigint>", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+
+    def fold(times, recent):
+        return next_admitted(times, [int(t) for t in recent] if recent is not None else [], limits)
+
+    return requests.select("key", "ts", "request_id").groupBy("key").transformWithStateInPandas(
+        _Marking("admitted", fold, "recent array<bigint>", 24 * HOUR_MS),
+        "key bigint, ts timestamp_ntz, request_id bigint, admitted boolean", "Append", "ProcessingTime")
 
 
 def session_touch_stream(requests: DataFrame, every: int = HOUR) -> DataFrame:
-    """Stream form of the hourly touch; the state is the last touch of a key."""
-    step = _marking(
-        "touched", lambda times, last: next_touched(times, last, every), lambda s: s[0] if s else None, lambda last: (last,)
-    )
-    return requests.select("key", "ts", "request_id").groupBy("key").applyInPandasWithState(
-        step, "key bigint, ts timestamp_ntz, request_id bigint, touched boolean", "last bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    """Stream form of the hourly touch; the state is the last touch of a key, and is gone after ``every``."""
+
+    def fold(times, last):
+        return next_touched(times, None if last is None else int(last), every)
+
+    return requests.select("key", "ts", "request_id").groupBy("key").transformWithStateInPandas(
+        _Marking("touched", fold, "last bigint", every // 1000),
+        "key bigint, ts timestamp_ntz, request_id bigint, touched boolean", "Append", "ProcessingTime")
 
 
 def idle_session_stream(events: DataFrame, gap: str, lateness: str, key: str = "user_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -418,16 +419,72 @@ def run_files(spark, tmp_path, df, parts, build, **kw):
 
 
 def test_completion_fires_once(spark, tmp_path):
-    df = spark.createDataFrame([(1, 2, True, 0), (1, 2, True, 1), (2, 2, True, 0), (2, 2, False, 1), (1, 2, True, 2)], "batch_id bigint, expected bigint, terminal boolean, part int")
-    got = run_files(spark, tmp_path, df, [f"part = {i}" for i in range(3)], lambda s: jobs.completion_stream(s.drop("part")))
-    assert [(r.batch_id, r.items) for r in got.collect()] == [(1, 2)]
+    """A redelivered item counts once, in one micro-batch and over several; a complete batch stays silent."""
+    rows = [(1, 2, "a", True, 0), (1, 2, "b", True, 1), (2, 2, "a", True, 0), (2, 2, "b", False, 1), (1, 2, "a", True, 2), (1, 2, "c", True, 2),
+            (2, 2, "a", True, 1), (2, 2, "a", True, 2), (3, 2, "x", True, 0), (3, 2, "x", True, 0), (4, 1, "y", True, 2), (4, 1, "y", True, 2)]
+    df = spark.createDataFrame(rows, "batch_id bigint, expected bigint, item_id string, terminal boolean, part int")
+    got = run_files(spark, tmp_path, df, [f"part = {i}" for i in range(3)], lambda s: jobs.completion_stream(s.drop("part")), stateful=True)
+    assert sorted((r.batch_id, r.items, r.change) for r in got.collect()) == [(1, 2, 1), (4, 1, 2)]
+
+
+def test_forgotten_batches_leave_no_state(spark, tmp_path):
+    """With a time to live of a moment, an item delivered before is unknown to the next run."""
+    from entityflow.params import StateParams
+
+    items = spark.createDataFrame([(1, 2, "a", True)], "batch_id bigint, expected bigint, item_id string, terminal boolean")
+    for hours, want in ((0.0001, 0), (1, 1)):
+        src, out = tmp_path / f"src{want}", str(tmp_path / f"out{want}")
+        for i, item in enumerate("ab"):
+            items.withColumn("item_id", F.lit(item)).write.mode("append").parquet(str(src))
+            stream = spark.readStream.schema(items.schema).parquet(str(src))
+            done = jobs.completion_stream(stream, StateParams(idle_hours=hours, fired_hours=hours))
+            changes.run_available(done, out, stateful=True)
+            time.sleep(1)
+        assert changes.read_changes(spark, f"{out}/table", done.schema).count() == want
+
+
+def test_outputs_of_a_micro_batch_appear_together(spark, tmp_path, monkeypatch):
+    df, log = spark.createDataFrame([(1, 10)], "k int, v int"), changes.ChangeLog(str(tmp_path / "t"), every=4)
+    log.write(0, {"a": df, "b": df})
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(changes.ChangeLog, "_commit", killed)
+        with pytest.raises(RuntimeError):
+            log.write(1, {"a": df, "b": df})
+    assert [log.changes(spark, df.schema, x).count() for x in "ab"] == [1, 1]
+    log.write(1, {"a": df.withColumn("v", F.lit(20)), "b": df})
+    log.write(1, {"a": df.withColumn("v", F.lit(99)), "b": df})  # committed: left alone
+    assert [tuple(r) for r in log.newest(spark, df.schema, ["k"], output="a").collect()] == [(1, 20)]
+    assert log.changes(spark, df.schema, "b").count() == 2
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path, monkeypatch):
+    schema = spark.createDataFrame([(1, 10)], "k int, v int").schema
+    log, want = changes.ChangeLog(str(tmp_path / "t"), every=3), {}
+    for n in range(11):
+        rows = [(n % 4, n), (100 + n, n)]
+        want.update(rows)
+        log.write(n, {changes.ROWS: spark.createDataFrame(rows, schema)})
+        if n == 4:
+            with monkeypatch.context() as m:  # stopped between the snapshot and its commit
+                m.setattr(changes.ChangeLog, "_commit", lambda *_: None)
+                log.compact(spark, schema, ["k"])
+        if n % 3 == 2:
+            log.compact(spark, schema, ["k"])
+        assert len(log.version(spark).changes) <= 2 + (n % 3 != 2)
+        assert dict(map(tuple, log.newest(spark, schema, ["k"]).collect())) == want
+    assert log.version(spark).upto == 8 and log.version(spark).changes == (9, 10)
+    assert log.changes(spark, schema, "other").count() == 0
 
 
 def test_rate_limit_stream_carries_state(spark, tmp_path):
     seconds = list(range(0, 86400, 600))
     rows = [(1, T0 + dt.timedelta(seconds=s), i) for i, s in enumerate(seconds)]
     df = spark.createDataFrame(rows, "key bigint, ts timestamp_ntz, request_id bigint")
-    got = run_files(spark, tmp_path, df, ["request_id < 50", "request_id between 50 and 99", "request_id > 99"], jobs.rate_limit_stream)
+    got = run_files(spark, tmp_path, df, ["request_id < 50", "request_id between 50 and 99", "request_id > 99"], jobs.rate_limit_stream, stateful=True)
     assert [r.admitted for r in got.orderBy("request_id").collect()] == plain_limit([s * 1_000_000 for s in seconds])
 
 
