@@ -127,6 +127,11 @@ def search_refs(refs: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return found.select("id", "name", "set_name", "number").orderBy(F.asc_nulls_last("name"), "id").limit(limit)
 
 
+def result_order() -> list[Column]:
+    """The order of a batch's results: most certain first, then by name."""
+    return [F.desc("confidence"), F.asc_nulls_last("name"), F.col("card_id")]
+
+
 def batch_results(cards: DataFrame, refs: DataFrame) -> DataFrame:
     """Resolved items per batch, best first; an item whose entity is unknown keeps its row."""
     ref = refs.select(F.col("id").alias("card_ref_id"), "name", "set_name", "number")
@@ -134,7 +139,7 @@ def batch_results(cards: DataFrame, refs: DataFrame) -> DataFrame:
         cards.where(F.col("status").isin(*RESOLVED))
         .select("batch_id", "card_id", "card_ref_id", "finish", "confidence", "quantity", "status")
         .transform(left_join_sparse, ref, ["card_ref_id"], "card_id")
-        .orderBy("batch_id", F.desc("confidence"), F.asc_nulls_last("name"), "card_id")
+        .orderBy("batch_id", *result_order())
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from entityflow.functions.fingerprint import bits_from_coefficients, tier_coefficients
 from entityflow.functions.ranking import first_n
@@ -14,6 +15,7 @@ from entityflow.functions.text import stable_id
 from entityflow.functions.vectors import l2_normalise
 from entityflow.operators.prices import upsert
 from entityflow.params import TIERS, HashParams
+from entityflow.sources.storage import materialise
 
 GENERATED = ("reference", "augmented")
 
@@ -53,6 +55,40 @@ def refresh_index(index: DataFrame, new_rows: DataFrame) -> DataFrame:
     return rest.unionByName(mine).unionByName(new_rows)
 
 
+def create_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write an index (ref_id, source, hash_type, hash_bits) as a folder partitioned by source and bucket of the owner."""
+    _bucketed(index, buckets).write.partitionBy("source", "bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    full = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    return spark.read.schema(full).parquet(path).where(F.col("hash_type").isNotNull()).select(*schema.names)
+
+
+def write_refresh(path: str, new_rows: DataFrame, buckets: int = 64) -> None:
+    """Replace the generated rows of every owner in ``new_rows`` in a stored index.
+
+    The buckets of these owners are staged complete, other owners' rows and rows of both generated sources included, and
+    then overwritten in one commit by partition. Run again, also after a failure at any step, it gives the same rows; the
+    other buckets and the validated rows are not touched.    """
+    spark = new_rows.sparkSession
+    new = materialise(_bucketed(new_rows, buckets), "refresh-new")
+    held = spark.read.schema(new.schema).parquet(path).where(F.col("source").isin(*GENERATED) & F.col("hash_type").isNotNull())
+    touched = held.join(new.select("bucket").distinct(), "bucket", "left_semi")
+    others = touched.join(new.select("ref_id").distinct(), "ref_id", "left_anti")
+    staged = materialise(others.unionByName(new), "refresh-staged")
+    # a (source, bucket) that is left without rows would not be overwritten: it keeps a row without an owner
+    kept = staged.select("source", "bucket").distinct()
+    bare = touched.select("source", "bucket").distinct().join(kept, ["source", "bucket"], "left_anti")
+    empty = bare.select(*[F.col(c) if c in ("source", "bucket") else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns])
+    staged.unionByName(empty).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(path)
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    named = rows.select("ref_id", "source", "hash_type", "hash_bits")
+    return named.withColumn("bucket", F.pmod(F.xxhash64("ref_id"), F.lit(buckets)).cast("int"))
+
+
 def cap_newest(index: DataFrame, cap: int, order: Sequence[str] = ("created_at", "row_id")) -> DataFrame:
     """Keep the newest ``cap`` validated rows per (owner, tier); generated rows are not touched."""
     validated = F.col("source") == "user_validated"

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entityflow.functions.ranking import running_total
+from entityflow.functions.ranking import oldest, running_total
 from entityflow.functions.scan import ordered_scan, time_slots, with_runs
 from entityflow.params import AuthParams, QuotaParams
 from entityflow.sources.storage import materialise
@@ -36,6 +36,24 @@ def clamp_grants(requests: DataFrame, cap: int) -> DataFrame:
     return summed.withColumn("granted", _clamped(F.col("_total"), want, F.lit(cap).cast("bigint"))).drop("_total")
 
 
+def charge_deliveries(deliveries: DataFrame, stored: DataFrame, cap: int) -> DataFrame:
+    """Partial grants of item messages (user_id, day, ts, request_id, photo_id, want) that may come more than once.
+
+    A photo is charged at its first delivery, and not at all if ``stored`` (photo_id) says that items of it were stored
+    before: such messages are ``exempt``, take nothing from the day and are not cut. A NULL photo is a message of its own.
+    """
+    first = oldest(deliveries.where("photo_id is not null").select("photo_id", "ts", "request_id"), ["photo_id"], ["ts", "request_id"])
+    known = stored.select(F.col("photo_id").alias("_stored")).distinct()
+    marked = (
+        deliveries.join(first.select(F.col("photo_id").alias("_photo"), F.col("request_id").alias("_first")), F.col("photo_id") == F.col("_photo"), "left")
+        .join(known, F.col("photo_id") == F.col("_stored"), "left")
+        .withColumn("exempt", F.col("_stored").isNotNull() | F.coalesce(F.col("_first") != F.col("request_id"), F.lit(False)))
+        .drop("_photo", "_first", "_stored").withColumn("_asked", F.col("want")).withColumn("want", F.when(~F.col("exempt"), F.col("want")).otherwise(0))
+    )
+    granted = clamp_grants(marked, cap).withColumn("want", F.col("_asked")).drop("_asked")
+    return granted.withColumn("granted", F.when(F.col("exempt"), F.col("want").cast("bigint")).otherwise(F.col("granted")))
+
+
 def fanout(requests: DataFrame, p: QuotaParams = QuotaParams()) -> DataFrame:
     """Grants of linked images: bounded by the offer, the room in the batch and the day's photos and fetches.
 

@@ -113,11 +113,13 @@ def correction_rows(corrections: DataFrame, crops: DataFrame, index: DataFrame,
     """
     found = corrections.join(crops, "card_id")
     log = found.select("card_id", "crop_hash", "predicted_ref_id", "actual_ref_id", F.col("reviewed_at").alias("created_at"))
-    rows = fingerprint_rows(found.select(
+    new = found.select(
         F.col("actual_ref_id").alias("ref_id"), F.lit("user_validated").alias("source"),
         F.col("reviewed_at").alias("created_at"), F.col("card_id").alias("row_id"), "coef",
-    ))
-    return log, cap_newest(index.unionByName(rows), p.user_validated_cap)
+    )
+    # only an owner's newest corrections can stay in any tier, so only theirs are computed
+    new = first_n(new, ["ref_id"], [F.desc("created_at"), F.desc("row_id")], p.user_validated_cap).drop("rn")
+    return log, cap_newest(index.unionByName(fingerprint_rows(new)), p.user_validated_cap)
 
 
 # Status events of exports and of items, as event -> (allowed current states, new state).

@@ -1,5 +1,6 @@
 """Collection queries over the bound tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from entityflow.operators import collection as op
@@ -60,14 +61,20 @@ def _(t):
     return op.batch_results(cards, t.refs)
 
 
-@query("sort_confidence_name", "v_star", "SELECT batch_id, card_id, confidence, name FROM v_star")
+@query("sort_confidence_name", "v_star", """
+    SELECT batch_id, card_id, confidence, name, row_number() OVER (PARTITION BY batch_id ORDER BY confidence DESC, name ASC NULLS LAST, card_id) AS place
+    FROM v_star""", types={"place": "INTEGER"})
 def _(t):
-    return op.batch_results(t.cards, t.refs).select("batch_id", "card_id", "confidence", "name")
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy(*op.result_order()))
+    return op.batch_results(t.cards, t.refs).select("batch_id", "card_id", "confidence", "name", place.alias("place"))
 
 
-@query("sort_set_number", "v_star", "SELECT set_name, number, card_id FROM v_star")
+@query("sort_set_number", "v_star", """
+    SELECT user_id, set_name, number, card_id, row_number() OVER (PARTITION BY user_id ORDER BY set_name ASC NULLS LAST, number ASC NULLS LAST, card_id) AS place
+    FROM v_star""", types={"place": "INTEGER"})
 def _(t):
-    return star(t).select("set_name", "number", "card_id").orderBy(*op.sort_order("set_asc"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*op.sort_order("set_asc")))
+    return star(t).select("user_id", "set_name", "number", "card_id", place.alias("place"))
 
 
 @query("topk_value_page", "v_star", """

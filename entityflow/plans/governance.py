@@ -239,6 +239,23 @@ def _(t):
     return quotas.clamp_grants(t.requests, 12).select("request_id", "user_id", "want", "granted")
 
 
+# every fourth message comes again later under another number, and photos of every ninth have stored items
+_TWICE_SQL = """(SELECT request_id, user_id, day, ts, request_id AS photo_id, want FROM v_requests
+    UNION ALL SELECT request_id + 100000000, user_id, day, ts + INTERVAL 1 SECOND, request_id, want FROM v_requests WHERE request_id % 4 = 0)"""
+
+
+@query("win_quota_deliveries", "v_requests", f"""
+    SELECT request_id, photo_id, want, exempt, CAST(CASE WHEN exempt THEN want ELSE least(c, 12) - least(c - want, 12) END AS BIGINT) AS granted
+    FROM (SELECT *, sum(CASE WHEN exempt THEN 0 ELSE want END) OVER (PARTITION BY user_id, day ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS c
+          FROM (SELECT *, photo_id % 9 = 0 OR row_number() OVER (PARTITION BY photo_id ORDER BY ts, request_id) > 1 AS exempt FROM {_TWICE_SQL}))""")
+def _(t):
+    k = F.col("request_id")
+    once = t.requests.select(k, "user_id", "day", "ts", k.alias("photo_id"), "want")
+    again = once.where(k % 4 == 0).withColumn("request_id", k + 100000000).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(1)))
+    stored = t.requests.where(k % 9 == 0).select(k.alias("photo_id"))
+    return quotas.charge_deliveries(once.unionByName(again), stored, 12).select("request_id", "photo_id", "want", "exempt", "granted")
+
+
 # a batch takes in two days
 _FANOUT_SQL = """(SELECT request_id, user_id, day, ts, CAST(day - DATE '2024-01-01' AS INTEGER) // 2 AS pair,
     user_id * 100000 + CAST(day - DATE '2024-01-01' AS INTEGER) // 2 * 10 + request_id % 2 AS batch_id,
@@ -313,9 +330,8 @@ def _(t):
     return quotas.quota_admit(quota_wants(t), _ADMIT_CAPS).select("request_id", "user_id", "admitted", "reason")
 
 
-# six busy keys make the limits bite
 RATE_SQL = """
-    WITH RECURSIVE r AS (SELECT request_id, user_id % 6 AS key, ts, row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts, request_id) AS i FROM v_requests),
+    WITH RECURSIVE r AS (SELECT request_id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS i FROM v_requests),
     walk AS (
       SELECT key, i, request_id, true AS admitted, [ts] AS recent FROM r WHERE i = 1
       UNION ALL
@@ -328,12 +344,12 @@ RATE_SQL = """
 
 @query("st_rate_limit", "v_requests", RATE_SQL)
 def _(t):
-    keyed = t.requests.select((F.col("user_id") % 6).alias("key"), "ts", "request_id")
+    keyed = t.requests.select(F.col("user_id").alias("key"), "ts", "request_id")
     return quotas.rate_limit(keyed, "key", AuthParams()).select("request_id", "key", "admitted")
 
 
 TOUCH_SQL = """
-    WITH RECURSIVE r AS (SELECT request_id, user_id % 6 AS key, ts, row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts, request_id) AS i FROM v_requests),
+    WITH RECURSIVE r AS (SELECT request_id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS i FROM v_requests),
     walk AS (
       SELECT key, i, request_id, true AS touched, ts AS last FROM r WHERE i = 1
       UNION ALL
@@ -344,7 +360,7 @@ TOUCH_SQL = """
 
 @query("st_session_touch", "v_requests", TOUCH_SQL)
 def _(t):
-    keyed = t.requests.select((F.col("user_id") % 6).alias("key"), "ts", "request_id")
+    keyed = t.requests.select(F.col("user_id").alias("key"), "ts", "request_id")
     return quotas.session_touch(keyed, "key").select("request_id", "key", "touched")
 
 

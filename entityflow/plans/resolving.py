@@ -7,6 +7,7 @@ from entityflow.operators import index as ix
 from entityflow.operators import resolve as op
 from entityflow.plans.bindings import Tables, lit_ts
 from entityflow.plans.registry import query
+from entityflow.sources.storage import scratch
 from entityflow.plans.scalars import NAMESPACE
 from entityflow.sources import catalog
 
@@ -164,7 +165,11 @@ def _sourced(t: Tables):
     UNION ALL SELECT ref_id, 'reference', hash_type, hash_bits + 1 FROM v_index WHERE ref_id % 2 = 0""")
 def _(t):
     new = t.index.where(F.col("ref_id") % 2 == 0).select("ref_id", F.lit("reference").alias("source"), "hash_type", (F.col("hash_bits") + 1).alias("hash_bits"))
-    return ix.refresh_index(_sourced(t), new)
+    path, schema = scratch(t.spark, "hash-index"), new.schema
+    ix.create_index(_sourced(t), path, 16)
+    ix.write_refresh(path, new.withColumn("hash_bits", F.col("hash_bits") + 5), 16)  # replaced again by the next
+    ix.write_refresh(path, new, 16)
+    return ix.read_index(t.spark, path, schema)
 
 
 # a long log of validated fingerprints: one row per card and tier of its entity modulo 40

@@ -104,7 +104,7 @@ def _(t):
 
 
 def _keyed(t: Tables):
-    return _streams(t).requests.select((F.col("user_id") % 6).alias("key"), "ts", "request_id")
+    return _streams(t).requests.select(F.col("user_id").alias("key"), "ts", "request_id")
 
 
 @query("st_rate_limit_stream", "v_requests", RATE_SQL)
@@ -121,3 +121,18 @@ def _(t):
     path = scratch(t.spark, "touch")
     changes.run_available(touched, path, stateful=True)
     return changes.read_changes(t.spark, f"{path}/table", touched.schema).select("request_id", "key", "touched")
+
+
+@query("st_idle_sessions_stream", "v_requests", """
+    SELECT user_id, session_start, session_end, events FROM (
+      SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS events FROM (
+        SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+          SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, request_id) >= INTERVAL 2 HOUR, true) AS fresh FROM v_requests))
+      GROUP BY user_id, s) WHERE session_end <= (SELECT max(ts) FROM v_requests) - INTERVAL 6 HOUR""")
+def _(t):
+    """Sessions that the watermark, six hours behind the newest event, has passed; later ones stay open."""
+    closed = jobs.idle_session_stream(_streams(t).requests.select("user_id", "ts"), "2 hours", "6 hours")
+    path = scratch(t.spark, "sessions")
+    changes.run_available(closed, path)
+    done = changes.read_changes(t.spark, f"{path}/table", closed.schema)
+    return done.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "events")

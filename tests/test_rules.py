@@ -147,6 +147,49 @@ def test_cap_newest(spark):
     assert kept == {f"reference{i}" for i in range(5)} | {"user_validated3", "user_validated4"}
 
 
+def test_stored_index_is_refreshed_by_owner(spark, tmp_path, monkeypatch):
+    """The same rows after one run, two runs, and a run that failed behind the staged copy."""
+    shape = "ref_id string, source string, hash_type string, hash_bits bigint"
+    rows = [(r, s, "full", i) for i, (r, s) in enumerate((r, s) for r in "abcdef" for s in ("reference", "augmented", "user_validated"))]
+    new = [("a", "reference", "full", 100), ("a", "reference", "edge", 101), ("x", "augmented", "full", 102)]
+    path, held = str(tmp_path / "index"), spark.createDataFrame(rows, shape)
+    index.create_index(held, path, 2)
+    want = sorted([r for r in rows if r[0] != "a" or r[1] == "user_validated"] + new)
+
+    def read():
+        return sorted(map(tuple, index.read_index(spark, path, held.schema).collect()))
+
+    assert read() == sorted(rows)
+    real = index.materialise
+
+    def failing(df, name, *a):
+        real(df, name, *a)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "materialise", failing)
+        with pytest.raises(RuntimeError):
+            index.write_refresh(path, spark.createDataFrame(new, shape), 2)
+    assert read() == sorted(rows)
+    for _ in range(2):
+        index.write_refresh(path, spark.createDataFrame(new, shape), 2)
+        assert read() == want
+    # an owner that has lost all rows of a source, in buckets of its own
+    index.create_index(held, path + "2", 64)
+    index.write_refresh(path + "2", spark.createDataFrame(new[2:] + [("a", "reference", "full", 7)], shape), 64)
+    got = sorted(map(tuple, index.read_index(spark, path + "2", held.schema).collect()))
+    assert got == sorted([r for r in rows if r[0] != "a" or r[1] == "user_validated"] + [new[2], ("a", "reference", "full", 7)])
+
+
+def test_redelivered_photos_are_charged_once(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [(1, day, at(1), 1, "p", 6), (1, day, at(2), 2, "p", 6), (1, day, at(3), 3, "q", 6), (1, day, at(4), 4, "old", 9), (1, day, at(5), 5, None, 3), (1, day, at(6), 6, None, 3)]
+    df = spark.createDataFrame(rows, "user_id bigint, day date, ts timestamp_ntz, request_id bigint, photo_id string, want int")
+    stored = spark.createDataFrame([("old",), (None,)], "photo_id string")
+    got = {r.request_id: (r.exempt, r.granted, r.want) for r in quotas.charge_deliveries(df, stored, 10).collect()}
+    assert got == {1: (False, 6, 6), 2: (True, 6, 6), 3: (False, 4, 6), 4: (True, 9, 9), 5: (False, 0, 3), 6: (False, 0, 3)}
+
+
 def test_transitions_follow_guards(spark):
     ledger = spark.createDataFrame([(k, "queued", T0, None) for k in "abc"], "key string, status string, since timestamp_ntz, detail string")
     events = spark.createDataFrame([
