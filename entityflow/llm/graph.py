@@ -25,8 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(m.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge (columns a, b; longs); ``root`` is the least node of the component.
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b) of every node with an edge (columns a, b; longs) that is not the least of its component: ``b`` is the least.
 
     Large-star and small-star steps alternate until nothing changes. Each round is written to the shared folder; rounds
     grow with the logarithm of the longest chain. No step collects a neighbourhood: minima are partial aggregates, and
@@ -40,5 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = tuple(mark)
         now = materialise(_small_star(_large_star(now)), "components")
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node with an edge, the least node of a component too; ``root`` is that least node."""
+    now = stars(edges)
+    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
