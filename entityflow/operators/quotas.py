@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -128,6 +130,11 @@ def usage_daily(events: DataFrame, counters: Sequence[str]) -> DataFrame:
 DIMENSIONS = ("batches", "photos", "fetches")
 
 
+def _same(columns: Sequence[str], prefix: str) -> Column:
+    """Join condition of columns with their prefixed copies; NULL equals NULL."""
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns])
+
+
 def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_first: bool = False) -> DataFrame:
     """All-or-nothing admission over three daily counters; a refused request consumes nothing.
 
@@ -136,14 +143,18 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
 
     Counters only grow, so of requests asking for the same amounts only the first few of a day can be admitted.
     Those few, at most the cap divided by the amount, decide the day's counters, and so the moment from which each
-    amount no longer fits; every request is then only compared with that moment. A NULL amount is 0; users and days
-    must be known (not NULL).
+    amount no longer fits; every request is then only compared with that moment. An amount over its cap passes as
+    the day's first request or never, so the list holds the first request and amounts within the caps, whatever else
+    is asked for. A NULL amount is 0; a NULL user or day is a key like any other.
     """
     requests = requests.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in DIMENSIONS else c for c in requests.columns])
     caps = dict(zip(DIMENSIONS, (p.batches_per_day, p.photos_per_day, p.fetches_per_day)))
     keys, order = ["user_id", "day"], ["ts", "request_id"]
     fits = F.least(*[F.when(F.col(d) > 0, F.floor(F.lit(c) / F.col(d))) for d, c in caps.items()], F.lit(10**9))
-    asking = requests.where(F.greatest(*[F.col(d) for d in DIMENSIONS]) > 0)
+    within = F.lit(True)
+    for d, c in caps.items():
+        within = within & (F.col(d) <= c)
+    asking = requests.where(within & (F.greatest(*[F.col(d) for d in DIMENSIONS]) > 0))
     same = Window.partitionBy(*keys, *DIMENSIONS).orderBy(*order)
     most = max(caps.values()) + 1
     few = (
@@ -151,11 +162,13 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
         .where(F.col("_nth") <= most)  # cut before the shuffle
         .where(F.col("_nth") <= fits + 1)
     )
-    opener = requests.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_opener"))
-    entry = F.struct("ts", "request_id", *[F.col(d).cast("bigint").alias(d) for d in DIMENSIONS])
-    day = opener.join(
-        few.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_few")), keys, "left"
-    )
+    entry = F.struct(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("request_id").cast("bigint").alias("request_id"),
+                     *[F.col(d).cast("bigint").alias(d) for d in DIMENSIONS])
+    opener = requests.groupBy(*keys).agg(F.min(entry).alias("_opener"))
+    listed = few.groupBy(*keys).agg(F.collect_list(entry).alias("_few")).select(*[F.col(k).alias(f"_l_{k}") for k in keys], "_few")
+    others = F.filter(F.coalesce("_few", F.array()), lambda x: x["request_id"] != F.col("_opener.request_id"))
+    day = opener.join(listed, _same(keys, "_l_"), "left").select(
+        *keys, "_opener", F.sort_array(F.concat(F.array("_opener"), others)).alias("_few"))
     state = F.struct(*[F.lit(0).cast("bigint").alias(d) for d in DIMENSIONS])
     log_type = "array<struct<ts:timestamp_ntz,request_id:bigint,batches:bigint,photos:bigint,fetches:bigint>>"
     start = F.struct(state.alias("used"), F.array().cast(log_type).alias("log"))
@@ -177,7 +190,7 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
 
     ledger = day.select(
         *keys, "_opener",
-        F.aggregate(F.coalesce("_few", F.array().cast(log_type)), start, step, lambda acc: acc["log"]).alias("_log"),
+        F.aggregate("_few", start, step, lambda acc: acc["log"]).alias("_log"),
     )
     # from which logged admission on does each counter have no room for these amounts?
     def full_at(d: str, cap: int) -> Column:
@@ -185,12 +198,11 @@ def quota_admit(requests: DataFrame, p: QuotaParams = QuotaParams(), strict_firs
         return F.struct(entry["ts"].alias("ts"), entry["request_id"].alias("request_id"))
 
     full = [full_at(d, c).alias(f"_full_{d}") for d, c in caps.items()]
-    kinds = requests.groupBy(*keys, *DIMENSIONS).agg(F.count(F.lit(1)).alias("_n")).join(ledger, keys).select(
+    ledger = ledger.select(*[F.col(k).alias(f"_l_{k}") for k in keys], "_opener", "_log")
+    kinds = requests.select(*keys, *DIMENSIONS).distinct().join(ledger, _same(keys, "_l_")).select(
         *[F.col(k).alias(f"_k_{k}") for k in (*keys, *DIMENSIONS)], "_opener", *full
     )
-    same_kind = F.lit(True)
-    for k in (*keys, *DIMENSIONS):
-        same_kind = same_kind & (F.col(k) == F.col(f"_k_{k}"))
+    same_kind = _same((*keys, *DIMENSIONS), "_k_")
     here = F.struct("ts", "request_id")
     reason = F.lit(None).cast("string")
     for d, c in reversed(caps.items()):

@@ -271,6 +271,21 @@ def test_quota_admit_against_a_plain_walk(spark):
         assert [r.reason for r in got] == want_out
 
 
+def test_quota_lists_no_wants_over_a_cap_and_judges_null_keys(spark):
+    caps = QuotaParams(batches_per_day=5, photos_per_day=20, fetches_per_day=6)
+    # 3,000 different wants over the cap behind an opener over the cap, for a NULL user
+    rows = spark.range(3001).select(
+        F.lit(None).cast("int").alias("user_id"), F.lit(None).cast("date").alias("day"),
+        F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
+        F.col("id").alias("request_id"), F.lit(0).alias("batches"), (F.col("id") + 21).cast("int").alias("photos"), F.lit(0).alias("fetches"))
+    last = rows.where("request_id = 3000").withColumn("request_id", F.lit(4000).cast("bigint")).withColumn("photos", F.lit(0))
+    got = quotas.quota_admit(rows.unionByName(last), caps)
+    assert got.count() == 3002
+    assert [r.request_id for r in got.where("admitted").collect()] == [0]
+    strict = quotas.quota_admit(rows.unionByName(last), caps, strict_first=True)
+    assert [r.request_id for r in strict.where("admitted").collect()] == [4000]
+
+
 def test_fanout_of_batches_over_several_days(spark):
     caps = QuotaParams(photos_per_batch=10, photos_per_day=2, fetches_per_day=50)
     kinds = "user_id int, day date, ts timestamp_ntz, request_id int, batch_id int, offered int, in_batch int, used_photos int, used_fetches int"
