@@ -52,7 +52,8 @@ def collection(
 ) -> DataFrame:
     """Items with owner, reference entity and price. ``has_price_row`` tells a known miss from no price row.
 
-    With ``photos`` the header is reached through the photo, else by the item's own ``batch_id``.
+    With ``photos`` the header is reached through the photo, else by the item's own ``batch_id``. Where the items carry
+    ``crop_storage_key``, so does the result.
     """
     if photos is not None:
         cards = cards.drop("batch_id").join(photos.select("photo_id", "batch_id"), "photo_id")
@@ -62,9 +63,10 @@ def collection(
         F.lit(True).alias("_priced"),
     )
     ref = refs.select(F.col("id").alias("card_ref_id"), "name", "set_id", "set_name", "number")
+    crop = [c for c in ("crop_storage_key",) if c in cards.columns]
     return (
         cards.select(
-            "card_id", "batch_id", "card_ref_id", "finish", "quantity", "confidence", "status", "created_at"
+            "card_id", "batch_id", "card_ref_id", "finish", "quantity", "confidence", "status", "created_at", *crop
         )
         .join(batches.select("batch_id", "user_id"), "batch_id")
         .join(ref, "card_ref_id")
@@ -72,7 +74,7 @@ def collection(
         .select(
             "card_id", "card_ref_id", "name", "set_id", "set_name", "number", "finish", "quantity", "confidence",
             "status", "price_cents", "price_source", "price_fetched_at", "batch_id", "user_id", "created_at",
-            F.coalesce("_priced", F.lit(False)).alias("has_price_row"),
+            F.coalesce("_priced", F.lit(False)).alias("has_price_row"), *crop,
         )
     )
 

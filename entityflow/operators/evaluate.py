@@ -46,17 +46,36 @@ def metrics(rows: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select("split", F.coalesce("scenario", "finish", "stage").alias("value"), *whole.columns[2:]))
 
 
-def gate(summary: DataFrame, baseline_rate: float, tolerance: float = 0.01) -> DataFrame:
-    """Pass or fail of a metrics table: any wrong accept fails, and so does a rate too far below the baseline."""
+def wrong_accepts(rows: DataFrame) -> DataFrame:
+    """The scored rows that were accepted with another entity than expected."""
+    return rows.where(F.col("outcome") == "auto_accepted_WRONG").select("file", "pos", "expected", "got", "accepted_stage")
+
+
+def gate(summary: DataFrame, baseline_rate: float, tolerance: float = 0.01, rows: DataFrame | None = None, named: int = 20) -> DataFrame:
+    """Pass or fail of a metrics table: any wrong accept fails, and so does a rate too far below the baseline.
+
+    With the scored ``rows``, ``detail`` names the first ``named`` wrong accepts by file and position, or the two rates;
+    ``wrong`` counts them all and ``wrong_accepts`` lists them.
+    """
     low = F.col("auto_accept_rate") < F.lit(baseline_rate - tolerance)
     reason = F.when(F.col("wrong") > 0, "wrong auto-accept").when(low, "auto-accept rate below baseline").otherwise("ok")
-    return summary.where(F.col("split") == "all").select(
+    verdict = summary.where(F.col("split") == "all").select(
         (reason == "ok").alias("passed"), reason.alias("reason"), "auto_accept_rate", "wrong"
     )
+    if rows is None:
+        return verdict
+    told = F.concat(F.col("file").cast("string"), F.lit("#"), F.col("pos").cast("string"), F.lit(" "),
+                    F.coalesce(F.col("expected").cast("string"), F.lit("none")), F.lit("->"), F.coalesce(F.col("got").cast("string"), F.lit("none")))
+    worst = wrong_accepts(rows).select("file", "pos", told.alias("told")).orderBy("file", "pos", "told").limit(named)
+    names = worst.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", "told"))), lambda x: x["told"]), ", ").alias("_names"))
+    rates = F.concat(F.lit("auto_accept_rate "), F.col("auto_accept_rate").cast("string"), F.lit(f" < baseline {baseline_rate} - {tolerance}"))
+    detail = F.when(F.col("wrong") > 0, F.col("_names")).when(~F.col("passed"), rates).otherwise("")
+    # both sides are one row
+    return verdict.withColumn("_one", F.lit(1)).join(names.withColumn("_one", F.lit(1)), "_one").withColumn("detail", detail).drop("_one", "_names")
 
 
 def evaluate(manifest: DataFrame, idents: DataFrame, baseline_rate: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored rows, metrics, gate)."""
     rows = materialise(score_items(manifest, idents), "scored-items")  # read by the metrics, the gate and the caller
     summary = metrics(rows)
-    return rows, summary, gate(summary, baseline_rate)
+    return rows, summary, gate(summary, baseline_rate, rows=rows)

@@ -36,21 +36,30 @@ HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "mif1", "msf1", "heim", "heis", "
 PERMANENT_ERRORS = ("ValueError",)
 
 
-def gate_urls(df: DataFrame, p: GateParams = GateParams()) -> DataFrame:
-    """Add ``reason`` (NULL when admitted) and ``source_type`` to rows with a ``url``."""
-    url = F.col("url")
+def url_reason(url: Column, p: GateParams = GateParams()) -> Column:
+    """Why a URL is refused; NULL if it is admitted."""
     # parse_url raises on malformed text, so its tolerant form is used
     scheme, host, user, path = (F.try_parse_url(url, F.lit(x)) for x in ("PROTOCOL", "HOST", "USERINFO", "PATH"))
     host = F.lower(host)
-    reason = (
+    return (
         F.when(scheme.isNull(), "not a valid URL")
         .when(F.lower(scheme) != "https", "https only")
         .when(user.isNotNull(), "userinfo not allowed")
         .when(host.isNull() | ~host.isin(*p.allowed_hosts), F.concat(F.lit("host not allowed: "), F.coalesce(host, F.lit(""))))
         .when(host.isin(*p.path_hosts) & F.coalesce(path, F.lit("")).isin("", "/"), "album/gallery URL requires a path")
     )
-    kind = F.when(host.isin("www.reddit.com", "i.redd.it"), "reddit").otherwise("imgur")
-    return df.withColumn("reason", reason).withColumn("source_type", F.when(F.col("reason").isNull(), kind))
+
+
+def source_type(url: Column) -> Column:
+    """Which kind of source an admitted URL names."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return F.when(host.isin("www.reddit.com", "i.redd.it"), "reddit").otherwise("imgur")
+
+
+def gate_urls(df: DataFrame, p: GateParams = GateParams()) -> DataFrame:
+    """Add ``reason`` (NULL when admitted) and ``source_type`` to rows with a ``url``."""
+    gated = df.withColumn("reason", url_reason(F.col("url"), p))
+    return gated.withColumn("source_type", F.when(F.col("reason").isNull(), source_type(F.col("url"))))
 
 
 def is_album(url: Column) -> Column:
@@ -71,6 +80,23 @@ def split_url_requests(requests: DataFrame, p: GateParams = GateParams()) -> tup
     return entries, refused
 
 
+def admit_url_requests(requests: DataFrame, p: GateParams = GateParams()) -> DataFrame:
+    """Add ``reason`` (NULL when admitted), ``urls`` and ``source_types`` to requests with whitespace-separated ``text``.
+
+    One refused URL refuses the whole request, with the reason of the first such URL; so do too many URLs or none, in
+    which case no URL is looked at. A refused request has no URLs. Nothing is shuffled.
+    """
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda s: s != "")
+    sized = requests.withColumn("_parts", parts).withColumn("_n", F.size("_parts"))
+    judged = F.filter(F.transform("_parts", lambda u: url_reason(u, p)), lambda r: r.isNotNull())
+    reason = (
+        F.when(F.col("_n") == 0, "no urls supplied").when(F.col("_n") > p.max_urls, f"too many urls (max {p.max_urls})")
+        .otherwise(F.get(judged, F.lit(0)))
+    )
+    admitted = sized.withColumn("reason", reason).withColumn("urls", F.when(F.col("reason").isNull(), F.col("_parts")))
+    return admitted.withColumn("source_types", F.transform("urls", source_type)).drop("_parts", "_n")
+
+
 def public_hosts(resolutions: DataFrame) -> DataFrame:
     """(host, ip) rows to one row per host: public only if every record is."""
     return resolutions.groupBy("host").agg(

@@ -51,8 +51,7 @@ def _(t):
 
 @query("sink_eval_run", "v_cards v_wide", f"SELECT split, value, total, wrong, auto_accept_rate, false AS baseline_written FROM {_METRICS_SQL}")
 def _(t):
-    rows = evaluate.score_items(*_scored(t))
-    summary = evaluate.metrics(rows)
+    rows, summary, _ = evaluate.evaluate(*_scored(t), 0.9)
     path = storage.scratch(t.spark, "eval-run")
     written = reports.write_run(rows, summary, path, f"{path}/baseline")
     back = t.spark.read.schema(summary.schema).json(f"{path}/metrics")

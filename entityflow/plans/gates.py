@@ -35,6 +35,36 @@ def _(t):
     return op.gate_urls(t.raw("pages").select("page_id", url.alias("url")))
 
 
+# a request of 0 to 12 links, of which one in some requests is refused
+@query("flt_url_request", "", rf"""
+    WITH entries AS (
+      SELECT page_id, i, CASE WHEN (page_id + i) % 37 = 0 THEN 'http://i.redd.it/' || i WHEN (page_id + i) % 41 = 0 THEN 'https://imgur.com'
+               WHEN i % 3 = 0 THEN 'https://i.imgur.com/' || page_id || '.jpg' WHEN i % 3 = 1 THEN 'https://www.reddit.com/comments/' || page_id
+               ELSE 'https://IMGUR.com/a/' || page_id END AS url
+      FROM (SELECT page_id, unnest(range(page_id % 13)) AS i FROM pages)),
+    gated AS (SELECT page_id, count(*) AS n, arg_min(reason, i) FILTER (reason IS NOT NULL) AS bad, string_agg(url, ' ' ORDER BY i) AS urls,
+                     string_agg(CASE WHEN {_HOST} IN ('www.reddit.com', 'i.redd.it') THEN 'reddit' ELSE 'imgur' END, ' ' ORDER BY i) AS kinds
+              FROM (SELECT *, {_REASON_SQL} AS reason FROM entries) GROUP BY page_id),
+    told AS (SELECT p.page_id, g.urls, g.kinds, CASE WHEN g.n IS NULL THEN 'no urls supplied' WHEN g.n > 10 THEN 'too many urls (max 10)' ELSE g.bad END AS reason
+             FROM pages p LEFT JOIN gated g USING (page_id))
+    SELECT page_id, reason, CASE WHEN reason IS NULL THEN urls END AS urls, CASE WHEN reason IS NULL THEN kinds END AS source_types FROM told""")
+def _(t):
+    k = F.col("page_id")
+    n = k.cast("string")
+
+    def link(i):
+        return (
+            F.when((k + i) % 37 == 0, F.concat(F.lit("http://i.redd.it/"), i.cast("string"))).when((k + i) % 41 == 0, F.lit("https://imgur.com"))
+            .when(i % 3 == 0, F.concat(F.lit("https://i.imgur.com/"), n, F.lit(".jpg")))
+            .when(i % 3 == 1, F.concat(F.lit("https://www.reddit.com/comments/"), n)).otherwise(F.concat(F.lit("https://IMGUR.com/a/"), n))
+        )
+
+    links = F.when(k % 13 > 0, F.transform(F.sequence(F.lit(0), (k % 13 - 1).cast("int")), link)).otherwise(F.array().cast("array<string>"))
+    asked = t.raw("pages").select("page_id", F.concat(F.lit(" \n"), F.array_join(links, "\t \n")).alias("text"))
+    done = op.admit_url_requests(asked)
+    return done.select("page_id", "reason", F.array_join("urls", " ").alias("urls"), F.array_join("source_types", " ").alias("source_types"))
+
+
 # three records per host: public ones, and in some hosts a private, shared or mapped one
 _IPS = ("93.184.216.34", "10.1.2.3", "100.64.0.1", "8.8.8.8", "::ffff:127.0.0.1", "2606:2800:220:1::1", "fd00::1", "1.1.1.1", "172.32.0.1", "172.31.9.9")
 _CLOSED = ("10.1.2.3", "100.64.0.1", "::ffff:127.0.0.1", "fd00::1", "172.31.9.9")

@@ -205,9 +205,14 @@ _GATE_SQL = f"""(SELECT wrong = 0 AND auto_accept_rate >= 0.9::DOUBLE - 0.01::DO
     auto_accept_rate, wrong FROM {_METRICS_SQL} WHERE split = 'all')"""
 
 
-@query("agg_eval_gate", "v_cards v_wide", f"SELECT * FROM {_GATE_SQL}")
+@query("agg_eval_gate", "v_cards v_wide", f"""
+    SELECT g.*, CASE WHEN wrong > 0 THEN (SELECT string_agg(told, ', ' ORDER BY file, pos, told) FROM (
+               SELECT file, pos, file || '#' || pos || ' ' || coalesce(CAST(expected AS VARCHAR), 'none') || '->' || coalesce(CAST(got AS VARCHAR), 'none') AS told
+               FROM {_SCORED_SQL} WHERE outcome = 'auto_accepted_WRONG' ORDER BY file, pos, told LIMIT 20))
+             WHEN NOT passed THEN 'auto_accept_rate ' || auto_accept_rate || ' < baseline 0.9 - 0.01' ELSE '' END AS detail
+    FROM {_GATE_SQL} g""")
 def _(t):
-    return evaluate.gate(evaluate.metrics(evaluate.score_items(*_scored(t))), 0.9)
+    return evaluate.evaluate(*_scored(t), 0.9)[2]
 
 
 @query("eval_run", "v_cards v_wide", f"""

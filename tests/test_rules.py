@@ -389,6 +389,12 @@ def test_url_gate(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: (r.reason, r.source_type) for r in gates.gate_urls(df).collect()} == urls
     req = spark.createDataFrame([(1, " a\n b "), (2, "  "), (3, " ".join("abcdefghijk"))], "request_id int, text string")
+    whole = gates.admit_url_requests(spark.createDataFrame(
+        [(1, " https://i.imgur.com/a.jpg\n https://www.reddit.com/comments/b "), (2, "https://i.imgur.com/a.jpg http://i.redd.it/x https://evil.io/"),
+         (3, " \n"), (4, None), (5, "https://i.imgur.com/a " * 10), (6, "https://i.imgur.com/a " * 11)], "request_id int, text string"))
+    assert {r.request_id: (r.reason, r.source_types) for r in whole.collect()} == {
+        1: (None, ["imgur", "reddit"]), 2: ("https only", None), 3: ("no urls supplied", None), 4: ("no urls supplied", None),
+        5: (None, ["imgur"] * 10), 6: ("too many urls (max 10)", None)}
     ok, refused = gates.split_url_requests(req)
     assert [(r.request_id, r.url) for r in ok.orderBy("pos").collect()] == [(1, "a"), (1, "b")]
     assert sorted(r.request_id for r in refused.collect()) == [2, 3]
