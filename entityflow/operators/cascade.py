@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n
+from entityflow.functions.text import json_block
+from entityflow.operators.resolve import resolve
 from entityflow.params import ACCEPT_STAGES, CascadeParams
 from entityflow.sources.storage import materialise
 
@@ -156,10 +158,14 @@ Matcher = Callable[[DataFrame], DataFrame]
 
 
 def identify(
-    items: DataFrame, matchers: Mapping[str, Matcher], p: CascadeParams = CascadeParams(), quality: str | None = None
+    items: DataFrame, matchers: Mapping[str, Matcher], p: CascadeParams = CascadeParams(), quality: str | None = None,
+    orient: Matcher | None = None,
 ) -> DataFrame:
     """Run the matchers in order of cost, each only on the items still open.
 
+    ``orient`` takes the readable items and returns (item_id, rotation), which is settled before any matcher runs: the
+    items that matchers get carry ``rotation`` (0 where none was found), and so does the result (0 for unreadable items).
+
     A matcher takes items and returns (item_id, ref_id, score), ``h`` also margin and agreement; an absent name
     is a skipped stage. ``h`` sees every readable item, ``a`` and ``b`` what ``h`` leaves open, ``c`` the rest.
     Each stage's votes are written once, as the next stage and the decision both read them.
@@ -167,10 +173,15 @@ def identify(
     poor = None
     if quality:
         items, poor = quality_gate(items, quality, p.quality_min)
+    if orient is not None:
+        turned = orient(items).select("item_id", F.col("rotation").alias("_turn"))
+        items = items.join(turned, "item_id", "left").withColumn("rotation", F.coalesce("_turn", F.lit(0))).drop("_turn")
+        items = materialise(items, "oriented")
+    rotation = [] if orient is None else ["rotation"]
     votes = matchers["h"](items)
     ref_type = votes.schema["ref_id"].dataType.simpleString()
     wide = materialise(
-        items.select("item_id").join(
+        items.select("item_id", *rotation).join(
             votes.select("item_id", F.col("ref_id").alias("h_ref"), F.col("score").alias("h_score"), "margin", "agreement"),
             "item_id", "left",
         ).withColumn("h_score", F.coalesce("h_score", F.lit(0.0))),
@@ -191,15 +202,37 @@ def identify(
     wide = materialise(add_votes(wide, "ab", ~by_hash), "votes-hab")
     agreed = F.coalesce(_stage_multi()[0], F.lit(False))
     wide = add_votes(wide, "c", ~by_hash & ~agreed)
-    out = decide_wide(wide, p).select("item_id", "ref_id", "confidence", "stage", "candidates", "methods")
+    out = decide_wide(wide, p).select("item_id", "ref_id", "confidence", "stage", "candidates", "methods", *rotation)
     if poor is not None:
         out = out.unionByName(poor.select(
             "item_id", F.lit(None).cast(ref_type).alias("ref_id"), "confidence", "stage",
             F.array().cast(f"array<{ref_type}>").alias("candidates"), F.array().cast(_EVIDENCE.format(ref_type)).alias("methods"),
+            *[F.lit(0).alias(c) for c in rotation],
         ))
     return out
 
 
+def cached_votes(items: DataFrame, cache: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Method ``c`` from stored answers: (votes, items whose answer has to be asked for).
+
+    Items need ``content_key``; the cache holds (content_key, response). The answer's JSON block names ``name``, ``number``
+    and ``confidence`` (0 to 100); the score is that confidence times the exactness of the entity that name and number
+    resolve to. An answer without a block is a vote for nothing with score 0, and so is a confidence that is no number.
+    """
+    hits = items.select("item_id", "content_key").join(cache.select("content_key", "response"), "content_key", "left")
+    missing = items.join(cache.select("content_key"), "content_key", "left_anti")
+    block = json_block(F.col("response"))
+    said = hits.where(F.col("response").isNotNull()).select("item_id", block.alias("_block")).select(
+        "item_id", F.get_json_object("_block", "$.name").alias("name"), F.get_json_object("_block", "$.number").alias("number"),
+        F.coalesce(F.get_json_object("_block", "$.confidence").try_cast("double"), F.lit(0.0)).alias("_sure"),
+    )
+    said = materialise(said, "answers")
+    found = resolve(said.select("item_id", "name", "number"), refs)
+    votes = found.join(said.select("item_id", "_sure"), "item_id").select(
+        "item_id", "ref_id", (F.col("_sure") / F.lit(100.0) * F.col("exactness")).alias("score"))
+    return votes, missing
+
+
 def model_calls(idents: DataFrame, by: list[str]) -> DataFrame:
     """Items whose evidence holds method ``c``, per key: one call each."""
     calls = F.size(F.filter("methods", lambda m: m["method"] == "c"))

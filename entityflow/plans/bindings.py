@@ -27,6 +27,16 @@ def lit_ts(text: str) -> Column:
 _SPREAD = {"lineitem": "l_orderkey", "embeddings": "vec_id", "documents": "doc_id"}
 
 
+# what the three other orientations of an item do to its fingerprints
+TURN_MASKS = (0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x00FF00FF00FF00FF, 0x7FFF00007FFF0000)
+
+
+def turned_bits(bits: Column, item: Column, alternative: Column) -> Column:
+    """The fingerprint of an item in an orientation; the stored one belongs to ``item % 4``."""
+    mask = F.element_at(F.array(*[F.lit(m).cast("bigint") for m in TURN_MASKS]), (alternative + 1).cast("int"))
+    return F.when(item % 4 == alternative, bits).otherwise(bits.bitwiseXOR(mask))
+
+
 class Tables:
     """DataFrames of one scale directory. Everything is lazy."""
 
@@ -399,6 +409,17 @@ VIEWS: dict[str, tuple[str, str]] = {
                            f.second_dist - f.best_dist AS margin,
                            count(*) FILTER (WHERE k.best_ref = f.best_ref AND k.best_dist <= 10) AS agreement
                     FROM v_knn k JOIN v_knn f ON f.item_id = k.item_id AND f.hash_type = 'full' GROUP BY ALL))"""),
+    "v_turns": ("v_index v_probe", f"""
+        SELECT item_id, alternative, distance FROM (
+          SELECT item_id, alternative, min(bit_count(xor(a.bits, i.hash_bits))) AS distance FROM (
+            SELECT item_id, alternative, CASE WHEN item_id % 4 = alternative THEN hash_bits ELSE xor(hash_bits, ({list(TURN_MASKS)})[alternative + 1]) END AS bits
+            FROM v_probe, (SELECT unnest([0, 1, 2, 3]) AS alternative) WHERE hash_type = 'full') a
+          CROSS JOIN (SELECT hash_bits FROM v_index WHERE hash_type = 'full') i GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, alternative) = 1"""),
+    "v_turned": ("v_probe v_turns", f"""
+        SELECT p.item_id, p.hash_type, CASE WHEN p.item_id % 4 = t.alternative THEN p.hash_bits
+                    ELSE xor(p.hash_bits, ({list(TURN_MASKS)})[t.alternative + 1]) END AS hash_bits
+        FROM v_probe p JOIN v_turns t USING (item_id)"""),
     "v_vectors": ("v_coef", "SELECT vec_id AS point_id, vec_id // 2 AS ref_id, coef AS vector FROM v_coef"),
     "v_qvectors": ("v_coef", """
         SELECT vec_id AS item_id,
@@ -441,6 +462,11 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 
+# the ensemble's answers for the turned items
+VIEWS["v_turned_knn"] = ("v_index v_turned", VIEWS["v_knn"][1].replace("v_probe", "v_turned"))
+VIEWS["v_turned_match"] = ("v_turned_knn", VIEWS["v_match"][1].replace("v_knn", "v_turned_knn"))
+
+
 def with_views(names: str, body: str) -> str:
     """``WITH`` every named view and what it needs, in dependency order, before the body."""
     done: dict[str, str] = {}

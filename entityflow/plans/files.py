@@ -3,12 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from entityflow.functions import text
 from entityflow.functions.ranking import first_n
 from entityflow.operators import cascade, evaluate, knn, layout, resolve, upkeep
-from entityflow.plans.bindings import Tables, lit_ts
+from entityflow.plans.bindings import Tables, lit_ts, turned_bits
 from entityflow.plans.collection import star
 from entityflow.plans.governance import _METRICS_SQL, _scored
-from entityflow.plans.matching import CANDIDATES_SQL, decide_sql, joined_candidates
+from entityflow.plans.matching import CANDIDATES_SQL, decide_sql, joined_candidates, orientations
 from entityflow.plans.registry import query
 from entityflow.plans.resolving import named_refs
 from entityflow.sources import blocklist, reports, storage
@@ -34,16 +35,17 @@ def _placed(t: Tables):
 @query("sink_scan_json", "v_cards v_wide v_methods v_refs", f"""
     WITH decided AS MATERIALIZED (SELECT * FROM {decide_sql()}), cand AS {CANDIDATES_SQL.replace('METHODS', 'v_methods').replace('DECIDED', 'decided')}
     SELECT c.photo_id AS file, row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1 AS crop_index, d.ref_id AS card_ref_id, r.name, d.confidence,
-           d.stage AS accepted_stage, array_to_string(d.ran, '') AS methods, coalesce(cand.candidates, '') AS candidates
+           d.stage AS accepted_stage, CAST((row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1) % 4 * 90 AS INTEGER) AS rotation, array_to_string(d.ran, '') AS methods, coalesce(cand.candidates, '') AS candidates
     FROM v_cards c JOIN decided d ON d.item_id = c.card_id LEFT JOIN v_refs r ON r.id = d.ref_id LEFT JOIN cand ON cand.item_id = c.card_id""", types={"crop_index": "INTEGER"})
 def _(t):
     decisions = cascade.decide(t.methods).withColumnRenamed("item_id", "card_id")
-    report = reports.scan_report(_placed(t).join(decisions, "card_id"), t.refs)
+    turned = _placed(t).withColumn("rotation", (F.col("crop_index") % 4 * 90).cast("int"))
+    report = reports.scan_report(turned.join(decisions, "card_id"), t.refs)
     path = storage.scratch(t.spark, "scan-report")
     report.write.json(path)
     cards = t.spark.read.schema(reports.REPORT_SCHEMA).json(path).select("file", F.explode("cards").alias("c")).select("file", "c.*")
     return cards.select(
-        "file", "crop_index", "card_ref_id", "name", "confidence", "accepted_stage",
+        "file", "crop_index", "card_ref_id", "name", "confidence", "accepted_stage", "rotation",
         F.array_join(F.transform("methods", lambda m: m["method"]), "").alias("methods"),
         F.array_join(F.transform("candidates", lambda r: r.cast("string")), ",").alias("candidates"),
     )
@@ -151,6 +153,11 @@ def _(t):
 _TEXT_SQL = """(SELECT i.item_id, CASE WHEN i.item_id % 4 = 1 THEN upper(r.name) ELSE r.name END AS name,
       CASE WHEN i.item_id % 3 <> 0 THEN r.number || '/' || r.printed_total END AS number
     FROM (SELECT vec_id AS item_id FROM embeddings) i JOIN named r ON r.id = i.item_id + CASE WHEN i.item_id % 5 = 0 THEN 1 ELSE 0 END)"""
+# stored answers of the model about an entity near the item's own: some say nothing, some no number, one item in six has none
+_SAID_SQL = """(SELECT i.item_id, CASE WHEN i.item_id % 10 <> 9 THEN upper(r.name) END AS name,
+      CASE WHEN i.item_id % 10 <> 9 AND i.item_id % 3 <> 1 THEN r.number || '/' || r.printed_total END AS number,
+      CASE WHEN i.item_id % 10 NOT IN (4, 9) THEN i.item_id % 10 * 10 ELSE 0 END AS sure
+    FROM (SELECT vec_id AS item_id FROM embeddings WHERE vec_id % 6 <> 5) i JOIN named r ON r.id = i.item_id + i.item_id % 3)"""
 _WIDE_SQL = f"""named AS MATERIALIZED (SELECT id, CASE WHEN id % 50 = 0 THEN name || ' ' || id ELSE name END AS name, number, printed_total FROM v_refs),
     g AS (SELECT number, printed_total, count(*) AS n, min(id) AS only_id FROM named GROUP BY 1, 2),
     gn AS (SELECT number, printed_total, lower(name) AS name, min(id) AS id FROM named GROUP BY 1, 2, 3),
@@ -160,6 +167,11 @@ _WIDE_SQL = f"""named AS MATERIALIZED (SELECT id, CASE WHEN id % 50 = 0 THEN nam
             FROM (SELECT item_id, lower(name) AS name, split_part(number, '/', 1) AS num, split_part(number, '/', 2) AS total FROM {_TEXT_SQL}) o
             LEFT JOIN g ON g.number = o.num AND g.printed_total = o.total
             LEFT JOIN gn ON gn.number = o.num AND gn.printed_total = o.total AND gn.name = o.name LEFT JOIN nm ON nm.name = o.name),
+    ans AS (SELECT item_id, CASE WHEN g.n = 1 THEN g.only_id WHEN gn.id IS NOT NULL THEN gn.id WHEN nm.n = 1 THEN nm.id END AS ref_id,
+                   sure / 100::DOUBLE * CASE WHEN g.n = 1 THEN 1.0::DOUBLE WHEN gn.id IS NOT NULL THEN 0.9::DOUBLE WHEN nm.n = 1 THEN 0.6::DOUBLE ELSE 0::DOUBLE END AS score
+            FROM (SELECT item_id, lower(name) AS name, split_part(number, '/', 1) AS num, split_part(number, '/', 2) AS total, sure FROM {_SAID_SQL}) o
+            LEFT JOIN g ON g.number = o.num AND g.printed_total = o.total
+            LEFT JOIN gn ON gn.number = o.num AND gn.printed_total = o.total AND gn.name = o.name LEFT JOIN nm ON nm.name = o.name),
     cosine AS MATERIALIZED (SELECT item_id, max(ref_id) FILTER (rn = 1) AS ref_id, max(sim) FILTER (rn = 1)
                      * (0.5::DOUBLE + 0.5::DOUBLE * least(greatest((1 - max(sim) FILTER (rn = 2)) - (1 - max(sim) FILTER (rn = 1)), 0) / 0.05::DOUBLE, 1::DOUBLE)) AS score
                FROM (SELECT q.item_id, p.vec_id AS ref_id, list_cosine_similarity(q.vector, p.coef) AS sim,
@@ -167,17 +179,17 @@ _WIDE_SQL = f"""named AS MATERIALIZED (SELECT id, CASE WHEN id % 50 = 0 THEN nam
                      FROM v_qvectors q CROSS JOIN v_coef p) WHERE rn <= 5 GROUP BY item_id),
     wide AS MATERIALIZED (SELECT m.item_id, CASE WHEN m.matched THEN m.ref_id END AS h_ref, m.score AS h_score, m.margin, m.agreement,
                     c.ref_id AS a_ref, c.score AS a_score, x.ref_id AS b_ref, coalesce(x.score, CASE WHEN x.item_id IS NOT NULL THEN 0 END) AS b_score,
-                    m.item_id + m.item_id % 3 AS c_ref, (m.item_id % 10) / 10::DOUBLE AS c_score
-             FROM v_match m JOIN cosine c USING (item_id) LEFT JOIN txt x USING (item_id) WHERE m.item_id % 60 >= 5)"""
+                    s.ref_id AS c_ref, s.score AS c_score
+             FROM v_turned_match m JOIN cosine c USING (item_id) LEFT JOIN txt x USING (item_id) LEFT JOIN ans s USING (item_id) WHERE m.item_id % 60 >= 5)"""
 
 
-@query("cascade_identify", "v_match v_qvectors v_coef v_refs", f"""
+@query("cascade_identify", "v_turned_match v_turns v_qvectors v_coef v_refs", f"""
     WITH {_WIDE_SQL}, decided AS MATERIALIZED (SELECT * FROM {decide_sql('wide')}),
     long AS (SELECT item_id, 'h' AS method, h_ref AS ref_id, h_score AS score FROM wide UNION ALL SELECT item_id, 'a', a_ref, a_score FROM wide
              UNION ALL SELECT item_id, 'b', b_ref, b_score FROM wide UNION ALL SELECT item_id, 'c', c_ref, c_score FROM wide)
-    SELECT d.item_id, d.ref_id, d.confidence, d.stage, coalesce(c.candidates, '') AS candidates
-    FROM decided d LEFT JOIN {CANDIDATES_SQL.replace('METHODS', 'long').replace('DECIDED', 'decided')} c ON c.item_id = d.item_id
-    UNION ALL SELECT vec_id, NULL, 0, 'unreadable', '' FROM embeddings WHERE vec_id % 60 < 5""")
+    SELECT d.item_id, d.ref_id, d.confidence, d.stage, coalesce(c.candidates, '') AS candidates, t.alternative * 90 AS rotation
+    FROM decided d JOIN v_turns t ON t.item_id = d.item_id LEFT JOIN {CANDIDATES_SQL.replace('METHODS', 'long').replace('DECIDED', 'decided')} c ON c.item_id = d.item_id
+    UNION ALL SELECT vec_id, NULL, 0, 'unreadable', '', 0 FROM embeddings WHERE vec_id % 60 < 5""", types={"rotation": "INTEGER"})
 def _(t):
     return joined_candidates(identify_probes(t)).drop("methods")
 
@@ -187,8 +199,13 @@ def identify_probes(t: Tables):
     ref = named_refs(t).select((F.col("id")).alias("_ref"), "name", "number", "printed_total")
     points = t.coefficients.select(F.col("vec_id").alias("point_id"), F.col("vec_id").alias("ref_id"), F.col("coef").alias("vector"))
 
+    def upright(items):
+        return orientations(t, items).select("item_id", (F.col("alternative") * 90).alias("rotation"))
+
     def by_hash(items):
-        return knn.hamming_match(t.probe.join(items.select("item_id"), "item_id", "left_semi"), t.index)
+        turned = t.probe.join(items.select("item_id", "rotation"), "item_id").select(
+            "item_id", "hash_type", turned_bits(F.col("hash_bits"), k, (F.col("rotation") / 90).cast("int")).alias("hash_bits"))
+        return knn.hamming_match(turned, t.index)
 
     def by_vector(items):
         return knn.cosine_match(t.query_vectors.join(items.select("item_id"), "item_id", "left_semi"), points)
@@ -202,10 +219,16 @@ def identify_probes(t: Tables):
         return resolve.resolve(read, named_refs(t)).select("item_id", "ref_id", (F.col("exactness") * 0.95).alias("score"))
 
     def by_model(items):
-        return items.select("item_id", (k + k % 3).alias("ref_id"), ((k % 10).cast("double") / F.lit(10.0)).alias("score"))
-
+        return cascade.cached_votes(items.withColumn("content_key", key), answers, named_refs(t))[0]
+
+    key = text.content_key(F.concat(F.lit("crop "), k.cast("string")))
+    number = F.when(k % 3 != 1, F.concat(F.lit('"number": "'), "number", F.lit("/"), "printed_total", F.lit('", '))).otherwise("")
+    sure = F.when(k % 10 == 4, '"high"').otherwise((k % 10 * 10).cast("string"))
+    answer = F.concat(F.lit('Sure:\n{"name": "'), F.upper("name"), F.lit('", '), number, F.lit('"confidence": '), sure, F.lit("}\ndone"))
+    asked = t.coefficients.select(F.col("vec_id").alias("item_id"), (F.col("vec_id") + F.col("vec_id") % 3).alias("_ref")).where(k % 6 != 5)
+    answers = asked.join(ref, "_ref").select(key.alias("content_key"), F.when(k % 10 == 9, "I cannot tell").otherwise(answer).alias("response"))
     items = t.coefficients.select(F.col("vec_id").alias("item_id"), (F.col("vec_id") % 60 + 40).cast("double").alias("sharpness"))
-    return cascade.identify(items, {"h": by_hash, "a": by_vector, "b": by_text, "c": by_model}, quality="sharpness")
+    return cascade.identify(items, {"h": by_hash, "a": by_vector, "b": by_text, "c": by_model}, quality="sharpness", orient=upright)
 
 
 # --- upkeep ----------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from entityflow.operators import cascade, knn
 from entityflow.params import HashParams
-from entityflow.plans.bindings import Tables
+from entityflow.plans.bindings import Tables, turned_bits
 from entityflow.plans.registry import query
 
 
@@ -45,25 +45,14 @@ def _(t):
     return t.methods.where(F.col("method") == "h").select("item_id", F.round(s, 9).alias("score"))
 
 
-_MASKS = (0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x00FF00FF00FF00FF, 0x7FFF00007FFF0000)
-
-
-@query("join_best_orientation", "v_index v_probe", f"""
-    SELECT item_id, alternative, distance FROM (
-      SELECT item_id, alternative, min(bit_count(xor(a.bits, i.hash_bits))) AS distance FROM (
-        SELECT item_id, alternative, CASE WHEN item_id % 4 = alternative THEN hash_bits ELSE xor(hash_bits, ({list(_MASKS)})[alternative + 1]) END AS bits
-        FROM v_probe, (SELECT unnest([0, 1, 2, 3]) AS alternative) WHERE hash_type = 'full') a
-      CROSS JOIN (SELECT hash_bits FROM v_index WHERE hash_type = 'full') i GROUP BY 1, 2)
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, alternative) = 1""", types={"distance": "INTEGER"})
-def _(t):
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _MASKS])
-    alternatives = t.probe.where(F.col("hash_type") == "full").select(
-        "item_id", "hash_bits", F.posexplode(masks).alias("alternative", "mask")
-    ).select(
-        "item_id", "alternative",
-        F.when(F.col("item_id") % 4 == F.col("alternative"), F.col("hash_bits"))
-        .otherwise(F.col("hash_bits").bitwiseXOR(F.col("mask"))).alias("hash_bits"),
-    )
+@query("join_best_orientation", "v_turns", "SELECT item_id, alternative, distance FROM v_turns", types={"distance": "INTEGER"})
+def orientations(t: Tables, items=None):
+    full = t.probe.where(F.col("hash_type") == "full")
+    if items is not None:
+        full = full.join(items.select("item_id"), "item_id", "left_semi")
+    k, turns = F.col("item_id"), F.array(*[F.lit(i) for i in range(4)])
+    alternatives = full.select(k, "hash_bits", F.explode(turns).alias("alternative")).select(
+        k, "alternative", turned_bits(F.col("hash_bits"), k, F.col("alternative")).alias("hash_bits"))
     return knn.best_alternative(alternatives, t.index)
 
 

@@ -15,7 +15,7 @@ CSV_COLUMNS = (
 )
 REPORT_SCHEMA = (
     "file string, cards array<struct<crop_index: int, card_ref_id: bigint, name: string, confidence: int, "
-    "accepted_stage: string, methods: array<struct<method: string, card_ref_id: bigint, score: double>>, "
+    "accepted_stage: string, rotation: int, methods: array<struct<method: string, card_ref_id: bigint, score: double>>, "
     "candidates: array<bigint>>>"
 )
 MANIFEST_SCHEMA = (
@@ -57,7 +57,7 @@ def scan_report(idents: DataFrame, refs: DataFrame) -> DataFrame:
     )
     card = F.struct(
         "crop_index", F.col("ref_id").alias("card_ref_id"), "name", "confidence", F.col("stage").alias("accepted_stage"),
-        methods.alias("methods"), "candidates",
+        (F.col("rotation") if "rotation" in idents.columns else F.lit(0)).alias("rotation"), methods.alias("methods"), "candidates",
     )
     return left_join_sparse(idents, names, ["ref_id"], "file").groupBy("file").agg(F.sort_array(F.collect_list(card)).alias("cards"))
 

@@ -317,3 +317,32 @@ def test_cells_without_points(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, vector array<double>")
     assert knn.cosine_top(asked, empty).count() == 0
     assert [tuple(r) for r in knn.cosine_match(asked, empty).collect()] == [(1, None, 0.0)]
+
+
+def test_cached_answers_and_orientation_in_the_cascade(spark):
+    refs = spark.createDataFrame([(1, "Red Fox", "4", "50"), (2, "Blue Owl", "4", "60"), (3, "Red Fox", "5", "50")],
+                                 "id long, name string, number string, printed_total string")
+    items = spark.createDataFrame([(i, f"k{i}", 50.0) for i in range(7)], "item_id long, content_key string, sharpness double")
+    cache = spark.createDataFrame([
+        ("k0", 'Sure: {"name": "RED FOX", "number": "4/50", "confidence": 80} done'), ("k1", '{"name": "blue owl", "confidence": "50"}'),
+        ("k2", "no idea"), ("k3", '{"name": "Red Fox", "number": null, "confidence": 90}'), ("k4", '{"number": "5/50", "confidence": "high"}'),
+        ("k5", '{"name": ')], "content_key string, response string")
+    votes, missing = cascade.cached_votes(items, cache, refs)
+    got = {r.item_id: (r.ref_id, round(r.score, 9)) for r in votes.collect()}
+    assert got == {0: (1, 0.8), 1: (2, 0.3), 2: (None, 0.0), 3: (None, 0.0), 4: (3, 0.0), 5: (None, 0.0)}
+    assert [r.item_id for r in missing.collect()] == [6]
+
+    seen = []
+
+    def by_hash(rows):
+        seen.append("rotation" in rows.columns)
+        zero = F.lit(0).cast("int")
+        return rows.select("item_id", F.lit(1).cast("long").alias("ref_id"), F.lit(0.4).alias("score"), zero.alias("margin"), zero.alias("agreement"))
+
+    poor = items.withColumn("sharpness", F.when(F.col("item_id") == 6, 0.0).otherwise(F.col("sharpness")))
+    turns = spark.createDataFrame([(0, 90), (2, 270), (6, 180)], "item_id long, rotation int")
+    done = cascade.identify(poor, {"h": by_hash, "c": lambda rows: cascade.cached_votes(rows, cache, refs)[0]}, quality="sharpness",
+                            orient=lambda rows: turns.join(rows.select("item_id"), "item_id"))
+    out = {r.item_id: (r.stage, r.confidence, r.rotation) for r in done.collect()}
+    assert seen == [True] and out[0] == ("validation", 79, 90) and out[6] == ("unreadable", 0, 0)
+    assert out[2][2] == 270 and out[1][2] == 0 and len(out) == 7
