@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -58,37 +59,72 @@ def dedupe_items(items: DataFrame, keys: list[str], ts: str, horizon: str) -> Da
     return timed.withWatermark("_event_time", horizon).dropDuplicatesWithinWatermark(keys).drop("_event_time")
 
 
+_BUCKETS = 1024  # keys of the completion state: batches are worked on by the bucket
+_PART = 256  # item ids of an open batch in one state value, about
+
+
 class _Completion(StatefulProcessor):
-    """The distinct terminal items of one open batch as a map. Completion clears it and leaves a mark for a while."""
+    """The distinct terminal items of the open batches of a bucket, in maps by batch. Completion removes a batch's items
+    and leaves a mark for a while. The items of one batch lie in parts of about ``_PART`` ids, so news rewrites little.
+
+    A micro-batch is reduced to batches and new items by columns. Calls to the state are what costs: the first part lies
+    beside the counters, and the marks of a micro-batch are one value.
+    """
 
     def __init__(self, idle: int, fired: int):
         self.idle, self.after = idle, fired
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.terminal = handle.getMapState("terminal", "item string", "there boolean", self.idle)
-        self.open = handle.getValueState("open", "done bigint, expected bigint", self.idle)
-        self.fired = handle.getValueState("fired", "items bigint", self.after)
+        self.terminal = handle.getMapState("terminal", "batch bigint, part int", "items array<string>", self.idle)
+        self.open = handle.getMapState("open", "batch bigint", "done bigint, expected bigint, parts int, items array<string>", self.idle)
+        self.fired = handle.getListState("fired", "batches array<bigint>", self.after)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        done, expected = self.open.get() if self.open.exists() else (0, 0)
-        new: set[str] = set()
-        for pdf in rows:
-            expected = max(expected, int(pdf["expected"].max()))
-            new.update(pdf["item_id"][pdf["terminal"].astype(bool)].astype(str))
-        if self.fired.exists():
-            return
+        pdf = pd.concat([r[["batch_id", "expected", "item_id", "terminal"]] for r in rows])
+        expected = pdf.groupby("batch_id", sort=True)["expected"].max()
+        items = pdf.loc[pdf["terminal"], ["batch_id", "item_id"]].drop_duplicates().sort_values("batch_id", kind="stable")
+        ids, batch = items["item_id"].to_numpy(), expected.index.to_numpy()
+        at = np.searchsorted(items["batch_id"].to_numpy(), batch)
+        ends = np.append(at[1:], len(ids))
+        some_open, done = self.open.exists(), []
+        fired = {b for value in self.fired.get() for b in value[0]} if self.fired.exists() else ()
+        for b, want, lo, hi in zip(batch.tolist(), expected.tolist(), at.tolist(), ends.tolist()):
+            n = 0 if b in fired else self._complete(b, want, ids[lo:hi], some_open)
+            if n:
+                done.append((b, n))
         if done:
-            new = {i for i in new if not self.terminal.containsKey((i,))}
-        done += len(new)
-        if 0 < expected <= done:
-            self.terminal.clear()
-            self.open.clear()
-            self.fired.update((done,))
-            yield pd.DataFrame({"batch_id": [key[0]], "items": [done]})
-            return
-        for i in new:
-            self.terminal.updateValue((i,), (True,))
-        self.open.update((done, expected))
+            self.fired.appendValue(([b for b, _ in done],))
+            found = pd.DataFrame(done, columns=["batch_id", "items"])
+            yield found if key[0] >= 0 else found.assign(batch_id=pd.Series([None] * len(found), dtype="Int64"))
+
+    def _complete(self, batch: int, expected: int, ids: np.ndarray, some_open: bool) -> int:
+        """The items of a batch if it is complete with these; else 0, and the state is brought up to date."""
+        before = self.open.getValue((batch,)) if some_open else None
+        count, known, parts, first = before or (0, 0, 0, None)
+        expected = max(expected, known)
+        parts = parts or 1 + max(expected, len(ids)) // _PART
+        by_part: dict[int, list[str]] = {0: []}
+        for i in ids.tolist():
+            by_part.setdefault(crc32(i.encode()) % parts if parts > 1 else 0, []).append(i)
+        held = {0: list(first or ())}
+        for part, new in by_part.items():
+            if part:
+                old = self.terminal.getValue((batch, part)) if before else None
+                held[part] = list(old[0]) if old else []
+            seen = set(held[part])
+            by_part[part] = [i for i in new if i not in seen]
+        count += sum(map(len, by_part.values()))
+        if 0 < expected <= count:
+            if before:
+                self.open.removeKey((batch,))
+                for part in range(1, parts):
+                    self.terminal.removeKey((batch, part))
+            return count
+        for part, new in by_part.items():
+            if part and new:
+                self.terminal.updateValue((batch, part), (held[part] + new,))
+        self.open.updateValue((batch,), (count, expected, parts, held[0] + by_part[0]))
+        return 0
 
     def close(self) -> None:
         pass
@@ -99,10 +135,15 @@ def completion_stream(items: DataFrame, p: StateParams = StateParams()) -> DataF
     are terminal. Items count once however often they are delivered, as their ids are kept until the batch is complete.
 
     A batch without news for ``p.idle_hours`` is forgotten; a complete one is remembered for ``p.fired_hours``, in which
-    late deliveries are ignored.
+    late deliveries are ignored. Rows without a batch are one batch.
     """
-    named = items.select("batch_id", F.col("expected").cast("bigint").alias("expected"), F.col("item_id").cast("string").alias("item_id"), "terminal")
-    return named.groupBy("batch_id").transformWithStateInPandas(
+    b = F.col("batch_id").cast("bigint")
+    named = items.select(
+        # rows without a batch have a bucket of their own, so that ids stay whole numbers
+        F.when(b.isNull(), -1).otherwise(F.pmod(F.xxhash64(b), F.lit(_BUCKETS))).cast("int").alias("bucket"),
+        F.coalesce(b, F.lit(0).cast("bigint")).alias("batch_id"), F.coalesce(F.col("expected").cast("bigint"), F.lit(0).cast("bigint")).alias("expected"),
+        F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item_id"), F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    return named.groupBy("bucket").transformWithStateInPandas(
         _Completion(int(p.idle_hours * HOUR_MS), int(p.fired_hours * HOUR_MS)), "batch_id bigint, items bigint", "Append", "ProcessingTime")
 
 

@@ -491,6 +491,20 @@ def test_completion_fires_once(spark, tmp_path):
     assert sorted((r.batch_id, r.items, r.change) for r in got.collect()) == [(1, 2, 1), (4, 1, 2)]
 
 
+def test_completion_works_by_the_bucket(spark, tmp_path):
+    """Batches share state keys; large batches, late deliveries and rows without a batch keep their own counts."""
+    kinds = "batch_id bigint, expected bigint, item_id string, terminal boolean, part int"
+    rows = [(b, 2, f"i{k}", True, k) for b in range(3000) for k in range(2)] + [(None, 2, f"n{k}", True, k) for k in range(2)]
+    rows += [(-5, 700, f"big{i}", True, i % 3) for i in range(700)] + [(-5, 700, f"big{i}", True, 1) for i in range(50)]
+    rows += [(b, 2, "i9", True, 2) for b in range(100)] + [(9000, 1, None, None, 0), (9000, 1, None, True, 2)]
+    df = spark.createDataFrame(rows, kinds)
+    stream = jobs.completion_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path)).drop("part"))
+    assert "bucket" in stream._jdf.queryExecution().analyzed().toString()
+    got = run_files(spark, tmp_path, df, [f"part = {i}" for i in range(3)], lambda s: jobs.completion_stream(s.drop("part")), stateful=True)
+    want = [(b, 2, 1) for b in range(3000)] + [(None, 2, 1), (-5, 700, 2), (9000, 1, 2)]
+    assert sorted((r.batch_id is None, r.batch_id or 0, r.items, r.change) for r in got.collect()) == sorted((b is None, b or 0, n, c) for b, n, c in want)
+
+
 def test_forgotten_batches_leave_no_state(spark, tmp_path):
     """With a time to live of a moment, an item delivered before is unknown to the next run."""
     from entityflow.params import StateParams
