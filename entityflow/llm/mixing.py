@@ -119,10 +119,29 @@ def positioned(allocated: DataFrame, schedules: Sequence[Knots] = SCHEDULES) ->
     ).withColumn("copy", F.col("copy").cast("int"))
 
 
+def ordered(copies: DataFrame, doc_id: str) -> DataFrame:
+    """Placed copies in training order, dealt by ranges of it."""
+    order = ["position", F.col("row").getField(doc_id), "copy"]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
         schedules: Sequence[Knots] = SCHEDULES, most: int = 3) -> DataFrame:
     """The documents of the mix in training order: whole copies (one at a target's end is in if at least half of it is),
     range-sorted by position, with the columns of ``df``."""
     placed = positioned(allocate(df, text, doc_id, source, schedules, most), schedules)
-    ordered = placed.where("2 * words >= size").repartitionByRange("position", F.col("row").getField(doc_id), "copy")
-    return ordered.sortWithinPartitions("position", F.col("row").getField(doc_id), "copy").select("row.*")
+    return ordered(placed.where("2 * words >= size"), doc_id).select("row.*")
+
+
+def takes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+          schedules: Sequence[Knots] = SCHEDULES, most: int = 3) -> DataFrame:
+    """Every document, boxed with its id alone, with ``size``, ``source_size``, ``target`` and ``taken``: the words that its
+    copies have in the mix. The mix is written in training order first, and what is taken is read from there."""
+    placed = materialise(allocate(df, text, doc_id, source, schedules, most, keep_rows=False), "mix-placed")
+    mixed = materialise(ordered(positioned(placed, schedules), doc_id), "mix-order")
+    # within a source the words before it name a document that has any
+    own = mixed.groupBy("source", "before").agg(F.sum("words").alias("found")).select(
+        F.col("source").alias("of"), F.col("before").alias("at"), "found")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.when(F.col("size") > 0, F.col("before")) == F.col("at"))
+    return placed.drop("taken").join(own, same, "left").select(
+        "row", "size", "source_size", "target", F.coalesce("found", F.lit(0).cast("long")).alias("taken"))

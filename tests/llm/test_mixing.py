@@ -76,3 +76,21 @@ def test_awkward_tables(spark):
     assert len(got) == docs.count() and all(r.taken == 0 for r in got if r.row.text is None)
     assert mixing.mix(docs).columns == docs.columns
     assert mixing.mix(nothing(spark)).count() == 0 and mixing.allocate(nothing(spark)).count() == 0
+
+
+def test_takes_are_read_from_the_ordered_mix(spark, monkeypatch):
+    """What a document gives is what its copies have in the mix, which is placed by the schedules and range-sorted."""
+    written, keep = {}, mixing.materialise
+
+    def watched(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(mixing, "materialise", watched)
+    docs = docs_of(spark, {"a": [5] * 60, "b": [9, 0, 0] * 100, None: [2] * 30}).union(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    got = sorted(str(tuple(r)) for r in mixing.takes(docs).collect())
+    assert got == sorted(str(tuple(r)) for r in mixing.allocate(docs, keep_rows=False).select("row", "size", "source_size", "target", "taken").collect())
+    order = [r.position for r in written["mix-order"].collect()]
+    assert len(order) > 90 and all(0 <= x <= 1 for x in order)
+    assert sum(r.words for r in written["mix-order"].collect()) == sum(r.taken for r in mixing.takes(docs).collect())
+    assert mixing.takes(nothing(spark)).count() == 0
