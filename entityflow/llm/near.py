@@ -12,8 +12,11 @@ members than that, in more than one component, are then split by ``parts`` keys
 led by ``few`` once more. A turn makes one row per member and bucket, and per member as many pairs as its buckets have
 different leaders (at most ``few`` each). A split keeps a pair at similarity s together
 with probability ``1 - (1 - s ** deep) ** parts``, 0.88 at 0.8, in each of the ten buckets that such a pair shares on
-average; what still lies in a large bucket after it is compared with its leaders only. Buckets are joins and partial
-aggregates; no task holds a bucket or a group.
+average. Those turns only save work: sets whose large buckets still hold more than one component are then joined exactly.
+Of two sets at the similarity each has a shingle of the other among its first ``n - similarity * n + 1`` ones in any one
+order; in the order of their number, shingles that texts have in common by a template come last. Every pair of different
+components that shares such a shingle is judged, so no pair that meets in a bucket is left out. Buckets are joins and
+partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
 
 Edge cases: NULL and wordless texts have the empty set and are one; fewer words than a shingle make one shingle of all
 words; repeated rows are one document.
@@ -27,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n
@@ -90,11 +93,6 @@ def band_keys(least: np.ndarray, p: NearParams) -> np.ndarray:
     return _mixed(parts.sum(axis=1, dtype=np.uint64))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def hashed(df: DataFrame, p: NearParams) -> DataFrame:
     """(id, h1, h2, s, n, keys) of each row of (id, h1, h2, text): the set's hash and size, and its key in each band."""
     by = _constants(p.bands * p.rows, 2)
@@ -116,45 +114,45 @@ def hashed(df: DataFrame, p: NearParams) -> DataFrame:
 
 
 def _sets(df: DataFrame, p: NearParams) -> DataFrame:
-    """(s, found) of each row of (s, text): the set as bytes."""
+    """(s, found, keys) of each row of (s, text): the set, and the keys by which its buckets are split."""
+    by, parts = _constants(p.parts * p.deep, 5), _constants(p.deep, 3)
+
+    def split(found: np.ndarray) -> np.ndarray:
+        return _mixed(_mixed(minima(found, by).reshape(p.parts, p.deep) * parts).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch):
                 seen = {}
-                found = [shingles(t, p.shingle, seen).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("s"), pa.array(found, pa.binary())], ["s", "found"])
+                found = [shingles(t, p.shingle, seen) for t in part.column("text").to_pylist()]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("s"), pa.array([x.view(np.int64) for x in found], longs), pa.array([split(x) for x in found], longs)],
+                    ["s", "found", "keys"])
 
-    return df.mapInArrow(run, "s bigint, found binary")
+    return df.mapInArrow(run, "s bigint, found array<bigint>, keys array<bigint>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     """The pairs (a, b) of at least the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c) for c in ("x", "y"))
-            ok = [similarity(*(np.frombuffer(v[i].as_py(), np.uint64) for v in (x, y))) >= p.similarity
-                  for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("found").alias("x")), "a").join(
         sets.select(F.col("s").alias("b"), F.col("found").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _split_keys(sets: DataFrame, p: NearParams) -> DataFrame:
-    """(s, part, finer): the keys by which the buckets of each set are split."""
-    by = _constants(p.parts * p.deep, 5)
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("n"))
+    total = F.col("n") - F.col("common")
+    return common.where((total == 0) | (F.col("common") / F.when(total > 0, total) >= p.similarity)).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = [minima(np.frombuffer(x.as_py(), np.uint64), by) for x in batch.column("found")]
-            keys = [_mixed((_mixed(x.reshape(p.parts, p.deep) * _constants(p.deep, 3))).sum(axis=1, dtype=np.uint64)).view(np.int64) for x in least]
-            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(keys, pa.list_(pa.int64()))], ["s", "keys"])
 
-    found = sets.select("s", "found").mapInArrow(run, "s bigint, keys array<bigint>")
-    return found.select("s", F.posexplode("keys").alias("part", "finer"))
+def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """(token, s, n, root) of the shingles by which sets (s, root) of different components can be alike: of each set the
+    first ones in one order of all, those of a single component before the rare ones."""
+    tokens = asked.join(sets, "s").select("s", "root", F.size("found").alias("n"), F.explode("found").alias("token"))
+    tokens = materialise(tokens, "near-tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("root").alias("a"), F.max("root").alias("z"))
+    held = held.where("a < z").select("token", "f")
+    turn = Window.partitionBy("s").orderBy(F.coalesce("f", F.lit(0)), "token")
+    first = F.col("n") - F.floor(F.lit(p.similarity) * F.col("n")) + 1
+    ranked = tokens.join(held, "token", "left").withColumn("at", F.row_number().over(turn))
+    return ranked.where((F.col("at") <= first) & F.col("f").isNotNull()).select("token", "s", "n", "root")
 
 
 class _Links:
@@ -203,6 +201,17 @@ class _Links:
         pairs = met.select("s", F.explode("heads").alias("t")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
         self.compare(pairs.distinct())
 
+    def join_rest(self, member: DataFrame, few: int) -> None:
+        """Judge all pairs of different components among the sets whose buckets of more than ``few`` members hold several."""
+        asked = materialise(self.rooted(member).where(F.col("size") > few).select("s", "root").distinct(), "near-rest")
+        if asked.isEmpty():
+            return
+        first = materialise(_first_shingles(asked, self.sets, self.p), "near-first")
+        other = first.select("token", F.col("s").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
+        worth = F.least("n", "m") >= self.p.similarity * F.greatest("n", "m")
+        met = first.join(other, "token").where((F.col("s") < F.col("b")) & (F.col("root") != F.col("of")) & worth)
+        self.compare(met.select(F.col("s").alias("a"), "b").distinct())
+
 
 def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """(s, root) of the sets with near copies, but for the least set of each component. ``docs``: (h1, h2, s, n, keys); ``texts``: (h1, h2, text)."""
@@ -222,9 +231,10 @@ def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
         links.lead(links.rooted(member), 1)
     links.lead(links.rooted(member), p.few)
     large = links.rooted(member).where(F.col("size") > p.few).select("s", "n", "score", "bucket")
-    keys = _split_keys(sets.join(large.select("s").distinct(), "s", "left_semi"), p)
+    keys = sets.join(large.select("s").distinct(), "s", "left_semi").select("s", F.posexplode("keys").alias("part", "finer"))
     finer = large.join(keys, "s").select("s", "n", "score", F.xxhash64("bucket", "part", "finer").alias("bucket"))
     links.lead(links.rooted(finer), p.few)
+    links.join_rest(member, p.few)
     return links.roots.select(F.col("a").alias("s"), F.col("b").alias("root"))
 
 

@@ -87,3 +87,16 @@ def test_large_buckets_are_split(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
     got = near.one_of_each(docs, p=near.NearParams(rounds=1, few=3))
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
+
+
+def test_pairs_that_no_leader_is_part_of_are_found(spark):
+    """A large bucket of texts that are all unlike one another, but for pairs that never lead."""
+    rng = random.Random(3)
+    common, rows = [f"c{i}" for i in range(300)], []
+    for i in range(60):
+        text = [*edited(rng, common, 9), *[f"u{rng.randrange(10**9)}" for _ in range(30)]]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited(rng, text, 2)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    # one MinHash value makes buckets of nearly all; splitting them by many values finds nothing
+    got = near.one_of_each(docs, p=near.NearParams(rows=1, bands=4, few=2, parts=1, deep=40))
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
