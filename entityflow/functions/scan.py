@@ -42,12 +42,14 @@ def with_runs(events: DataFrame, key: str, gap: timedelta) -> DataFrame:
 
 
 def ordered_scan(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, fold: Callable, start: Callable
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, fold: Callable, start: Callable,
+    prepare: Callable[[pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Mark the rows that ``fold(rows, state) -> (positions, state)`` picks, going through each key in order.
 
     Keys are hashed to partitions and sorted there (the sort spills); Arrow batches then stream through with only
-    the current key's state carried from one to the next, so a long key is never held in memory.
+    the current key's state carried from one to the next, so a long key is never held in memory. With ``prepare``, which
+    turns a batch into an array with a row per row, ``fold`` gets rows of that array.
     """
     keys = list(keys)
 
@@ -57,17 +59,18 @@ def ordered_scan(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, start()
         for pdf in batches:
+            if not len(pdf):
+                continue
+            rows = pdf.iloc if prepare is None else prepare(pdf)
             codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
             marks = np.zeros(len(pdf), dtype=bool)
             cuts = np.flatnonzero(codes[1:] != codes[:-1]) + 1
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(codes)]):
-                if hi == lo:
-                    continue
-                here = key_at(pdf, lo)
-                if here != current:
-                    current, state = here, start()
-                picked, state = fold(pdf.iloc[lo:hi], state)
-                marks[lo + np.asarray(picked, dtype=np.int64)] = True
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)]):
+                if lo or key_at(pdf, 0) != current:  # only a batch's first key can go on from the one before
+                    state = start()
+                picked, state = fold(rows[lo:hi], state)
+                marks[[lo + i for i in picked]] = True
+            current = key_at(pdf, len(pdf) - 1)
             yield pdf.assign(**{flag: marks})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {flag} boolean"

@@ -137,8 +137,10 @@ def vote(methods: DataFrame) -> DataFrame:
 
 def top_candidates(methods: DataFrame, n: int = 3) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
-    best = methods.where(F.col("ref_id").isNotNull()).groupBy("item_id", "ref_id").agg(
-        F.max("score").alias("score"), F.min(order).alias("_first")
+    # dealt once, by item: the refs of an item and their order are found where its few rows lie
+    best = methods.where(F.col("ref_id").isNotNull()).select("item_id", "ref_id", "score", order.alias("_at")).repartition(
+        "item_id").groupBy("item_id", "ref_id").agg(
+        F.max("score").alias("score"), F.min("_at").alias("_first")
     )
     return first_n(best, ["item_id"], [F.desc("score"), F.asc("_first")], n).drop("_first")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,23 +27,28 @@ def union_passes(*passes: DataFrame) -> DataFrame:
     )
 
 
-def _geometry(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+_LOOPED = 64  # kept outlines up to which plain numbers are compared
+
+
+def _geometry(pdf: pd.DataFrame) -> np.ndarray:
+    """Centre and mean edge of every outline."""
     q = pdf[CORNERS].to_numpy(dtype=np.float64).reshape(len(pdf), 4, 2)
     edges = np.linalg.norm(q - np.roll(q, -1, axis=1), axis=2).mean(axis=1)
-    return q.mean(axis=1), edges
+    return np.column_stack([q.mean(axis=1), edges])
 
 
-def _keep_apart(pdf: pd.DataFrame, kept: list[tuple[float, float, float]]):
-    centres, edges = _geometry(pdf)
+def _keep_apart(outlines: np.ndarray, kept: list[list[float]]):
     out = []
-    known = np.array(kept, dtype=np.float64).reshape(-1, 3)
-    for i, (c, e) in enumerate(zip(centres, edges)):
-        limit = CENTROID_FRACTION * 0.5 * (e + known[:, 2])
-        if len(known) and (np.hypot(known[:, 0] - c[0], known[:, 1] - c[1]) < limit).any():
-            continue
-        known = np.vstack([known, (c[0], c[1], e)])
-        out.append(i)
-    return out, known.tolist()
+    for i, (x, y, e) in enumerate(outlines.tolist()):
+        if len(kept) > _LOOPED:
+            known = np.array(kept)
+            near = (np.hypot(known[:, 0] - x, known[:, 1] - y) < CENTROID_FRACTION * 0.5 * (e + known[:, 2])).any()
+        else:
+            near = any(math.hypot(a - x, b - y) < CENTROID_FRACTION * 0.5 * (e + f) for a, b, f in kept)
+        if not near:
+            kept.append([x, y, e])
+            out.append(i)
+    return out, kept
 
 
 def drop_near(quads: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def drop_near(quads: DataFrame) -> DataFrame:
     ``union_passes``, which has removed identical outlines already.
     """
     order = ["pass", "position"]
-    marked = ordered_scan(quads.select("photo_id", *order, *CORNERS), ["photo_id"], order, "kept", _keep_apart, list)
+    marked = ordered_scan(quads.select("photo_id", *order, *CORNERS), ["photo_id"], order, "kept", _keep_apart, list, _geometry)
     return marked.where("kept").drop("kept")
 
 

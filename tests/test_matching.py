@@ -346,3 +346,21 @@ def test_cached_answers_and_orientation_in_the_cascade(spark):
     out = {r.item_id: (r.stage, r.confidence, r.rotation) for r in done.collect()}
     assert seen == [True] and out[0] == ("validation", 79, 90) and out[6] == ("unreadable", 0, 0)
     assert out[2][2] == 270 and out[1][2] == 0 and len(out) == 7
+
+
+def test_cells_stay_bounded_on_large_tables():
+    """Fine bounds hold on small tables; beyond a number of cells a slot, the cells grow and not their number."""
+    fine = knn.Grid(1000, 150)
+    assert fine.chunks(2_500, 500, 8) == (3, 4)
+    n_q, n_i = fine.chunks(400_000, 200_000, 8)
+    assert n_q * n_i <= 1.1 * knn._CELLS * 8 and 400_000 / n_q <= 131_072 and 200_000 / n_i <= 65_536
+    assert knn.Grid().chunks(4_000_000, 20_000_000, 8) == (31, 306)  # the bounds of memory hold whatever the number
+
+
+def test_top_candidates_move_once(spark):
+    rows = [(f"i{i}", m, i % 7 + (m == "b"), 0.5 + (m == "c") / 4, None, None) for i in range(50) for m in "habc"] + [(None, "h", None, 0.1, None, None), (None, "a", 3, 0.2, None, None)]
+    methods = spark.createDataFrame(rows, "item_id string, method string, ref_id bigint, score double, margin int, agreement int")
+    got = cascade.top_candidates(methods)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {("i0", 0, 0.75, 1), ("i0", 1, 0.5, 2), (None, 3, 0.2, 1)}
+    assert {tuple(r) for r in got.collect() if r.item_id in ("i0", None)} == want
