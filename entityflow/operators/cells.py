@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from entityflow.functions.ranking import first_n
 from entityflow.sources.storage import materialise
 
+_SIMS = 400_000  # similarities of a tile: four arrays of 8 bytes each
 _SLACK = 1e-6  # of an angle, for rounding
 
 
@@ -98,8 +99,9 @@ def _routed(queries: DataFrame, cells: Cells, kth: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            step = max(1, _SIMS // len(pivots))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 far = _angles(unit_rows(part.column("vector")), pivots)
                 if kth is None:
                     cell = np.where(held, far, np.inf).argmin(axis=1)
@@ -122,7 +124,7 @@ def _nearest(k: int):
         r, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(queries) and len(points):
             p, q = unit_rows(points.column("vector")), unit_rows(queries.column("vector"))
-            take, step, parts = min(k, len(p)), max(1, 2_000_000 // len(p)), []
+            take, step, parts = min(k, len(p)), max(1, _SIMS // len(p)), []
             for lo in range(0, len(q), step):
                 # rounding makes equal points equal whatever tile the product is computed in
                 sims = np.round(q[lo:lo + step] @ p.T, 12)

@@ -364,3 +364,10 @@ def test_top_candidates_move_once(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     want = {("i0", 0, 0.75, 1), ("i0", 1, 0.5, 2), (None, 3, 0.2, 1)}
     assert {tuple(r) for r in got.collect() if r.item_id in ("i0", None)} == want
+
+
+def test_tiles_of_the_kernels_are_small():
+    """What a worker holds of the pairs of one cell is a tile, whatever the cell's size."""
+    from entityflow.operators import cells, radius
+
+    assert radius._PAIRS <= 500_000 and cells._SIMS <= 500_000

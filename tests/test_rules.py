@@ -623,3 +623,21 @@ def test_albums_and_web_payloads(spark):
     jobs_df = spark.createDataFrame([("export", '{"export_id": "e"}'), ("price", '{"card_ref_id": "r", "finish": "f"}')], "type string, payload string")
     ok, bad = gates.validate_payload(jobs_df, gates.WEB_PAYLOAD_KEYS)
     assert [r.type for r in ok.collect()] == ["export"] and [r.type for r in bad.collect()] == ["price"]
+
+
+def test_outlines_beyond_the_looped_ones_are_kept_apart(spark):
+    """More kept outlines than are compared as plain numbers, over several Arrow batches and photos."""
+    from entityflow.operators import layout
+
+    def quad(photo, at, x, y):
+        return (photo, 0, at, x, y, x + 60.0, y, x + 60.0, y + 84.0, x, y + 84.0)
+
+    rows = [quad(p, 2 * i + k, 100.0 * (i % 20) + k, 100.0 * (i // 20)) for p in (1, 2) for i in range(200) for k in (0, 1)] + [quad(None, 0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "photo_id long, pass int, position int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        got = sorted((r.photo_id or 0, r.position) for r in layout.drop_near(df.coalesce(1)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(0, 0)] + [(p, 2 * i) for p in (1, 2) for i in range(200)]
