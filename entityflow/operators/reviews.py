@@ -111,15 +111,20 @@ def correction_rows(corrections: DataFrame, crops: DataFrame, index: DataFrame,
 
     ``crops`` has (card_id, crop_hash, coef); a correction without its crop is dropped.
     """
-    found = corrections.join(crops, "card_id")
-    log = found.select("card_id", "crop_hash", "predicted_ref_id", "actual_ref_id", F.col("reviewed_at").alias("created_at"))
-    new = found.select(
+    corrections = materialise(corrections, "corrections")
+    ids = corrections.select("card_id")
+    # hashes and coefficients are wide: only crops that a correction names get a hash, and few need their coefficients
+    named = crops.join(ids, "card_id", "left_semi").select("card_id", "crop_hash")
+    log = materialise(corrections.join(named, "card_id").select(
+        "card_id", "crop_hash", "predicted_ref_id", "actual_ref_id", F.col("reviewed_at").alias("created_at")), "correction-log")
+    # only an owner's newest corrections can stay in any tier, so only theirs are computed
+    new = corrections.join(log.select("card_id"), "card_id", "left_semi").select(
         F.col("actual_ref_id").alias("ref_id"), F.lit("user_validated").alias("source"),
-        F.col("reviewed_at").alias("created_at"), F.col("card_id").alias("row_id"), "coef",
+        F.col("reviewed_at").alias("created_at"), F.col("card_id").alias("row_id"),
     )
-    # only an owner's newest corrections can stay in any tier, so only theirs are computed
-    new = first_n(new, ["ref_id"], [F.desc("created_at"), F.desc("row_id")], p.user_validated_cap).drop("rn")
-    return log, cap_newest(index.unionByName(fingerprint_rows(new)), p.user_validated_cap)
+    new = materialise(first_n(new, ["ref_id"], [F.desc("created_at"), F.desc("row_id")], p.user_validated_cap).drop("rn"), "corrections-newest")
+    wanted = crops.select(F.col("card_id").alias("row_id"), "coef").join(new.select("row_id"), "row_id", "left_semi")
+    return log, cap_newest(index.unionByName(fingerprint_rows(new.join(wanted, "row_id").select(*new.columns, "coef"))), p.user_validated_cap)
 
 
 # Status events of exports and of items, as event -> (allowed current states, new state).

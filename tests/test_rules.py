@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n, running_total
 from entityflow.operators import collection, evaluate, gates, index, layout, prices, quotas, reviews
-from entityflow.params import AuthParams, QuotaParams
+from entityflow.params import AuthParams, HashParams, QuotaParams
 from entityflow.sources import blocklist, catalog, reports, storage
 from entityflow.streaming import changes, jobs
 
@@ -641,3 +641,18 @@ def test_outlines_beyond_the_looped_ones_are_kept_apart(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == [(0, 0)] + [(p, 2 * i) for p in (1, 2) for i in range(200)]
+
+
+def test_only_newest_corrections_need_coefficients(spark):
+    corrections = spark.createDataFrame(
+        [("c0", 1, 2, at(0)), ("c1", 1, 2, at(1)), ("c1", 1, 2, at(2)), ("c2", 1, 2, at(3)), ("c9", 1, 2, at(9))],
+        "card_id string, predicted_ref_id bigint, actual_ref_id bigint, reviewed_at timestamp_ntz")
+    # the crop of c0 cannot give coefficients, that of c3 no hash, and c9 has no crop
+    k = F.col("card_id")
+    crops = spark.createDataFrame([(c,) for c in ("c0", "c1", "c2", "c3")], "card_id string").select(
+        k, F.when(k == "c3", F.raise_error(F.lit("hash"))).otherwise(F.concat(k, F.lit("#"))).alias("crop_hash"),
+        F.when(k == "c0", F.raise_error(F.lit("coefficients"))).otherwise(F.array(*[F.lit(float(i * 7 % 64)) for i in range(64)])).alias("coef"))
+    empty = spark.createDataFrame([], "ref_id bigint, source string, created_at timestamp_ntz, row_id string, hash_type string, hash_bits bigint")
+    log, kept = reviews.correction_rows(corrections, crops, empty, HashParams(user_validated_cap=2))
+    assert sorted((r.card_id, r.crop_hash) for r in log.collect()) == [("c0", "c0#"), ("c1", "c1#"), ("c1", "c1#"), ("c2", "c2#")]
+    assert {(r.row_id, r.created_at) for r in kept.collect()} == {("c2", at(3)), ("c1", at(2))} and kept.count() == 10
