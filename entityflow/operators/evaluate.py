@@ -30,19 +30,23 @@ def metrics(rows: DataFrame) -> DataFrame:
     and rates 0.0."""
     staged = rows.withColumn("stage", F.coalesce("accepted_stage", F.lit("none")))
     accepted = F.col("outcome").isin("auto_accepted_correct", "auto_accepted_WRONG")
-    total = F.count(F.lit(1))
-    rate = lambda n: F.coalesce(F.bround(n / F.when(total > 0, total), 4), F.lit(0.0))
-    hits = F.count_if(F.col("accepted_stage") == "h")
+    # counted once by all three: both aggregates below read the same few counts, so the rows are not scored twice
+    counts = staged.groupBy("scenario", "finish", "stage").agg(
+        F.count(F.lit(1)).alias("_total"), F.count_if(accepted).alias("_accepted"),
+        F.count_if(F.col("outcome") == "auto_accepted_WRONG").alias("_wrong"), F.count_if(F.col("accepted_stage") == "h").alias("_hits"),
+    )
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    total = n("_total")
+    rate = lambda c: F.coalesce(F.bround(n(c) / F.when(total > 0, total), 4), F.lit(0.0))
     split = F.when(F.grouping("scenario") == 0, "scenario").when(F.grouping("finish") == 0, "finish").otherwise("stage")
     figures = [
-        total.alias("total"), F.count_if(accepted).alias("auto_accepted"),
-        F.count_if(F.col("outcome") == "auto_accepted_WRONG").alias("wrong"),
-        rate(F.count_if(accepted)).alias("auto_accept_rate"), rate(hits).alias("hash_tier_hit_rate"),
+        total.alias("total"), n("_accepted").alias("auto_accepted"), n("_wrong").alias("wrong"),
+        rate("_accepted").alias("auto_accept_rate"), rate("_hits").alias("hash_tier_hit_rate"),
     ]
     sets = [[F.col("scenario")], [F.col("finish")], [F.col("stage")]]
-    parts = staged.groupingSets(sets, "scenario", "finish", "stage").agg(split.alias("split"), *figures)
+    parts = counts.groupingSets(sets, "scenario", "finish", "stage").agg(split.alias("split"), *figures)
     # grouping sets over no rows give no row, so the overall row is an aggregate of its own
-    whole = staged.agg(*figures).select(F.lit("all").alias("split"), F.lit("all").alias("value"), "*")
+    whole = counts.agg(*figures).select(F.lit("all").alias("split"), F.lit("all").alias("value"), "*")
     return whole.unionByName(parts.select("split", F.coalesce("scenario", "finish", "stage").alias("value"), *whole.columns[2:]))
 
 

@@ -172,10 +172,11 @@ _SCORED_SQL = f"""(SELECT m.file, m.pos, m.scenario, coalesce(m.finish, 'unknown
 
 
 def _scored(t: Tables):
-    per_photo = Window.partitionBy("photo_id").orderBy("card_id")
-    placed = t.cards.select(
-        "card_id", F.col("photo_id").alias("file"), (F.row_number().over(per_photo) - 1).alias("pos"), "scenario", "finish",
-        F.col("card_ref_id").alias("expected"), "suppkey",
+    # ordered by every column: equal cards get the same positions in both tables, and both read the same dealt rows
+    columns = ["card_id", "scenario", "finish", "card_ref_id", "suppkey"]
+    per_photo = Window.partitionBy("photo_id").orderBy(*columns)
+    placed = t.cards.select("photo_id", *columns).withColumn("pos", F.row_number().over(per_photo) - 1).select(
+        "card_id", F.col("photo_id").alias("file"), "pos", "scenario", "finish", F.col("card_ref_id").alias("expected"), "suppkey",
     )
     idents = cascade.decide(t.methods).withColumnRenamed("item_id", "card_id").select("card_id", "ref_id", "stage")
     got = placed.where(F.col("suppkey") % 10 != 0).select("card_id", "file", "pos").join(idents, "card_id")

@@ -656,3 +656,21 @@ def test_only_newest_corrections_need_coefficients(spark):
     log, kept = reviews.correction_rows(corrections, crops, empty, HashParams(user_validated_cap=2))
     assert sorted((r.card_id, r.crop_hash) for r in log.collect()) == [("c0", "c0#"), ("c1", "c1#"), ("c1", "c1#"), ("c2", "c2#")]
     assert {(r.row_id, r.created_at) for r in kept.collect()} == {("c2", at(3)), ("c1", at(2))} and kept.count() == 10
+
+
+def test_metrics_score_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kinds = "file string, pos int, scenario string, finish string, expected int, got int, accepted_stage string, outcome string"
+    rows = spark.createDataFrame([
+        ("f", 0, "s", "x", 1, 1, "h", "auto_accepted_correct"), ("f", 1, "s", "y", 1, 2, "llm", "auto_accepted_WRONG"),
+        ("g", 0, "t", "y", 1, None, None, "missed_detection")], kinds)
+    got = {(r.split, r.value): tuple(r)[2:] for r in evaluate.metrics(rows.mapInArrow(count, kinds)).collect()}
+    assert seen.value == 3
+    assert got["all", "all"] == (3, 2, 1, 0.6667, 0.3333) and got["scenario", "s"] == (2, 2, 1, 1.0, 0.5)
+    assert got["finish", "y"] == (2, 1, 1, 0.5, 0.0) and got["stage", "none"] == (1, 0, 0, 0.0, 0.0) and len(got) == 8
