@@ -71,11 +71,11 @@ def read_manifest(spark: SparkSession, path: str, one_per_file: bool = True) ->
 
 
 def write_run(rows: DataFrame, metrics: DataFrame, path: str, baseline_path: str | None = None) -> bool:
-    """Write rows and metrics; with ``baseline_path`` also the new baseline, unless an item was wrongly accepted.
+    """Write rows (gzip) and metrics; with ``baseline_path`` also the new baseline, unless an item was wrongly accepted.
 
     ``rows`` should be a written table (as ``evaluate`` gives them), as both outputs read it. Returns whether the baseline was written.
     """
-    rows.write.mode("overwrite").json(f"{path}/rows")
+    rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/rows")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
     if baseline_path is None:
         return False
