@@ -27,22 +27,21 @@ def _(t):
     return reports.read_collection_csv(t.spark, path)
 
 
-def _placed(t: Tables):
-    at = Window.partitionBy("photo_id").orderBy("card_id")
-    return t.cards.select("card_id", F.col("photo_id").alias("file"), (F.row_number().over(at) - 1).alias("crop_index"))
-
-
 @query("sink_scan_json", "v_cards v_wide v_methods v_refs", f"""
     WITH decided AS MATERIALIZED (SELECT * FROM {decide_sql()}), cand AS {CANDIDATES_SQL.replace('METHODS', 'v_methods').replace('DECIDED', 'decided')}
     SELECT c.photo_id AS file, row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1 AS crop_index, d.ref_id AS card_ref_id, r.name, d.confidence,
            d.stage AS accepted_stage, CAST((row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1) % 4 * 90 AS INTEGER) AS rotation, array_to_string(d.ran, '') AS methods, coalesce(cand.candidates, '') AS candidates
     FROM v_cards c JOIN decided d ON d.item_id = c.card_id LEFT JOIN v_refs r ON r.id = d.ref_id LEFT JOIN cand ON cand.item_id = c.card_id""", types={"crop_index": "INTEGER"})
 def _(t):
-    decisions = cascade.decide(t.methods).withColumnRenamed("item_id", "card_id")
-    turned = _placed(t).withColumn("rotation", (F.col("crop_index") % 4 * 90).cast("int"))
-    report = reports.scan_report(turned.join(decisions, "card_id"), t.refs)
+    # places are counted behind the join with the votes, so that rows are dealt by photo once, for the places and the report, and
+    # decided there; a card without votes has its place, but is not reported
+    at = Window.partitionBy("photo_id").orderBy("card_id")
+    votes = t.cards.select("card_id", "photo_id").join(cascade.wide_methods(t.methods), F.col("card_id") == F.col("item_id"), "left")
+    placed = votes.withColumn("crop_index", F.row_number().over(at) - 1).where(F.col("item_id").isNotNull())
+    decisions = cascade.decide_wide(placed).withColumnRenamed("photo_id", "file")
+    report = reports.scan_report(decisions.withColumn("rotation", (F.col("crop_index") % 4 * 90).cast("int")), t.refs)
     path = storage.scratch(t.spark, "scan-report")
-    report.write.json(path)
+    report.write.option("compression", "gzip").json(path)
     cards = t.spark.read.schema(reports.REPORT_SCHEMA).json(path).select("file", F.explode("cards").alias("c")).select("file", "c.*")
     return cards.select(
         "file", "crop_index", "card_ref_id", "name", "confidence", "accepted_stage", "rotation",
