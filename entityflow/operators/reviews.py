@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from entityflow.functions.ranking import first_n, newest
+from entityflow.functions.ranking import first_n
 from entityflow.operators.index import cap_newest, fingerprint_rows
 from entityflow.params import RESOLVED, HashParams
 from entityflow.sources.storage import materialise
@@ -77,14 +77,15 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Data
     stepped = reviews.select(
         "card_id", "chosen_ref", "reviewed_at", F.lag(F.struct("chosen_ref")).over(line).alias("_before"),
         F.last("chosen_finish", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("chosen_finish"),
+        F.lit(True).alias("_step"), F.lead(F.lit(True)).over(line).isNull().alias("_last"),
     )
-    last = newest(stepped, ["card_id"], ["reviewed_at"])
-    joined = cards.join(last, "card_id", "left")
+    # one row per item and review, read by the corrections, the groups and the result
+    joined = materialise(cards.join(stepped, "card_id", "left"), "reviewed-items")
     seen = F.col("reviewed_at").isNotNull()
     predicted = F.when(F.col("_before").isNotNull(), F.col("_before.chosen_ref")).otherwise(F.col("card_ref_id"))
     right = F.col("chosen_ref").eqNullSafe(predicted)
     given = seen & F.col("chosen_finish").isNotNull()
-    updated = joined.select(
+    updated = joined.where(F.col("_step").isNull() | F.col("_last")).select(
         *[c for c in cards.columns if c not in ("card_ref_id", "status", "finish", "finish_needs_confirmation")],
         "reviewed_at",
         F.when(seen, F.col("chosen_ref")).otherwise(F.col("card_ref_id")).alias("card_ref_id"),
@@ -92,17 +93,29 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Data
         F.when(given, F.col("chosen_finish")).otherwise(F.col("finish")).alias("finish"),
         (F.col("finish_needs_confirmation") & ~given).alias("finish_needs_confirmation"),
     )
-    corrections = stepped.join(cards.select("card_id", "card_ref_id"), "card_id").select(
+    corrections = joined.where(F.col("_step")).select(
         "card_id", predicted.alias("predicted_ref_id"), F.col("chosen_ref").alias("actual_ref_id"), "reviewed_at"
     )
     member = F.col("status").isin(*RESOLVED) & F.col("card_ref_id").isNotNull()
     order = F.struct(seen, F.coalesce("reviewed_at", "created_at"), F.col("card_id"))
-    groups = updated.where(member).groupBy(*_GROUP).agg(
-        F.min_by("card_id", order).alias("_keep"), F.min(seen).alias("_all_new"),
-        (F.count_if(seen) + F.when(F.min(seen), 0).otherwise(1)).alias("_n"),
-    )
-    merged = _collapse(updated, groups.where(F.col("_n") > 1), member, seen)
-    return merged.select(*cards.columns), corrections
+    groups = materialise(updated.where(member).groupBy(*_GROUP).agg(
+        F.min_by("card_id", order).alias("_keep"), (F.count_if(seen) + F.when(F.min(seen), 0).otherwise(1)).alias("_n"),
+    ).where(F.col("_n") > 1), "review-groups")
+    # only the kept item of a group and its reviewed ones change: they are found by group and sent to the rows by item, so
+    # that the rows themselves are dealt by item only
+    gone = updated.where(member & seen).alias("c").join(groups.alias("g"), _same_group("c", "g")).where(
+        F.col("g._keep") != F.col("c.card_id")).select("c.card_id", *[f"c.{k}" for k in _GROUP], F.lit(None).cast("bigint").alias("_n"))
+    kept = groups.select(F.col("_keep").alias("card_id"), *_GROUP, "_n")
+    changes = kept.unionByName(gone).groupBy("card_id").agg(F.collect_set(F.struct(*_GROUP, "_n")).alias("_changes"))
+    mine = F.filter("_changes", lambda x: (
+        (x["batch_id"] == F.col("batch_id")) & (x["card_ref_id"] == F.col("card_ref_id")) & x["finish"].eqNullSafe(F.col("finish"))))
+    merged = updated.join(changes, "card_id", "left").withColumn("_change", F.when(member, F.get(mine, F.lit(0))))
+    keeps, goes = F.col("_change._n").isNotNull(), F.col("_change").isNotNull() & F.col("_change._n").isNull() & seen
+    changed = {
+        "quantity": F.when(keeps, F.col("quantity") + (F.col("_change._n") - 1).cast("int")).when(goes, F.lit(0)).otherwise(F.col("quantity")),
+        "status": F.when(goes, F.lit("merged")).otherwise(F.col("status")),
+    }
+    return merged.select(*[changed.get(c, F.col(c)).alias(c) for c in cards.columns]), corrections
 
 
 def correction_rows(corrections: DataFrame, crops: DataFrame, index: DataFrame, p: HashParams = HashParams()) -> tuple[DataFrame, DataFrame]:

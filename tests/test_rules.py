@@ -674,3 +674,35 @@ def test_metrics_score_rows_once(spark):
     assert seen.value == 3
     assert got["all", "all"] == (3, 2, 1, 0.6667, 0.3333) and got["scenario", "s"] == (2, 2, 1, 1.0, 0.5)
     assert got["finish", "y"] == (2, 1, 1, 0.5, 0.0) and got["stage", "none"] == (1, 0, 0, 0.0, 0.0) and len(got) == 8
+
+
+def test_reviews_read_their_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    # b is there twice and goes with both rows; the one of another batch and the item without a name stay as they are
+    rows = [("a", 1, "x", None, 1, "auto", at(1), False), ("b", 1, "x", None, 1, "validation", at(0), True), ("b", 1, "x", None, 3, "validation", at(0), True),
+            ("b", 2, "x", None, 1, "validation", at(0), True), (None, 1, "x", None, 1, "auto", at(9), False), ("c", 1, "y", "foil", 1, "auto", at(0), False)]
+    cards = spark.createDataFrame(rows, CARD).mapInArrow(count, CARD)
+    given = spark.createDataFrame([("b", "x", None, at(5)), ("c", "z", None, at(1)), ("c", "y", None, None)], "card_id string, chosen_ref string, chosen_finish string, reviewed_at timestamp_ntz")
+    out, log = reviews.apply_reviews(cards, given)
+    got = sorted((r.card_id or "", r.batch_id, r.card_ref_id, r.status, r.quantity) for r in out.collect())
+    assert got == [("", 1, "x", "auto", 1), ("a", 1, "x", "auto", 3), ("b", 1, "x", "merged", 0), ("b", 1, "x", "merged", 0),
+                   ("b", 2, "x", "validated", 1), ("c", 1, "z", "corrected", 1)]
+    assert sorted(r.card_id for r in log.collect()) == ["b", "b", "b", "c", "c"]
+    assert seen.value == len(rows)
+
+
+def test_reports_are_compressed(spark, tmp_path, monkeypatch):
+    from entityflow.plans import QUERIES
+
+    made = []
+    monkeypatch.setattr(storage, "scratch", lambda _spark, name: made.append(str(tmp_path / name)) or made[-1])
+    for query in ("sink_scan_json", "sink_eval_run"):
+        assert QUERIES[query](spark, "/root/testdata/sf0.001").count()
+    parts = [p for d in ("scan-report", "eval-run/rows") for p in (tmp_path / d).glob("part-*")]
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
