@@ -15,7 +15,7 @@ with probability ``1 - (1 - s ** deep) ** parts``, 0.88 at 0.8, in each of the t
 average. Those turns only save work: sets whose large buckets still hold more than one component are then joined exactly.
 Of two sets at the similarity each has a shingle of the other among its first ``n - similarity * n + 1`` ones in any one
 order; in the order of their number, shingles that texts have in common by a template come last. Every pair of different
-components that shares such a shingle is judged, so no pair that meets in a bucket is left out. Buckets are joins and
+components that shares such a shingle, early enough in both for the similarity to be reached by what follows, is judged, so no pair that meets in a bucket is left out. Buckets are joins and
 partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
 
 Edge cases: NULL and wordless texts have the empty set and are one; fewer words than a shingle make one shingle of all
@@ -143,8 +143,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
 
 
 def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
-    """(token, s, n, root) of the shingles by which sets (s, root) of different components can be alike: of each set the
-    first ones in one order of all, those of a single component before the rare ones."""
+    """(token, s, n, root, at) of the shingles by which sets (s, root) of different components can be alike: of each set the
+    first ones in one order of all, those of a single component before the rare ones; ``at`` is the place there, from 1."""
     tokens = asked.join(sets, "s").select("s", "root", F.size("found").alias("n"), F.explode("found").alias("token"))
     tokens = materialise(tokens, "near-tokens")
     held = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("root").alias("a"), F.max("root").alias("z"))
@@ -152,7 +152,18 @@ def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFra
     turn = Window.partitionBy("s").orderBy(F.coalesce("f", F.lit(0)), "token")
     first = F.col("n") - F.floor(F.lit(p.similarity) * F.col("n")) + 1
     ranked = tokens.join(held, "token", "left").withColumn("at", F.row_number().over(turn))
-    return ranked.where((F.col("at") <= first) & F.col("f").isNotNull()).select("token", "s", "n", "root")
+    return ranked.where((F.col("at") <= first) & F.col("f").isNotNull()).select("token", "s", "n", "root", "at")
+
+
+def _maybe_alike(first: DataFrame, p: NearParams) -> DataFrame:
+    """The pairs (a, b) of different components that have a first shingle in common with enough behind it in both sets."""
+    other = first.select("token", F.col("s").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("at").alias("to"))
+    worth = F.least("n", "m") >= p.similarity * F.greatest("n", "m")
+    # sets at the similarity have this many shingles in common, none of them before the first; the rest is for rounding
+    common = p.similarity / (1 + p.similarity) * (F.col("n") + F.col("m")) - 0.001
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + 1 >= common
+    met = first.join(other, "token").where((F.col("s") < F.col("b")) & (F.col("root") != F.col("of")) & worth & enough)
+    return met.select(F.col("s").alias("a"), "b").distinct()
 
 
 class _Links:
@@ -207,10 +218,7 @@ class _Links:
         if asked.isEmpty():
             return
         first = materialise(_first_shingles(asked, self.sets, self.p), "near-first")
-        other = first.select("token", F.col("s").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-        worth = F.least("n", "m") >= self.p.similarity * F.greatest("n", "m")
-        met = first.join(other, "token").where((F.col("s") < F.col("b")) & (F.col("root") != F.col("of")) & worth)
-        self.compare(met.select(F.col("s").alias("a"), "b").distinct())
+        self.compare(_maybe_alike(first, self.p))
 
 
 def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:

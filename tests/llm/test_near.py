@@ -100,3 +100,10 @@ def test_pairs_that_no_leader_is_part_of_are_found(spark):
     # one MinHash value makes buckets of nearly all; splitting them by many values finds nothing
     got = near.one_of_each(docs, p=near.NearParams(rows=1, bands=4, few=2, parts=1, deep=40))
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
+
+
+def test_a_late_common_shingle_makes_no_pair(spark):
+    # of 100 shingles each, 89 have to be common: the first of them is the 12th at the latest
+    rows = [(1, 10, 100, 10, 12), (1, 11, 100, 11, 12), (2, 20, 100, 20, 13), (2, 21, 100, 21, 12), (3, 30, 80, 30, 1), (3, 31, 100, 31, 21), (4, 40, 1, 40, 1), (4, 41, 1, 41, 1)]
+    first = spark.createDataFrame(rows, "token bigint, s bigint, n int, root bigint, at int")
+    assert sorted((r.a, r.b) for r in near._maybe_alike(first, near.NearParams()).collect()) == [(10, 11), (30, 31), (40, 41)]
