@@ -9,8 +9,8 @@ A bucket's members are compared with leading ones: those that share most buckets
 first, for a text that many near copies were made from meets each of them more often than they meet one another. The first
 ``rounds`` turns have one leader, the next has ``few``, so that smaller buckets are compared pair by pair. Buckets of more
 members than that, in more than one component, are then split by ``parts`` keys of ``deep`` further MinHash values each and
-led by ``few`` once more. A turn makes one row per member and bucket, and per member as many pairs as its buckets have
-different leaders (at most ``few`` each). A split keeps a pair at similarity s together
+led by ``few`` once more. A turn makes one row per member and bucket, and per member as many pairs as its small buckets have
+different leaders (at most ``few`` each) and ``few`` for all its large ones. A split keeps a pair at similarity s together
 with probability ``1 - (1 - s ** deep) ** parts``, 0.88 at 0.8, in each of the ten buckets that such a pair shares on
 average. Those turns only save work: sets whose large buckets still hold more than one component are then joined exactly.
 Of two sets at the similarity each has a shingle of the other among its first ``n - similarity * n + 1`` ones in any one
@@ -18,6 +18,9 @@ order; in the order of their number, shingles that texts have in common by a tem
 components that shares such a shingle, early enough in both for the similarity to be reached by what follows, is judged, so no pair that meets in a bucket is left out. Buckets are joins and
 partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
 
+``copied`` only asks which documents are a copy at all. It takes the same steps but for the split, with all that is settled as
+one component: what has a copy need not meet another, and no components are searched.
+
 Edge cases: NULL and wordless texts have the empty set and are one; fewer words than a shingle make one shingle of all
 words; repeated rows are one document.
 """
@@ -30,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityflow.functions.ranking import first_n
@@ -113,8 +116,8 @@ def hashed(df: DataFrame, p: NearParams) -> DataFrame:
     return df.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, s bigint, n bigint, keys array<bigint>")
 
 
-def _sets(df: DataFrame, p: NearParams) -> DataFrame:
-    """(s, found, keys) of each row of (s, text): the set, and the keys by which its buckets are split."""
+def _sets(df: DataFrame, p: NearParams, keyed: bool = True) -> DataFrame:
+    """(s, found, keys) of each row of (s, text): the set, and (if ``keyed``) the keys by which its buckets are split."""
     by, parts = _constants(p.parts * p.deep, 5), _constants(p.deep, 3)
 
     def split(found: np.ndarray) -> np.ndarray:
@@ -127,7 +130,7 @@ def _sets(df: DataFrame, p: NearParams) -> DataFrame:
                 found = [shingles(t, p.shingle, seen) for t in part.column("text").to_pylist()]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("s"), pa.array([x.view(np.int64) for x in found], longs), pa.array([split(x) for x in found], longs)],
+                    [part.column("s"), pa.array([x.view(np.int64) for x in found], longs), pa.array([split(x) if keyed else None for x in found], longs)],
                     ["s", "found", "keys"])
 
     return df.mapInArrow(run, "s bigint, found array<bigint>, keys array<bigint>")
@@ -157,13 +160,16 @@ def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFra
 
 def _maybe_alike(first: DataFrame, p: NearParams) -> DataFrame:
     """The pairs (a, b) of different components that have a first shingle in common with enough behind it in both sets."""
+    # sets at the similarity have this share of both sizes in common, none of it before the first; the rest is for rounding
+    share, rounding = p.similarity / (1 + p.similarity), 0.001
+    # of the smaller set fewer shingles do, as the other is as large at least
+    small = first.where(F.col("at") <= F.col("n") + 1 - 2 * share * F.col("n") + rounding)
     other = first.select("token", F.col("s").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("at").alias("to"))
-    worth = F.least("n", "m") >= p.similarity * F.greatest("n", "m")
-    # sets at the similarity have this many shingles in common, none of them before the first; the rest is for rounding
-    common = p.similarity / (1 + p.similarity) * (F.col("n") + F.col("m")) - 0.001
-    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + 1 >= common
-    met = first.join(other, "token").where((F.col("s") < F.col("b")) & (F.col("root") != F.col("of")) & worth & enough)
-    return met.select(F.col("s").alias("a"), "b").distinct()
+    larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("s") < F.col("b")))
+    worth = F.col("n") >= p.similarity * F.col("m")
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) + 1 >= share * (F.col("n") + F.col("m")) - rounding
+    met = small.join(other, "token").where(larger & (F.col("root") != F.col("of")) & worth & enough)
+    return met.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct()
 
 
 class _Links:
@@ -191,25 +197,39 @@ class _Links:
         pairs = materialise(pairs, "near-pairs")
         new = materialise(_alike(pairs, self.sets, self.p), "near-links")
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        self.roots = stars(new if self.roots is None else self.roots.union(new))
+        if self.roots is None or not new.isEmpty():
+            self.keep(new)
+
+    def keep(self, links: DataFrame) -> None:
+        self.roots = stars(links if self.roots is None else self.roots.union(links))
 
     def lead(self, now: DataFrame, leaders: int) -> None:
         """Compare rooted members with the leading ones of their buckets.
 
         A bucket's leaders travel as one array, so a member makes one row per bucket; the leaders of all its buckets are
-        put together, each once, before they become pairs.
+        put together, each once, before they become pairs. With several leaders, those of buckets with more members than
+        that are cut to as many for all such buckets of a member: the ones with the highest score.
         """
         best = [F.desc("score"), F.xxhash64("s", "bucket")]
         own = first_n(now, ["bucket", "root"], best, leaders, "_nth")
         heads = first_n(own, ["bucket"], [F.col("_nth"), *best], leaders).groupBy("bucket").agg(
-            F.collect_list(F.struct("s", "n", "root")).alias("heads"))
+            F.collect_list(F.struct("s", "n", "root", "score")).alias("heads"))
 
         def worth(h):
             return (h["root"] != F.col("root")) & (F.least(h["n"], F.col("n")) >= self.p.similarity * F.greatest(h["n"], F.col("n")))
 
-        met = now.join(heads, "bucket").select("s", F.transform(F.filter("heads", worth), lambda h: h["s"]).alias("heads"))
-        met = met.where(F.size("heads") > 0).groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
-        pairs = met.select("s", F.explode("heads").alias("t")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+        met = now.join(heads, "bucket").select(
+            "s", "size", F.transform(F.filter("heads", worth), lambda h: F.struct(h["score"].alias("score"), h["s"].alias("s"))).alias("heads"))
+        whole = F.lit(leaders == 1) | (F.col("size") <= leaders)
+
+        def together(of: Column) -> Column:
+            return F.array_distinct(F.flatten(F.collect_list(F.when(of, F.col("heads")))))
+
+        met = met.where(F.size("heads") > 0).groupBy("s").agg(together(whole).alias("all"), together(~whole).alias("some"))
+        some = F.slice(F.sort_array("some", asc=False), 1, leaders)
+        heads = F.array_distinct(F.transform(F.concat("all", some), lambda h: h["s"]))
+        pairs = met.select("s", heads.alias("heads")).select("s", F.explode("heads").alias("t")).select(
+            F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
         self.compare(pairs.distinct())
 
     def join_rest(self, member: DataFrame, few: int) -> None:
@@ -221,18 +241,41 @@ class _Links:
         self.compare(_maybe_alike(first, self.p))
 
 
+class _Settled(_Links):
+    """The same with all sets that need no further copy as one component."""
+
+    def __init__(self, sets: DataFrame, settled: DataFrame, p: NearParams):
+        super().__init__(sets, p)
+        self.roots = settled.select(F.col("s").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def keep(self, links: DataFrame) -> None:
+        ends = links.select("a").union(links.select("b")).select("a", F.lit(0).cast("long").alias("b"))
+        self.roots = materialise(self.roots.union(ends).distinct(), "near-settled")
+
+
+def _members(one: DataFrame, wanted: str = "true") -> DataFrame:
+    """(s, n, score, bucket) of the sets (s, n, keys) that share a bucket with another, where one of the bucket is wanted."""
+    at = one.select("s", "n", F.expr(wanted).alias("wanted"), F.posexplode("keys").alias("band", "key"))
+    at = at.select("s", "n", "wanted", F.xxhash64("band", "key").alias("bucket"))
+    shared = at.groupBy("bucket").agg((F.count("*") - 1).alias("others"), F.max("wanted").alias("any")).where("others > 0 and any")
+    member = materialise(at.drop("wanted").join(shared.drop("any"), "bucket"), "near-shared")
+    score = member.groupBy("s").agg(F.sum("others").alias("score"))
+    return materialise(member.drop("others").join(score, "s"), "near-members")
+
+
+def _shingled(one: DataFrame, member: DataFrame, texts: DataFrame, p: NearParams, keyed: bool = True) -> DataFrame:
+    """(s, found, keys) of the members, from one text (h1, h2) each."""
+    wanted = one.join(member, "s", "left_semi").select("s", "h1", "h2")
+    sets = texts.join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("s", "text")
+    return materialise(_sets(sets, p, keyed), "near-shingles")
+
+
 def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """(s, root) of the sets with near copies, but for the least set of each component. ``docs``: (h1, h2, s, n, keys); ``texts``: (h1, h2, text)."""
     one = materialise(
         docs.groupBy("s").agg(F.min(F.struct("h1", "h2", "n", "keys")).alias("o")).select("s", "o.*"), "near-sets")
-    at = one.select("s", "n", F.posexplode("keys").alias("band", "key")).select("s", "n", F.xxhash64("band", "key").alias("bucket"))
-    shared = at.groupBy("bucket").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    member = materialise(at.join(shared, "bucket"), "near-shared")
-    score = member.groupBy("s").agg(F.sum("others").alias("score"))
-    member = materialise(member.drop("others").join(score, "s"), "near-members")
-    wanted = one.join(score, "s", "left_semi").select("s", "h1", "h2")
-    sets = texts.join(wanted, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("s", "text")
-    sets = materialise(_sets(sets, p), "near-shingles")
+    member = _members(one)
+    sets = _shingled(one, member, texts, p)
 
     links = _Links(sets, p)
     for _ in range(p.rounds):
@@ -246,6 +289,25 @@ def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     return links.roots.select(F.col("a").alias("s"), F.col("b").alias("root"))
 
 
+def copied(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """(id) of the documents marked ``asked`` that have another document's set or one at the similarity. ``docs``: (id, h1, h2,
+    s, n, keys, asked), of different texts; ``texts``: (h1, h2, text)."""
+    one = docs.groupBy("s").agg(
+        F.min(F.struct("h1", "h2", "n", "keys")).alias("o"), (F.max("asked") & (F.count("*") == 1)).alias("open"),
+        (F.count("*") > 1).alias("equal"))
+    one = materialise(one.select("s", "o.*", "open", "equal"), "near-sets")
+    member = _members(one, "open")
+    sets = _shingled(one, member, texts, p, keyed=False)
+
+    links = _Settled(sets, one.where("not open"), p)
+    for _ in range(p.rounds):
+        links.lead(links.rooted(member), 1)
+    links.lead(links.rooted(member), p.few)
+    links.join_rest(member, p.few)
+    done = one.join(links.roots, F.col("s") == F.col("a"), "left_semi").where("open or equal").select("s")
+    return docs.where("asked").join(done, "s", "left_semi").select("id")
+
+
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p: NearParams = NearParams()) -> DataFrame:
     """One row of each group that chains of near copies join, with all its columns: the one with the smallest id (NULL
     last), then text hash. Rows equal in id and text are one document, of which one row stays."""

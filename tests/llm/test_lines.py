@@ -125,3 +125,25 @@ def test_copies_stay_whole_however_many_others_share_their_lines(spark):
     copies = [(1000 + i, "\n".join([*notice, "these words close the whole " + "xy"[i]]), "en", "a", 0) for i in range(2)]
     got = {r.doc_id: r.n_dropped_lines for r in lines.drop_recurring(spark.createDataFrame(rows + copies, DOCS)).collect()}
     assert got == {**{i: 1 for i, *_ in rows}, 1000: 0, 1001: 0}
+
+
+def test_lines_are_counted_without_a_shuffle_of_all(spark):
+    """Leaves, bodies and templates that are few are looked up in tasks: no join of all lines, which grew by a power of 1.29."""
+    docs = spark.createDataFrame([(i, prose(i) + "\nAll content on this site is free to read", "en", "a", 0) for i in range(12)], DOCS)
+    p = lines.TemplateParams()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = lines.parse(docs, "text", "doc_id", p.depth).localCheckpoint()
+        found = lines.templates(docs, parsed, "text", "doc_id", p)
+        assert found.select("template", "docs").collect() == [("All content on this site is free to read", 12)]
+        # only templates and their counts are joined; the lines were joined with the shapes before
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_looked_up(spark):
+    known = np.array([-4, 2, 9])
+    found = spark.createDataFrame([(9,), (3,), (-4,), (10,)], "x bigint").select(
+        lines.held(known)("x").alias("held"), lines.looked_up(known, np.array([1, -2, 3]))("x").alias("value"))
+    assert [tuple(r) for r in found.collect()] == [(True, 3), (False, None), (True, 1), (False, None)]

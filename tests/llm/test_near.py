@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import DOCS, awkward, nothing
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from entityflow.llm import near
@@ -107,3 +108,32 @@ def test_a_late_common_shingle_makes_no_pair(spark):
     rows = [(1, 10, 100, 10, 12), (1, 11, 100, 11, 12), (2, 20, 100, 20, 13), (2, 21, 100, 21, 12), (3, 30, 80, 30, 1), (3, 31, 100, 31, 21), (4, 40, 1, 40, 1), (4, 41, 1, 41, 1)]
     first = spark.createDataFrame(rows, "token bigint, s bigint, n int, root bigint, at int")
     assert sorted((r.a, r.b) for r in near._maybe_alike(first, near.NearParams()).collect()) == [(10, 11), (30, 31), (40, 41)]
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_copied_against_all_pairs(spark, few):
+    """Texts with an equal set or another at the similarity, without components; only those asked for are told."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(300)]
+    rows = planted(8) + [(1000 + i, " ".join(edited(rng, base, 9))) for i in range(25)]
+    rows += [(2000, rows[0][1].upper())]
+    sets, p = {i: brute_shingles(t) for i, t in rows}, near.NearParams(few=few)
+    alike = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    expected = {i for i, x in sets.items() if i % 3 and any(alike(x, y) for j, y in sets.items() if i != j)}
+    texts = spark.createDataFrame([(i, i, -i, t.encode()) for i, t in rows], "id bigint, h1 bigint, h2 bigint, text binary")
+    docs = near.hashed(texts, p).withColumn("asked", F.col("id") % 3 != 0).localCheckpoint()
+    got = near.copied(docs, texts.select("h1", "h2", "text"), p).collect()
+    assert sorted(r.id for r in got) == sorted(expected) and len(expected) > 20
+
+
+def test_large_buckets_give_a_member_few_pairs(spark):
+    """Sets that share many large buckets, each led by others, make few pairs a set, not few a bucket; small ones keep all."""
+    rng = random.Random(2)
+    rows = [(s, 10, rng.randrange(1000), b) for b in range(30) for s in rng.sample(range(100, 200), 40)]
+    rows += [(s, 10, 1, 100 + b) for b in range(5) for s in (1, 2 + b)]
+    now = spark.createDataFrame([(*r, r[0], 40 if r[3] < 100 else 2) for r in rows], "s bigint, n bigint, score bigint, bucket bigint, root bigint, size bigint")
+    links, pairs = near._Links(None, near.NearParams()), []
+    links.compare = lambda found: pairs.extend((r.a, r.b) for r in found.collect())
+    links.lead(now, 4)
+    assert {p for p in pairs if p[0] < 100} == {(1, 2 + b) for b in range(5)}
+    assert 0 < len([p for p in pairs if p[0] >= 100]) <= 4 * 100
