@@ -14,7 +14,8 @@ different leaders (at most ``few`` each) and ``few`` for all its large ones. A s
 with probability ``1 - (1 - s ** deep) ** parts``, 0.88 at 0.8, in each of the ten buckets that such a pair shares on
 average. Those turns only save work: sets whose large buckets still hold more than one component are then joined exactly.
 Of two sets at the similarity each has a shingle of the other among its first ``n - similarity * n + 1`` ones in any one
-order; in the order of their number, shingles that texts have in common by a template come last. Every pair of different
+order; in the order of their number, shingles that texts have in common by a template come last. That number is kept for
+``weights`` groups of shingles, so a set finds its first ones by itself and the others never become rows of a join. Every pair of different
 components that shares such a shingle, early enough in both for the similarity to be reached by what follows, is judged, so no pair that meets in a bucket is left out. Buckets are joins and
 partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
 
@@ -54,6 +55,7 @@ class NearParams:
     few: int = 8  # leading members of the turns after that
     parts: int = 4  # keys by which a bucket is split
     deep: int = 4  # MinHash values of such a key
+    weights: int = 1 << 18  # numbers (a power of two) by which shingles are put in order
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -145,17 +147,51 @@ def _alike(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     return common.where((total == 0) | (F.col("common") / F.when(total > 0, total) >= p.similarity)).select("a", "b")
 
 
+def _weights(held: DataFrame, p: NearParams) -> np.ndarray:
+    """How many sets hold the shared shingles (token, f) that end in the same bits: ``weights`` numbers at most, whatever the
+    input."""
+    ends = held.groupBy(F.col("token").bitwiseAND(F.lit(p.weights - 1)).alias("ends")).agg(F.sum("f").alias("f")).toArrow()
+    out = np.zeros(p.weights, np.int64)
+    out[ends.column("ends").to_numpy()] = ends.column("f").to_numpy()
+    return out
+
+
 def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     """(token, s, n, root, at) of the shingles by which sets (s, root) of different components can be alike: of each set the
-    first ones in one order of all, those of a single component before the rare ones; ``at`` is the place there, from 1."""
-    tokens = asked.join(sets, "s").select("s", "root", F.size("found").alias("n"), F.explode("found").alias("token"))
-    tokens = materialise(tokens, "near-tokens")
-    held = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("root").alias("a"), F.max("root").alias("z"))
-    held = held.where("a < z").select("token", "f")
-    turn = Window.partitionBy("s").orderBy(F.coalesce("f", F.lit(0)), "token")
-    first = F.col("n") - F.floor(F.lit(p.similarity) * F.col("n")) + 1
-    ranked = tokens.join(held, "token", "left").withColumn("at", F.row_number().over(turn))
-    return ranked.where((F.col("at") <= first) & F.col("f").isNotNull()).select("token", "s", "n", "root", "at")
+    first ones in one order of all, those of a single component before the rare ones; ``at`` is the place there, from 1.
+
+    The order is by the number of sets that hold a shingle, or another of the same weight, so each set is put in order by
+    itself and only its first shingles become rows; those that turn out to be of a single component are left out."""
+    found = asked.join(sets, "s").select("s", "root", "found")
+    held = found.select("root", F.explode("found").alias("token")).groupBy("token").agg(
+        F.count("*").alias("f"), F.min("root").alias("a"), F.max("root").alias("z"))
+    held = materialise(held.where("a < z").select("token", "f"), "near-held")
+    weight = _weights(held, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, token, size, at = [], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            lists = batch.column("found")
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                n = hi - lo
+                heavy = weight[values[lo:hi] & (p.weights - 1)]
+                shared = np.flatnonzero(heavy)
+                before = n - len(shared)  # of a single component for sure
+                take = min(len(shared), n - int(np.floor(p.similarity * n)) + 1 - before)
+                if take > 0:
+                    shared = shared[np.lexsort((values[lo:hi][shared], heavy[shared]))[:take]]
+                    row += [i] * take
+                    size += [n] * take
+                    token.append(values[lo:hi][shared])
+                    at.append(np.arange(before + 1, before + take + 1))
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(token)), batch.column("s").take(rows), pa.array(size, pa.int64()),
+                 batch.column("root").take(rows), pa.array(np.concatenate(at))],
+                ["token", "s", "n", "root", "at"])
+
+    return found.mapInArrow(run, "token bigint, s bigint, n bigint, root bigint, at bigint").join(held, "token", "left_semi")
 
 
 def _maybe_alike(first: DataFrame, p: NearParams) -> DataFrame:

@@ -137,3 +137,24 @@ def test_large_buckets_give_a_member_few_pairs(spark):
     links.lead(now, 4)
     assert {p for p in pairs if p[0] < 100} == {(1, 2 + b) for b in range(5)}
     assert 0 < len([p for p in pairs if p[0] >= 100]) <= 4 * 100
+
+
+@pytest.mark.parametrize("weights", [1, 1 << 18])
+def test_first_shingles_join_no_whole_sets(spark, weights):
+    """Sets find their first shingles by themselves: all shingles of all sets were rows of a join before. No pair is lost,
+    even where the order says nothing."""
+    rng = random.Random(7)
+    common = [rng.getrandbits(60) for _ in range(40)]
+    texts = [[*common, *[rng.getrandbits(60) for _ in range(k % 9)]] for k in range(30)] + [[rng.getrandbits(60) for _ in range(50)] for _ in range(10)]
+    sets = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate([*texts, []])], "s bigint, found array<bigint>")
+    asked = sets.select("s", (F.col("s") / 2).cast("long").alias("root"))
+    p = near.NearParams(weights=weights)
+    first = near._first_shingles(asked, sets, p)
+    assert "LeftOuter" not in first._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b) for r in near._maybe_alike(first, p).collect()}
+    alike = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a // 2 != b // 2
+             and len(set(texts[a]) & set(texts[b])) >= 0.8 * len(set(texts[a]) | set(texts[b]))}
+    assert len(alike) > 100 and alike <= got
+    rows = first.collect()
+    per_set = {r.s: (r.n, sum(x.s == r.s for x in rows)) for r in rows}
+    assert all(k <= n - int(0.8 * n) + 1 for n, k in per_set.values()) and not any(s >= 30 for s in per_set)
