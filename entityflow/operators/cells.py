@@ -23,6 +23,10 @@ from entityflow.sources.storage import materialise
 
 _SIMS = 400_000  # similarities of a tile: four arrays of 8 bytes each
 _SLACK = 1e-6  # of an angle, for rounding
+_DIGITS = 12  # of a similarity
+_WIDE = 2_048  # points of a tile
+_AGAIN = 8_192  # pairs multiplied again at a time
+_TOPS = 32  # groups of points for each of the nearest ones wanted
 
 
 @dataclass(frozen=True)
@@ -118,23 +122,61 @@ def _routed(queries: DataFrame, cells: Cells, kth: str | None) -> DataFrame:
     return queries.mapInArrow(run, f"item_id {types['item_id']}, vector {types['vector']}, cell int")
 
 
+def _best(r: np.ndarray, c: np.ndarray, s: np.ndarray, take: int) -> tuple[np.ndarray, ...]:
+    """Of (row, point, similarity) the ``take`` highest of each row, ties to the first point."""
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < take
+    return r[keep], c[keep], s[keep]
+
+
+def _reaching(q: np.ndarray, p: np.ndarray, take: int) -> tuple[np.ndarray, ...]:
+    """(row, point, similarity) of some points that hold each row's ``take`` nearest; rows and points have no NaN.
+
+    Tiles are multiplied as 32-bit numbers. Of a tile only the points are looked at that reach, but for rounding, the
+    ``take``-th highest of the maxima of its groups, or of an earlier tile's: no fewer points reach that. Those few are
+    multiplied again as they are."""
+    slack = 4 * (p.shape[1] + 4) * 2.0 ** -24 + 2 * 10.0 ** -_DIGITS  # both sides of a comparison err by half of that at most
+    floor, found, groups, short = np.full(len(q), -np.inf), [], _TOPS * take, q.astype(np.float32)
+    for at in range(0, len(p), _WIDE):
+        sims = short @ p[at:at + _WIDE].astype(np.float32).T
+        n, tops = sims.shape[1], sims
+        if n >= 2 * groups:
+            tops = sims[:, : n // groups * groups].reshape(len(sims), -1, groups).max(axis=1)
+        if n >= take:
+            floor = np.maximum(floor, np.partition(tops, tops.shape[1] - take, axis=1)[:, tops.shape[1] - take])
+        # (compared as 32-bit numbers, so the bound is rounded downwards)
+        least = np.nextafter((floor - slack).astype(np.float32), np.float32(-np.inf))
+        r, c = np.divmod(np.flatnonzero(sims >= least[:, None]), n)
+        s = np.empty(len(r))
+        for lo in range(0, len(r), _AGAIN):
+            part = slice(lo, lo + _AGAIN)
+            s[part] = (q[r[part]] * p[c[part] + at]).sum(axis=1)
+        found.append(_best(r, c + at, np.round(s, _DIGITS), take))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _of_all(q: np.ndarray, p: np.ndarray, take: int) -> tuple[np.ndarray, ...]:
+    """The same where a component may be no number."""
+    sims = np.round(q @ p.T, _DIGITS)
+    floor = np.partition(sims, len(p) - take, axis=1)[:, len(p) - take]
+    r, c = np.nonzero(sims >= floor[:, None])
+    return r, c, sims[r, c]
+
+
 def _nearest(k: int):
     def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
         points = points.sort_by("point_id")
         r, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(queries) and len(points):
             p, q = unit_rows(points.column("vector")), unit_rows(queries.column("vector"))
-            take, step, parts = min(k, len(p)), max(1, _SIMS // len(p)), []
+            finite = bool(np.isfinite(p).all() and np.isfinite(q).all())
+            among, wide = (_reaching, min(len(p), _WIDE)) if finite else (_of_all, len(p))
+            take, step, parts = min(k, len(p)), max(1, _SIMS // wide), []
             for lo in range(0, len(q), step):
                 # rounding makes equal points equal whatever tile the product is computed in
-                sims = np.round(q[lo:lo + step] @ p.T, 12)
-                floor = np.partition(sims, len(p) - take, axis=1)[:, len(p) - take]
-                r, c = np.nonzero(sims >= floor[:, None])
-                s = sims[r, c]
-                order = np.lexsort((c, -s, r))
-                r, c, s = r[order], c[order], s[order]
-                keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < take
-                parts.append((r[keep] + lo, c[keep], s[keep]))
+                r, c, s = _best(*among(q[lo:lo + step], p, take), take)
+                parts.append((r + lo, c, s))
             r, c, s = (np.concatenate(x) for x in zip(*parts))
         return pa.table({
             "item_id": queries.column("item_id").take(pa.array(r)), "point_id": points.column("point_id").take(pa.array(c)),

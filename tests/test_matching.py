@@ -3,10 +3,12 @@
 import difflib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from entityflow.operators import cascade, knn, resolve
+from entityflow.operators import cascade, cells, knn, radius, resolve
 from entityflow.params import TIERS, CascadeParams
 
 LONG = 0x7FFFFFFFFFFFFFFF
@@ -371,3 +373,48 @@ def test_tiles_of_the_kernels_are_small():
     from entityflow.operators import cells, radius
 
     assert radius._PAIRS <= 500_000 and cells._SIMS <= 500_000
+
+
+def test_nearest_kernel_sorts_few_points_of_a_tile(monkeypatch):
+    """Ties, equal points, more wanted than a tile has and vectors that are no numbers: as by sorting all. Only points that can
+    be among the nearest are rounded and sorted; all were before."""
+    rng = np.random.default_rng(3)
+    asked = rng.integers(-2, 3, (70, 4)).astype(float)
+    held = rng.integers(-2, 3, (900, 4)).astype(float)
+    seen, best = [], cells._best
+    monkeypatch.setattr(cells, "_WIDE", 128)
+    monkeypatch.setattr(cells, "_TOPS", 8)
+    monkeypatch.setattr(cells, "_best", lambda r, c, s, take: (seen.append(len(r)), best(r, c, s, take))[1])
+    for vectors, k in ((held, 5), (held[:130], 5), (held[:3], 5), (np.where(held == 2, np.nan, held), 5), (rng.normal(size=(900, 4)), 1)):
+        seen.clear()
+        got = cells._nearest(k)(
+            pa.table({"item_id": np.arange(70), "vector": pa.array(asked.tolist(), pa.list_(pa.float64()))}),
+            pa.table({"point_id": np.arange(len(vectors)), "ref_id": np.arange(len(vectors)), "vector": pa.array(vectors.tolist(), pa.list_(pa.float64()))}))
+        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
+        sims = np.round(unit(asked) @ unit(vectors).T, 12)
+        if np.isfinite(vectors).all():
+            order = np.lexsort((np.broadcast_to(np.arange(len(vectors)), sims.shape), -sims), axis=1)[:, :k]
+            assert got.column("point_id").to_pylist() == order.ravel().tolist()
+            assert got.column("sim").to_pylist() == np.take_along_axis(sims, order, 1).ravel().tolist()
+    assert max(seen) < 0.2 * 70 * 128
+
+
+def test_hamming_kernel_and_bands_against_all_pairs():
+    """Owners with several rows, equal distances, one owner alone; sorting packed numbers gives what sorting three keys does."""
+    rng = np.random.default_rng(4)
+    bits, owner = rng.integers(0, 64, 300), rng.integers(0, 40, 300)
+    asked = np.arange(64)
+    for some in (np.ones(300, bool), owner == 7):
+        got = knn._hamming_cell(
+            pa.table({"hash_type": ["full"] * 64, "hash_bits": asked}),
+            pa.table({"tier": ["full"] * int(some.sum()), "bits": bits[some], "ref_id": owner[some]})).to_pylist()
+        for r in got:
+            near = sorted({o: min(int(b ^ r["hash_bits"]).bit_count() for b, x in zip(bits[some], owner[some]) if x == o) for o in set(owner[some])}.items(), key=lambda x: (x[1], x[0]))
+            assert (r["ref_id"], r["dist"]) == near[0]
+            assert (r["second_ref"], r["second_dist"]) == (near[1] if len(near) > 1 else (None, 64))
+    row, near = rng.integers(0, 50, 4000), rng.integers(0, 65, 4000).astype(np.uint8)
+    who = rng.integers(0, 30, 4000)
+    order = np.lexsort((who, near, row))
+    for scale in (1, 1 << 55):  # packed, and beyond the bits of one number
+        found = radius._ordered(row, who * scale, near)
+        assert all((a == b[order]).all() for a, b in zip(found, (row, who * scale, near)))
