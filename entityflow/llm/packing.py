@@ -66,6 +66,8 @@ def pieces(df: DataFrame, text: Column, doc_id: Column, vocabulary: str, p: Pack
                 if with_ids:
                     cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        # the worker lives on beside later stages
+        pa.default_memory_pool().release_unused()
 
     extra = ", ids array<int>" if with_ids else ""
     return named.mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint{extra}")

@@ -28,7 +28,7 @@ class Encoder:
     """``vocabulary`` is a tokenizer file that lower-cases and drops white space. The first ``_WORDS`` different words are
     remembered: as numbers, whose ids lie in one array."""
 
-    _WORDS, _LONG = 1_000_000, 64
+    _WORDS, _LONG = 200_000, 64  # words kept (about 250 bytes each, as the worker lives on), characters of one
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -33,6 +33,16 @@ def test_special_texts(text):
     assert packing.Encoder(PATH).encode([text]) == [whole(text)]
 
 
+def test_an_encoder_keeps_few_words():
+    """A worker's encoder lives as long as the worker, beside the JVM of later stages; it kept a million words before."""
+    encoder = packing.Encoder(PATH)
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i}" for i in range(lo, lo + 60_000)) for lo in range(0, 240_000, 60_000)]
+    for text in texts:
+        assert encoder.encode([text, "known words"])[1] == whole("known words")
+        assert len(encoder.known) <= 200_000 and len(encoder.length) == len(encoder.begin) == len(encoder.known)
+    assert encoder.encode([texts[-1], texts[0]]) == [whole(texts[-1]), whole(texts[0])]
+
+
 def rows(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
