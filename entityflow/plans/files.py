@@ -33,12 +33,12 @@ def _(t):
            d.stage AS accepted_stage, CAST((row_number() OVER (PARTITION BY c.photo_id ORDER BY c.card_id) - 1) % 4 * 90 AS INTEGER) AS rotation, array_to_string(d.ran, '') AS methods, coalesce(cand.candidates, '') AS candidates
     FROM v_cards c JOIN decided d ON d.item_id = c.card_id LEFT JOIN v_refs r ON r.id = d.ref_id LEFT JOIN cand ON cand.item_id = c.card_id""", types={"crop_index": "INTEGER"})
 def _(t):
-    # places are counted behind the join with the votes, so that rows are dealt by photo once, for the places and the report, and
-    # decided there; a card without votes has its place, but is not reported
+    # cards are decided where their votes are, and dealt by photo once, for the places and the report; a card without votes has
+    # its place, but is not reported
     at = Window.partitionBy("photo_id").orderBy("card_id")
     votes = t.cards.select("card_id", "photo_id").join(cascade.wide_methods(t.methods), F.col("card_id") == F.col("item_id"), "left")
-    placed = votes.withColumn("crop_index", F.row_number().over(at) - 1).where(F.col("item_id").isNotNull())
-    decisions = cascade.decide_wide(placed).withColumnRenamed("photo_id", "file")
+    decided = cascade.decide_wide(votes).withColumn("voted", F.col("item_id").isNotNull()).drop("item_id", "margin", "agreement")
+    decisions = decided.withColumn("crop_index", F.row_number().over(at) - 1).where("voted").withColumnRenamed("photo_id", "file")
     report = reports.scan_report(decisions.withColumn("rotation", (F.col("crop_index") % 4 * 90).cast("int")), t.refs)
     path = storage.scratch(t.spark, "scan-report")
     report.write.option("compression", "gzip").json(path)

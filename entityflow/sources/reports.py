@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityflow.functions.joins import left_join_sparse
 from entityflow.functions.money import format_cents
 
 # Fixed value: the columns of the collection export, in order.
@@ -49,9 +48,9 @@ def read_collection_csv(spark: SparkSession, path: str) -> DataFrame:
 def scan_report(idents: DataFrame, refs: DataFrame) -> DataFrame:
     """Decisions (file, crop_index, ref_id, ...) to one nested row per photo, names from one join.
 
-    A photo has at most as many items as ``reading_order`` keeps.
+    A photo has at most as many items as ``reading_order`` keeps. Only the refs of a photo travel to the names and back, not
+    its items, which stay where they were dealt by photo.
     """
-    names = refs.select(F.col("id").alias("ref_id"), "name")
     methods = F.transform(
         "methods", lambda m: F.struct(m["method"].alias("method"), m["ref_id"].alias("card_ref_id"), m["score"].alias("score"))
     )
@@ -59,7 +58,18 @@ def scan_report(idents: DataFrame, refs: DataFrame) -> DataFrame:
         "crop_index", F.col("ref_id").alias("card_ref_id"), "name", "confidence", F.col("stage").alias("accepted_stage"),
         (F.col("rotation") if "rotation" in idents.columns else F.lit(0)).alias("rotation"), methods.alias("methods"), "candidates",
     )
-    return left_join_sparse(idents, names, ["ref_id"], "file").groupBy("file").agg(F.sort_array(F.collect_list(card)).alias("cards"))
+    # whole items are collected, so that Spark deals them by photo once, for their refs and for the report
+    photos = idents.groupBy("file").agg(F.collect_list(F.struct(*idents.columns)).alias("items"))
+    wanted = photos.select(F.col("file").alias("_file"), F.explode(F.array_distinct("items.ref_id")).alias("_ref"))
+    found = wanted.join(refs.select(F.col("id").alias("_ref"), "name"), "_ref")
+    # dealt as plain rows: collected lists take more room
+    names = found.repartition("_file").groupBy("_file").agg(F.collect_list(F.struct("_ref", "name")).alias("_names"))
+    file, none = F.col("file"), F.col("file").isNull()
+    # a plain key needs no second deal of the items; items without a file are one photo
+    whole = idents.where(~none).join(names, file == F.col("_file"), "left").unionByName(
+        idents.where(none).join(names, file.eqNullSafe(F.col("_file")), "left"))
+    named = F.explode_outer(F.transform(F.filter("_names", lambda r: r["_ref"] == F.col("ref_id")), lambda r: r["name"])).alias("name")
+    return whole.select(*idents.columns, named).groupBy("file").agg(F.sort_array(F.collect_list(card)).alias("cards"))
 
 
 def read_manifest(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:

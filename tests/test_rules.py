@@ -706,3 +706,32 @@ def test_reports_are_compressed(spark, tmp_path, monkeypatch):
         assert QUERIES[query](spark, "/root/testdata/sf0.001").count()
     parts = [p for d in ("scan-report", "eval-run/rows") for p in (tmp_path / d).glob("part-*")]
     assert parts and all(p.name.endswith(".json.gz") for p in parts)
+
+
+def test_scan_report_sends_refs_to_the_names(spark):
+    """Names reach all items of their ref, twice where a ref comes twice, also without a file; items are not dealt by ref."""
+    idents = spark.createDataFrame(
+        [("p1", 0, 7, 90, "h", [("h", 7, 0.5)], [7]), ("p1", 1, None, 10, "unreadable", [], []), ("p2", 0, 8, 80, "multi", [("h", 8, 0.5)], [8, 7]),
+         ("p2", 1, 7, 81, "multi", [("a", 7, 0.25)], [7]), ("p3", 0, 99, 50, "validation", [], [99]), (None, 0, 7, 60, "validation", [], [])],
+        "file string, crop_index int, ref_id long, confidence int, stage string, methods array<struct<method:string,ref_id:long,score:double>>, candidates array<long>")
+    refs = spark.createDataFrame([(7, "seven"), (8, "eight"), (8, "eight"), (9, "nine"), (None, "none")], "id long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        report = reports.scan_report(idents, refs)
+        rows, found = report.collect(), [report._jdf.queryExecution().executedPlan().initialPlan()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r.file: [(c.crop_index, c.card_ref_id, c.name, c.confidence, c.accepted_stage, len(c.methods), c.candidates) for c in r.cards] for r in rows}
+    assert got == {
+        "p1": [(0, 7, "seven", 90, "h", 1, [7]), (1, None, None, 10, "unreadable", 0, [])],
+        "p2": [(0, 8, "eight", 80, "multi", 1, [8, 7])] * 2 + [(1, 7, "seven", 81, "multi", 1, [7])],
+        "p3": [(0, 99, None, 50, "validation", 0, [99])], None: [(0, 7, "seven", 60, "validation", 0, [])]}
+    assert len(rows) == 4
+    dealt = []
+    while found:
+        node = found.pop()
+        if "Exchange" in node.nodeName():
+            dealt.append((node.outputPartitioning().toString(), node.output().mkString(",")))
+        found += [node.children().apply(i) for i in range(node.children().length())]
+    by_ref = [of for by, of in dealt if "hashpartitioning(file" not in by and "hashpartitioning(_file" not in by and "coalesce(" not in by]
+    assert by_ref and not any("methods" in of for of in by_ref)
