@@ -3,7 +3,8 @@
 A text is the set of its shingles (64-bit hashes). Texts with equal sets are one row from there on. The others meet in
 ``bands`` buckets, each keyed by ``rows`` MinHash values; of a pair at similarity s the buckets miss
 ``(1 - s ** rows) ** bands``, which is 7e-6 at 0.8 and less above. Every pair that meets is judged by its exact
-similarity unless links already join it, so nothing below ``similarity`` is linked.
+similarity unless links already join it, so nothing below ``similarity`` is linked. For ``one_of_each`` the buckets only save
+work: what they leave apart, pairs that meet in none included, is joined exactly.
 
 A bucket's members are compared with leading ones: those that share most buckets with others, of different components
 first, for a text that many near copies were made from meets each of them more often than they meet one another. The first
@@ -12,15 +13,16 @@ members than that, in more than one component, are then split by ``parts`` keys
 led by ``few`` once more. A turn makes one row per member and bucket, and per member as many pairs as its small buckets have
 different leaders (at most ``few`` each) and ``few`` for all its large ones. A split keeps a pair at similarity s together
 with probability ``1 - (1 - s ** deep) ** parts``, 0.88 at 0.8, in each of the ten buckets that such a pair shares on
-average. Those turns only save work: sets whose large buckets still hold more than one component are then joined exactly.
-Of two sets at the similarity each has a shingle of the other among its first ``n - similarity * n + 1`` ones in any one
-order; in the order of their number, shingles that texts have in common by a template come last. That number is kept for
-``weights`` groups of shingles, so a set finds its first ones by itself and the others never become rows of a join. Every pair of different
-components that shares such a shingle, early enough in both for the similarity to be reached by what follows, is judged, so no pair that meets in a bucket is left out. Buckets are joins and
-partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
+average. Those turns only save work: all sets, or (for ``copied``) those whose large buckets still hold more than one component,
+are then joined exactly. Of two sets at the similarity each has a shingle of the other among its first
+``n - similarity * n + 1`` ones in any one order; in the order of their number, shingles that texts have in common by a template
+come last. That number is kept for ``weights`` groups of shingles, so a set finds its first ones by itself and the others never
+become rows of a join. Every pair of different components that shares such a shingle, early enough in both for the similarity to be
+reached by what follows, is judged, so no pair that meets in a bucket, and for all sets no pair at the similarity, is left out.
+Buckets are joins and partial aggregates; no task holds a bucket or a group, and sets are compared as Spark arrays, a pair at a time.
 
-``copied`` only asks which documents are a copy at all. It takes the same steps but for the split, with all that is settled as
-one component: what has a copy need not meet another, and no components are searched.
+``copied`` only asks which documents are a copy at all. It takes the same steps but for the split and for the pairs that meet in no
+bucket, with all that is settled as one component: what has a copy need not meet another, and no components are searched.
 
 Edge cases: NULL and wordless texts have the empty set and are one; fewer words than a shingle make one shingle of all
 words; repeated rows are one document.
@@ -98,8 +100,14 @@ def band_keys(least: np.ndarray, p: NearParams) -> np.ndarray:
     return _mixed(parts.sum(axis=1, dtype=np.uint64))
 
 
-def hashed(df: DataFrame, p: NearParams) -> DataFrame:
-    """(id, h1, h2, s, n, keys) of each row of (id, h1, h2, text): the set's hash and size, and its key in each band."""
+def _name(found: np.ndarray) -> int:
+    return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def hashed(df: DataFrame, p: NearParams, counted: bool = False) -> DataFrame:
+    """(id, h1, h2, s, n, keys) of each row of (id, h1, h2, text): the set's hash and size, and its key in each band.
+
+    If ``counted``, the first row of each slice of texts also has ``times``: how many of the slice's shingles are in each group."""
     by = _constants(p.bands * p.rows, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +115,19 @@ def hashed(df: DataFrame, p: NearParams) -> DataFrame:
             for part in bounded(batch):
                 seen = {}
                 sets = [shingles(t, p.shingle, seen) for t in part.column("text").to_pylist()]
-                names = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
                 keys = [band_keys(minima(x, by), p).view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in ("id", "h1", "h2")], pa.array(names, pa.int64()),
-                     pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "h1", "h2", "s", "n", "keys"])
+                columns = [*[part.column(c) for c in ("id", "h1", "h2")], pa.array(map(_name, sets), pa.int64()),
+                           pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                if counted:
+                    times = np.zeros(p.weights, np.int32)
+                    for x in sets:  # a set at a time: no second copy of all
+                        np.add.at(times, (x & np.uint64(p.weights - 1)).astype(np.int64), 1)
+                    columns.append(pa.array([times, *[None] * (len(sets) - 1)], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "s", "n", "keys", "times"][: len(columns)])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, s bigint, n bigint, keys array<bigint>")
+    schema = f"id {kind}, h1 bigint, h2 bigint, s bigint, n bigint, keys array<bigint>"
+    return df.mapInArrow(run, schema + ", times array<int>" * counted)
 
 
 def _sets(df: DataFrame, p: NearParams, keyed: bool = True) -> DataFrame:
@@ -147,15 +159,39 @@ def _alike(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     return common.where((total == 0) | (F.col("common") / F.when(total > 0, total) >= p.similarity)).select("a", "b")
 
 
-def _weights(held: DataFrame, p: NearParams) -> np.ndarray:
-    """How many sets hold the shared shingles (token, f) that end in the same bits: ``weights`` numbers at most, whatever the
-    input."""
-    ends = held.groupBy(F.col("token").bitwiseAND(F.lit(p.weights - 1)).alias("ends")).agg(F.sum("f").alias("f")).toArrow()
+def _weights(counts: DataFrame, p: NearParams) -> np.ndarray:
+    """The sums of (ends, f), numbers of shingles that end in the same bits: ``weights`` numbers at most, whatever the input."""
+    ends = counts.groupBy("ends").agg(F.sum("f").alias("f")).toArrow()
     out = np.zeros(p.weights, np.int64)
     out[ends.column("ends").to_numpy()] = ends.column("f").to_numpy()
     return out
 
 
+def _counted(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(ends, f) of all slices' ``times``, summed in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p.weights, np.int64)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                total += batch.column("times")[at].values.to_numpy()
+        ends = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(total[ends])], ["ends", "f"])
+
+    return docs.select("times").where("times is not null").mapInArrow(run, "ends bigint, f bigint")
+
+
+def _firsts(found: np.ndarray, weight: np.ndarray, p: NearParams) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of their weights, and their places there, from 1; those without one come
+    before all others and are left out."""
+    n, heavy = len(found), weight[found & (p.weights - 1)]
+    shared = np.flatnonzero(heavy)
+    before = n - len(shared)
+    take = max(0, min(len(shared), n - int(np.floor(p.similarity * n)) + 1 - before))
+    shared = shared[np.lexsort((found[shared], heavy[shared]))[:take]]
+    return found[shared], np.arange(before + 1, before + take + 1)
+
+
 def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     """(token, s, n, root, at) of the shingles by which sets (s, root) of different components can be alike: of each set the
     first ones in one order of all, those of a single component before the rare ones; ``at`` is the place there, from 1.
@@ -166,7 +202,7 @@ def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFra
     held = found.select("root", F.explode("found").alias("token")).groupBy("token").agg(
         F.count("*").alias("f"), F.min("root").alias("a"), F.max("root").alias("z"))
     held = materialise(held.where("a < z").select("token", "f"), "near-held")
-    weight = _weights(held, p)
+    weight = _weights(held.select(F.col("token").bitwiseAND(F.lit(p.weights - 1)).alias("ends"), "f"), p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,17 +210,11 @@ def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFra
             lists = batch.column("found")
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                n = hi - lo
-                heavy = weight[values[lo:hi] & (p.weights - 1)]
-                shared = np.flatnonzero(heavy)
-                before = n - len(shared)  # of a single component for sure
-                take = min(len(shared), n - int(np.floor(p.similarity * n)) + 1 - before)
-                if take > 0:
-                    shared = shared[np.lexsort((values[lo:hi][shared], heavy[shared]))[:take]]
-                    row += [i] * take
-                    size += [n] * take
-                    token.append(values[lo:hi][shared])
-                    at.append(np.arange(before + 1, before + take + 1))
+                first, places = _firsts(values[lo:hi], weight, p)
+                row += [i] * len(first)
+                size += [hi - lo] * len(first)
+                token.append(first)
+                at.append(places)
             rows = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(token)), batch.column("s").take(rows), pa.array(size, pa.int64()),
@@ -194,6 +224,32 @@ def _first_shingles(asked: DataFrame, sets: DataFrame, p: NearParams) -> DataFra
     return found.mapInArrow(run, "token bigint, s bigint, n bigint, root bigint, at bigint").join(held, "token", "left_semi")
 
 
+def _leading(texts: DataFrame, weight: np.ndarray, p: NearParams) -> DataFrame:
+    """(token, s, n, at) of the first shingles of each set of (text), equal sets of a slice once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch):
+                seen, sets = {}, {}
+                token, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in part.column("text").to_pylist():
+                    found = shingles(t, p.shingle, seen)
+                    name = _name(found)
+                    if name not in sets:
+                        first, places = _firsts(found.view(np.int64), weight, p)
+                        sets[name] = (len(found), len(first))
+                        token.append(first)
+                        at.append(places)
+                takes = [take for _, take in sets.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(token)), pa.array(np.repeat(np.array(list(sets), np.int64), takes)),
+                     pa.array(np.repeat(np.array([n for n, _ in sets.values()], np.int32), takes)),
+                     pa.array(np.concatenate(at).astype(np.int32))],
+                    ["token", "s", "n", "at"])
+
+    return texts.select("text").mapInArrow(run, "token bigint, s bigint, n int, at int")
+
+
 def _maybe_alike(first: DataFrame, p: NearParams) -> DataFrame:
     """The pairs (a, b) of different components that have a first shingle in common with enough behind it in both sets."""
     # sets at the similarity have this share of both sizes in common, none of it before the first; the rest is for rounding
@@ -216,13 +272,15 @@ class _Links:
         self.tried: DataFrame | None = None
         self.roots: DataFrame | None = None  # (a, b): b is the least set of a's component
 
+    def with_root(self, rows: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return rows.withColumn("root", F.col("s"))
+        roots = self.roots.select(F.col("a").alias("s"), F.col("b").alias("root"))
+        return rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+
     def rooted(self, member: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one component, with their ``root``."""
-        now = member.withColumn("root", F.col("s"))
-        if self.roots is not None:
-            roots = self.roots.select(F.col("a").alias("s"), F.col("b").alias("root"))
-            now = member.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-        now = materialise(now, "near-rooted")
+        now = materialise(self.with_root(member), "near-rooted")
         live = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("size")).where("a < z")
         return now.join(live.select("bucket", "size"), "bucket")
 
@@ -276,6 +334,27 @@ class _Links:
         first = materialise(_first_shingles(asked, self.sets, self.p), "near-first")
         self.compare(_maybe_alike(first, self.p))
 
+    def join_all(self, docs: DataFrame, texts: DataFrame, one: DataFrame) -> None:
+        """Judge all pairs of different components that can be at the similarity, whether they met in a bucket or not."""
+        first = _leading(texts, _weights(_counted(docs, self.p), self.p), self.p)
+        # dealt once: most first shingles are of a single set
+        over = Window.partitionBy("token")
+        first = first.select("token", "s", "n", "at", F.min("s").over(over).alias("a"), F.max("s").over(over).alias("z"))
+        first = materialise(first.where("a < z").drop("a", "z"), "near-shared-first")
+        first = materialise(self.with_root(first.distinct()), "near-rooted")
+        live = first.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z")
+        first = materialise(first.join(live, "token", "left_semi"), "near-first")
+        pairs = _maybe_alike(first, self.p)
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "near-last")
+        if pairs.isEmpty():
+            return
+        ends = materialise(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "near-ends")
+        more = _shingled(one, ends.join(self.sets, "s", "left_anti"), texts, self.p, keyed=False)
+        self.sets = self.sets.join(ends, "s", "left_semi").unionByName(more)
+        self.compare(pairs)
+
 
 class _Settled(_Links):
     """The same with all sets that need no further copy as one component."""
@@ -307,7 +386,8 @@ def _shingled(one: DataFrame, member: DataFrame, texts: DataFrame, p: NearParams
 
 
 def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
-    """(s, root) of the sets with near copies, but for the least set of each component. ``docs``: (h1, h2, s, n, keys); ``texts``: (h1, h2, text)."""
+    """(s, root) of the sets with near copies, but for the least set of each component. ``docs``: (h1, h2, s, n, keys, times);
+    ``texts``: (h1, h2, text)."""
     one = materialise(
         docs.groupBy("s").agg(F.min(F.struct("h1", "h2", "n", "keys")).alias("o")).select("s", "o.*"), "near-sets")
     member = _members(one)
@@ -321,7 +401,7 @@ def near_links(docs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     keys = sets.join(large.select("s").distinct(), "s", "left_semi").select("s", F.posexplode("keys").alias("part", "finer"))
     finer = large.join(keys, "s").select("s", "n", "score", F.xxhash64("bucket", "part", "finer").alias("bucket"))
     links.lead(links.rooted(finer), p.few)
-    links.join_rest(member, p.few)
+    links.join_all(docs, texts, one)
     return links.roots.select(F.col("a").alias("s"), F.col("b").alias("root"))
 
 
@@ -350,7 +430,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p: Ne
     key = row_key(F.col(doc_id), F.col(text))
     hashes = [c.alias(k) for k, c in key.items()]
     texts = df.select(F.col(doc_id).alias("id"), *hashes, F.col(text).cast("binary").alias("text"))
-    docs = materialise(hashed(texts, p), "near-hashed")
+    docs = materialise(hashed(texts, p, counted=True), "near-hashed")
     first = F.min(F.struct(F.col("id").isNull(), "id", "h2", "h1")).alias("first")
     firsts = docs.groupBy("s").agg(first)
     roots = near_links(docs, texts.select("h1", "h2", "text"), p)

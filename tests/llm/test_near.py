@@ -158,3 +158,27 @@ def test_first_shingles_join_no_whole_sets(spark, weights):
     rows = first.collect()
     per_set = {r.s: (r.n, sum(x.s == r.s for x in rows)) for r in rows}
     assert all(k <= n - int(0.8 * n) + 1 for n, k in per_set.values()) and not any(s >= 30 for s in per_set)
+
+
+def test_pairs_that_meet_in_no_bucket_are_found(spark):
+    """Pairs at 0.8 that share no bucket, alone, beside one another's common passage, and as the only link of two groups."""
+    def words(k, n=9):
+        return [f"a{k}b{i}" for i in range(n)]
+
+    p, by = near.NearParams(), near._constants(150, 2)
+    for k in (35449, 269289):
+        x, y = (near.band_keys(near.minima(near.shingles(" ".join(w).encode(), 5, {}), by), p) for w in (words(k), words(k)[:8]))
+        assert not (x == y).any()
+    rows = [(1, words(35449)), (2, words(35449)[:8]), (3, words(269289)[:8]), (4, words(269289)), (5, words(269289)), (6, words(7, 60)), (7, words(8, 60))]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(8, None), (9, ""), (10, "a")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == brute_kept(rows) == [1, 3, 6, 7, 8, 10]
+
+
+@pytest.mark.parametrize("weights", [1, 1 << 18])
+def test_no_pair_needs_a_bucket(spark, weights):
+    """Buckets of 40 MinHash values hold nearly no pair below 1: all pairs are found without them, in any order of shingles."""
+    rows = planted(11)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS).repartition(5)
+    got = near.one_of_each(docs, p=near.NearParams(rows=40, bands=2, weights=weights))
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
